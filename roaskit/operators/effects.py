@@ -15,14 +15,14 @@ from roaskit.operators.entities import ENTITY
 METRICS = ("revenue", "spend")
 
 
-def fit_effects(series: DataFrame, keys: list[str] | None = None,
-                min_rows: int = P.MIN_MODEL_ROWS) -> DataFrame:
+def fit_effects(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, rows, and for each metric: grand mean, weekday map, month map, residual std.
 
     The series is reduced once, to a row for each weekday and month; everything
     else is computed from these at most 84 rows a series. The residual spread is
     the population one and comes from the cells' own variances, so no second pass
-    over the series is needed. Series of five rows or less get no model.
+    over the series is needed. `has_model` is false for series of five rows or less:
+    they are forecast from the portfolio instead. `total_revenue` is kept for that.
     """
     keys = list(keys or ENTITY)
     cells = series.groupBy(*keys, F.weekday("date").alias("wd"), F.month("date").alias("mo")).agg(
@@ -44,7 +44,7 @@ def fit_effects(series: DataFrame, keys: list[str] | None = None,
         dev[f"{m}_gap"] = F.col("n") * gap
         dev[f"{m}_ss"] = F.col("n") * (F.col(f"{m}_v") + gap * gap)
     cells = cells.withColumns(dev)
-    aggs = [F.sum("n").alias("rows")]
+    aggs = [F.sum("n").alias("rows"), F.sum("revenue_s").cast("double").alias("total_revenue")]
     for m in METRICS:
         aggs += [
             F.max(f"{m}_g").alias(f"{m}_mean"),
@@ -56,7 +56,8 @@ def fit_effects(series: DataFrame, keys: list[str] | None = None,
                               - F.pow(F.sum(f"{m}_gap") / F.sum("n"), F.lit(2.0))))
             .alias(f"{m}_std"),
         ]
-    return cells.groupBy(*keys).agg(*aggs).filter(F.col("rows") >= min_rows)
+    return cells.groupBy(*keys).agg(*aggs).withColumn(
+        "has_model", F.col("rows") >= P.MIN_MODEL_ROWS)
 
 
 def fitted_value(metric: str, date: Column | str = "date") -> Column:

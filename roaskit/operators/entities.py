@@ -81,21 +81,25 @@ def campaign_channels(cube: DataFrame, keys: list[str] | None = None) -> DataFra
         .alias("channel_share"))
 
 
-def entity_revenue(series: DataFrame) -> DataFrame:
+def entity_revenue(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Total revenue and spend of every entity."""
-    return series.groupBy(*ENTITY).agg(
+    return series.groupBy(*(keys or ENTITY)).agg(
         F.sum(F.col("revenue").cast("decimal(28,6)")).cast("double").alias("revenue"),
         F.sum(F.col("spend").cast("decimal(28,6)")).cast("double").alias("spend"))
 
 
-def fallback_scale(series: DataFrame) -> DataFrame:
-    """dimension_type, scale: the median revenue share of a level's entities."""
-    totals = entity_revenue(series).filter(F.col("dimension_type") != P.OVERALL)
-    level = totals.groupBy("dimension_type").agg(
+def fallback_scale(totals: DataFrame, folds: list[str] | None = None) -> DataFrame:
+    """[folds,] dimension_type, scale: the median revenue share of a level's entities.
+
+    `totals` has one row an entity with its `revenue`.
+    """
+    level = [*(folds or []), "dimension_type"]
+    rows = totals.filter(F.col("dimension_type") != P.OVERALL)
+    total = rows.groupBy(*level).agg(
         F.sum(F.col("revenue").cast("decimal(28,6)")).cast("double").alias("_total"))
-    share = (totals.join(level, "dimension_type").filter("_total > 0")
+    share = (rows.join(total, level).filter("_total > 0")
              .withColumn("share", F.col("revenue") / F.col("_total")))
-    return exact_percentile(share, "share", 0.5, ["dimension_type"], out="scale")
+    return exact_percentile(share, "share", 0.5, level, out="scale")
 
 
 def rank_by_revenue(campaigns: DataFrame, name: str = "campaign_name") -> DataFrame:

@@ -37,7 +37,8 @@ def daily_forecast(models: DataFrame, anchors: DataFrame, start: Column,
                    spend_weight: float = P.MODEL_WEIGHT_SPEND) -> DataFrame:
     """keys, day, date, revenue, spend, std_daily: the next 90 days of every series.
 
-    `start` is the first day: a constant, or a column of `models`.
+    `start` is the first day: a constant, or a column of `models`. `has_model` and
+    `total_revenue` of the models are passed on.
     """
     keys = list(keys or ENTITY)
     level = anchors.select(*keys, "daily_revenue", "daily_spend", "revenue_trend_per_day",
@@ -54,7 +55,7 @@ def daily_forecast(models: DataFrame, anchors: DataFrame, start: Column,
         *keys, "day", "date",
         blend(rev_model, rev_anchor, revenue_weight, 0.0).alias("revenue"),
         blend(sp_model, sp_anchor, spend_weight, 1.0).alias("spend"),
-        std.alias("std_daily"))
+        std.alias("std_daily"), "has_model", "total_revenue")
 
 
 def interval_columns(p50: Column, std: Column, days: Column | int,
@@ -77,7 +78,8 @@ def horizon_intervals(daily: DataFrame, keys: list[str] | None = None,
     The three horizons are conditional sums of one grouping, unfolded after it.
     """
     keys = list(keys or ENTITY)
-    aggs = [F.max("std_daily").alias("std_daily")]
+    carried = [c for c in ("has_model", "total_revenue") if c in daily.columns]
+    aggs = [F.max(c).alias(c) for c in ("std_daily", *carried)]
     for label, h in P.HORIZONS.items():
         near = F.col("day") <= h
         aggs += [F.sum(F.when(near, F.col("revenue"))).alias(f"r_{label}"),
@@ -87,9 +89,11 @@ def horizon_intervals(daily: DataFrame, keys: list[str] | None = None,
         F.struct(F.lit(label).alias("forecast_period"), F.lit(h).alias("days"),
                  F.col(f"r_{label}").alias("sum_revenue"), F.col(f"s_{label}").alias("spend"))
         for label, h in P.HORIZONS.items()]))
-    rows = g.select(*keys, "std_daily", per.alias("h")).select(*keys, "std_daily", "h.*")
+    rows = g.select(*keys, "std_daily", *carried, per.alias("h")).select(
+        *keys, "std_daily", *carried, "h.*")
     cols = interval_columns(F.col("sum_revenue"), F.col("std_daily"), F.col("days"), scale)
-    return rows.select(*keys, "forecast_period", *[c.alias(n) for n, c in cols.items()], "spend")
+    return rows.select(*keys, "forecast_period", *[c.alias(n) for n, c in cols.items()], "spend",
+                       *carried)
 
 
 def unseen_forecast(unseen: DataFrame, overall: DataFrame, scales: DataFrame) -> DataFrame:
@@ -111,7 +115,7 @@ def unseen_forecast(unseen: DataFrame, overall: DataFrame, scales: DataFrame) ->
     default = F.lit(0.1)
     for kind, s in P.FALLBACK_SCALE.items():
         default = F.when(F.col("dimension_type") == kind, F.lit(s)).otherwise(default)
-    rows = rows.join(scales, "dimension_type", "left").withColumn(
+    rows = rows.join(scales, [*folds, "dimension_type"], "left").withColumn(
         "_s", F.coalesce("scale", default))
     p50 = F.col("o50") * F.col("_s")
     half = (F.col("o90") - F.col("o10")) * F.col("_s")
@@ -127,7 +131,7 @@ def reconcile_campaigns(forecast: DataFrame, campaign_map: DataFrame,
     """Campaigns pulled to their share of their channel's forecast; others as they are.
 
     P10 and P90 move in the proportion of P50. Campaigns without a share, a channel,
-    or a model of their own (`reconcilable` false) stay.
+    or a model of their own stay.
     """
     keys = list(keys or [])
     channel = (forecast.filter(F.col("dimension_type") == P.CHANNEL)
@@ -139,7 +143,7 @@ def reconcile_campaigns(forecast: DataFrame, campaign_map: DataFrame,
     rows = (forecast.join(share, [*keys, *ENTITY], "left")
             .join(channel, [*keys, "channel", "forecast_period"], "left"))
     applies = (F.col("_ch50").isNotNull() & (F.col("channel_share") > 0)
-               & (F.col("reconcilable") if "reconcilable" in forecast.columns else F.lit(True)))
+               & (F.col("has_model") if "has_model" in forecast.columns else F.lit(True)))
     target = F.lit(1.0 - weight) * F.col("p50") + F.lit(weight) * F.col("_ch50") * F.col("channel_share")
     factor = F.when(F.col("p50") > 0, target / F.col("p50")).otherwise(F.lit(1.0))
     return rows.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roaskit.functions.attach import scalar_of
+from roaskit.functions.attach import attach
 
 
 def running_totals(df: DataFrame, order: list[Column], sums: dict[str, str],
@@ -23,8 +23,8 @@ def running_totals(df: DataFrame, order: list[Column], sums: dict[str, str],
     d = df.withColumn("_key", key)
     picks = (d.select("_key", F.xxhash64("_key").alias("_h")).orderBy("_h").limit(ranges - 1)
              .agg(F.array_sort(F.collect_list("_key")).alias("_picks")))
-    d = d.withColumn("_range", F.size(F.filter(
-        scalar_of(picks, "_picks")["_picks"], lambda s: s < F.col("_key"))))
+    d = attach(d, picks, "_picks").withColumn("_range", F.size(F.filter(
+        "_picks", lambda s: s < F.col("_key")))).drop("_picks")
     totals = d.groupBy("_range").agg(
         F.count("*").alias("_n"), *[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

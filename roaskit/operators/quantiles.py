@@ -31,7 +31,7 @@ def exact_percentile(df: DataFrame, value: str, q: float, keys: list[str] | None
     keys = list(keys or [])
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
     bounds = rows.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx("_v", [F.lit(c) for c in _cuts(q)], F.lit(20000)))
+        F.array_distinct(F.percentile_approx("_v", _cuts(q), 20000))
         .alias("_cuts"),
         F.count("*").alias("_n"))
     pos = F.lit(q) * (F.col("_n") - 1)
