@@ -1,0 +1,94 @@
+"""Random draws of revenue and spend as rows of a table."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from roaskit import params as P
+from roaskit.functions.attach import attach
+from roaskit.operators.quantiles import equal_width_histogram
+
+# A draw out of range is drawn again. Each attempt succeeds with far better than
+# even odds, so the last attempt is practically never needed; what it gives is
+# clamped to the range, and no row is lost.
+ATTEMPTS = 24
+
+
+def uniform(*parts: Column) -> Column:
+    """A number in (0, 1) that depends on `parts` alone, not on partitions or retries."""
+    h = F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double")
+    return (h + 0.5) / float(2 ** 53)
+
+
+def normal(*parts: Column) -> Column:
+    """Standard normal out of two uniforms (Box-Muller)."""
+    u, v = uniform(*parts, F.lit("u")), uniform(*parts, F.lit("v"))
+    return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * math.pi * v)
+
+
+def truncated_normal(loc: Column, scale: Column, low: Column, high: Column,
+                     *parts: Column) -> Column:
+    """The first attempt within [low, high]."""
+    def trial(i: Column) -> Column:
+        return loc + scale * normal(*parts, i)
+
+    tries = F.transform(F.sequence(F.lit(1), F.lit(ATTEMPTS)), trial)
+    hit = F.filter(tries, lambda x: (x >= low) & (x <= high))
+    return F.coalesce(F.try_element_at(hit, F.lit(1)),
+                      F.greatest(low, F.least(high, F.element_at(tries, ATTEMPTS))))
+
+
+def draw_portfolio(base: DataFrame, draws: int = P.SIMULATION_DRAWS,
+                   seed: int = P.SIMULATION_SEED) -> DataFrame:
+    """entity columns, draw, sim_revenue, sim_spend, sim_roas.
+
+    `base` has one row an entity: revenue, spend, volatility beside its keys.
+    """
+    keys = [c for c in base.columns if c not in ("revenue", "spend", "volatility")]
+    tag = F.concat_ws("|", *keys) if keys else F.lit("portfolio")
+    rows = (base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+            .repartition("draw").withColumn("_tag", tag))
+    r, s, v = F.col("revenue"), F.col("spend"), F.col("volatility")
+    sd = F.lit(seed)
+    rows = rows.withColumns({
+        "sim_revenue": truncated_normal(r, r * v, r * 0.4, r * 2.5, sd, F.lit("revenue"),
+                                        F.col("_tag"), F.col("draw")),
+        "sim_spend": truncated_normal(s, s * v * 0.4, s * 0.7, s * 1.4, sd, F.lit("spend"),
+                                      F.col("_tag"), F.col("draw"))})
+    return rows.select(*keys, "draw", "sim_revenue", "sim_spend",
+                       (F.col("sim_revenue") / F.col("sim_spend")).alias("sim_roas"))
+
+
+def channel_draws(draws: DataFrame, shares: DataFrame, seed: int = P.SIMULATION_SEED) -> DataFrame:
+    """channel, draw, sim_revenue: each draw's revenue split by shares that jitter by 8 %.
+
+    `shares` (channel, share) is folded into one constant array beside each draw.
+    """
+    packed = shares.agg(F.collect_list(F.struct("channel", "share")).alias("_sh"))
+    rows = attach(draws.select("draw", "sim_revenue"), packed).select(
+        "draw", "sim_revenue", F.explode("_sh").alias("c"))
+    z = normal(F.lit(seed), F.lit("share"), F.col("c.channel"), F.col("draw"))
+    return rows.select(F.col("c.channel").alias("channel"), "draw",
+                       (F.col("sim_revenue") * F.col("c.share") * (1.0 + 0.08 * z))
+                       .alias("sim_revenue"))
+
+
+def quantile_cases(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """worst_case (p10), expected_case (median), best_case (p90) for each group.
+
+    A group's exact quantiles are held in one task: right for draws, of which an
+    entity has a fixed number, and for daily series. Use `exact_percentile` for
+    raw rows.
+    """
+    p = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    g = df.groupBy(*(keys or [])).agg(p.alias("_p"))
+    return g.select(*(keys or []), *[F.element_at("_p", i + 1).alias(n) for i, n in enumerate(
+        ("worst_case", "expected_case", "best_case"))])
+
+
+def revenue_histogram(draws: DataFrame, value: str = "sim_revenue", keys: list[str] | None = None,
+                      bins: int = P.HISTOGRAM_BINS) -> DataFrame:
+    return equal_width_histogram(draws, value, bins, keys)
