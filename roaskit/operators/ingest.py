@@ -118,13 +118,14 @@ def imputed(spec: ExportSpec, standard: str) -> Column:
     return F.lit("0")
 
 
-def standard_columns(df: DataFrame, spec: ExportSpec) -> DataFrame:
+def standard_columns(df: DataFrame, spec: ExportSpec, extra: dict[str, Column] | None = None
+                     ) -> DataFrame:
     """Row order and the standard columns, absent ones imputed; one projection."""
     found = resolve_aliases(df, spec)
     keep = [c for c in (*ORDER_COLUMNS, CORRUPT) if c in df.columns]
     cols = [(F.col(f"`{actual}`").cast("string") if actual else imputed(spec, s)).alias(f"s_{s}")
             for s, actual in found.items()]
-    return df.select(*keep, *cols)
+    return df.select(*keep, *cols, *[c.alias(n) for n, c in (extra or {}).items()])
 
 
 def next_valid(df: DataFrame, value: str, out: str) -> DataFrame:
@@ -134,24 +135,27 @@ def next_valid(df: DataFrame, value: str, out: str) -> DataFrame:
     itself; what it cannot find it takes from the first valid value of the blocks
     behind it. So the only step over a whole file is one over a row for each block.
     """
-    first = (df.filter(F.col(value).isNotNull()).groupBy("_file", "_block")
-             .agg(F.min_by(value, "_pos").alias("_first")))
-    blocks = df.groupBy("_file", "_block").agg(F.count("*").alias("_n")).join(
-        first, ["_file", "_block"], "left")
-    ahead = (Window.partitionBy("_file").orderBy("_block")
-             .rowsBetween(1, Window.unboundedFollowing))
+    blocks = df.groupBy("_file", "_block").agg(
+        F.min_by(value, F.when(F.col(value).isNotNull(), F.col("_pos"))).alias("_first"))
+    # From the back to the front a frame only grows, so a window costs one pass.
+    ahead = (Window.partitionBy("_file").orderBy(F.col("_block").desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
     carried = blocks.select("_file", "_block",
-                            F.first("_first", ignorenulls=True).over(ahead).alias("_carry"))
-    inside = (Window.partitionBy("_file", "_block").orderBy("_pos")
-              .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+                            F.last("_first", ignorenulls=True).over(ahead).alias("_carry"))
+    inside = (Window.partitionBy("_file", "_block").orderBy(F.col("_pos").desc())
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (df.join(carried, ["_file", "_block"])
-            .withColumn(out, F.coalesce(F.first(value, ignorenulls=True).over(inside), "_carry"))
+            .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), "_carry"))
             .drop("_carry"))
 
 
+def parsed_day(text: str) -> Column:
+    return F.to_date(F.col(text).try_cast("timestamp"))
+
+
 def fill_dates(df: DataFrame, text: str, out: str = "date") -> DataFrame:
     """Dates from text; bad ones take the next good one, the tail the default date."""
-    parsed = df.withColumn("_parsed", F.to_date(F.col(text).try_cast("timestamp")))
+    parsed = df.withColumn("_parsed", parsed_day(text))
     filled = next_valid(parsed, "_parsed", "_filled")
     return (filled.withColumn(out, F.coalesce("_filled", F.lit(P.DEFAULT_DATE).cast("date")))
             .withColumn("_bad_date", F.col("_parsed").isNull())
@@ -173,17 +177,19 @@ def _clip(c: Column) -> Column:
     return F.greatest(c, F.lit(0).cast("decimal(18,6)"))
 
 
-def read_google(df: DataFrame) -> DataFrame:
-    """Google rows before clipping, as fact columns plus row order and `_bad_date`."""
+# The *_rows functions are one projection over the export, with the day still text
+# in `_day`; the read_* ones have their dates.
+
+def google_rows(df: DataFrame) -> DataFrame:
     cost = to_money("s_metrics_cost_micros")
     if not google_cost_is_dollars(df):
         # Micros are whole numbers: the shift by six digits keeps the decimal exact.
         cost = F.coalesce((F.col("s_metrics_cost_micros").try_cast("decimal(38,6)")
                            / F.lit(1000000)).try_cast("decimal(18,6)"),
                           F.lit(0).cast("decimal(18,6)"))
-    return fill_dates(standard_columns(df, GOOGLE), "s_segments_date").select(
-        *ORDER_COLUMNS, "_bad_date", "date", F.lit(GOOGLE.channel).alias("channel"),
-        F.col("s_campaign_id").alias("campaign_id"),
+    return standard_columns(df, GOOGLE).select(
+        *ORDER_COLUMNS, F.col("s_segments_date").alias("_day"),
+        F.lit(GOOGLE.channel).alias("channel"), F.col("s_campaign_id").alias("campaign_id"),
         F.coalesce("s_campaign_name", F.lit(GOOGLE.generic_name)).alias("campaign_name"),
         canonical_type("s_campaign_advertising_channel_type", True).alias("campaign_type"),
         cost.alias("spend"), to_money("s_metrics_conversions_value").alias("revenue"),
@@ -192,10 +198,10 @@ def read_google(df: DataFrame) -> DataFrame:
         to_number("s_metrics_conversions").alias("conversions"))
 
 
-def read_bing(df: DataFrame) -> DataFrame:
-    return fill_dates(standard_columns(df, BING), "s_TimePeriod").select(
-        *ORDER_COLUMNS, "_bad_date", "date", F.lit(BING.channel).alias("channel"),
-        F.col("s_CampaignId").alias("campaign_id"),
+def bing_rows(df: DataFrame) -> DataFrame:
+    return standard_columns(df, BING).select(
+        *ORDER_COLUMNS, F.col("s_TimePeriod").alias("_day"),
+        F.lit(BING.channel).alias("channel"), F.col("s_CampaignId").alias("campaign_id"),
         F.coalesce("s_CampaignName", F.lit(BING.generic_name)).alias("campaign_name"),
         canonical_type("s_CampaignType", False).alias("campaign_type"),
         to_money("s_Spend").alias("spend"), to_money("s_Revenue").alias("revenue"),
@@ -203,18 +209,14 @@ def read_bing(df: DataFrame) -> DataFrame:
         to_number("s_Conversions").alias("conversions"))
 
 
-def read_meta(df: DataFrame, revenue_per_conversion: Column | None = None) -> DataFrame:
-    """Meta rows; without a count column conversions come from the given average value."""
+def meta_rows(df: DataFrame, revenue_per_conversion: Column | None = None) -> DataFrame:
+    """Without a count column conversions come from the given average value."""
     revenue_from = first_present(df, META_REVENUE)
     count_from = first_present(df, META_COUNT)
     # The sources are picked from the headers as they are, before any renaming.
-    extra = [F.col(f"`{c}`").cast("string").alias(a)
-             for c, a in ((revenue_from, "x_revenue"), (count_from, "x_count")) if c]
-    keep = [c for c in (*ORDER_COLUMNS, CORRUPT) if c in df.columns]
-    found = resolve_aliases(df, META)
-    wide = df.select(*keep, *[
-        (F.col(f"`{a}`").cast("string") if a else imputed(META, s)).alias(f"s_{s}")
-        for s, a in found.items()], *extra)
+    extra = {a: F.col(f"`{c}`").cast("string")
+             for c, a in ((revenue_from, "x_revenue"), (count_from, "x_count")) if c}
+    wide = standard_columns(df, META, extra)
     revenue = to_money("x_revenue" if revenue_from else "s_conversion")
     if count_from and count_from != revenue_from:
         conversions = to_number("x_count")
@@ -222,9 +224,9 @@ def read_meta(df: DataFrame, revenue_per_conversion: Column | None = None) -> Da
         per = (revenue_per_conversion if revenue_per_conversion is not None
                else F.lit(P.DEFAULT_REVENUE_PER_CONVERSION))
         conversions = revenue.cast("double") / per
-    return fill_dates(wide, "s_date_start").select(
-        *ORDER_COLUMNS, "_bad_date", "date", F.lit(META.channel).alias("channel"),
-        F.col("s_campaign_id").alias("campaign_id"),
+    return wide.select(
+        *ORDER_COLUMNS, F.col("s_date_start").alias("_day"),
+        F.lit(META.channel).alias("channel"), F.col("s_campaign_id").alias("campaign_id"),
         F.coalesce("s_campaign_name", F.lit(META.generic_name)).alias("campaign_name"),
         F.lit("SOCIAL").alias("campaign_type"),
         to_money("s_spend").alias("spend"), revenue.alias("revenue"),
@@ -232,6 +234,19 @@ def read_meta(df: DataFrame, revenue_per_conversion: Column | None = None) -> Da
         conversions.alias("conversions"))
 
 
+def read_google(df: DataFrame) -> DataFrame:
+    """Google rows before clipping: fact columns, row order and `_bad_date`."""
+    return fill_dates(google_rows(df), "_day").drop("_day")
+
+
+def read_bing(df: DataFrame) -> DataFrame:
+    return fill_dates(bing_rows(df), "_day").drop("_day")
+
+
+def read_meta(df: DataFrame, revenue_per_conversion: Column | None = None) -> DataFrame:
+    return fill_dates(meta_rows(df, revenue_per_conversion), "_day").drop("_day")
+
+
 def clip_negative(rows: DataFrame) -> DataFrame:
     return rows.withColumns({m: _clip(F.col(m)) for m in ("spend", "revenue")})
 
@@ -268,11 +283,12 @@ def _ledger(counts: DataFrame, platform: str, checks: list[tuple[str, Column, fl
 def audit(raw: DataFrame, rows: DataFrame, spec: ExportSpec) -> DataFrame:
     """Ledger of one export: one pass over its rows, one aggregate row, unfolded.
 
-    `rows` are the read rows before clipping. An absent column is charged twice,
-    when it is not found and when it is imputed.
+    `rows` are its *_rows: a date is bad if its text does not parse, so no date has
+    to be filled for the count. An absent column is charged twice, when it is not
+    found and when it is imputed.
     """
     neg_spend, neg_rev = F.col("spend") < 0, F.col("revenue") < 0
-    aggs = [F.count("*").alias("n"), F.count_if("_bad_date").alias("bad_dates"),
+    aggs = [F.count("*").alias("n"), F.count_if(parsed_day("_day").isNull()).alias("bad_dates"),
             F.count_if(neg_spend).alias("neg_spend"), F.count_if(neg_rev).alias("neg_revenue"),
             F.count_if(neg_spend | neg_rev).alias("neg_any"),
             F.count_if((F.col("spend") > 1000) & (F.col("impressions") == 0)).alias("suspicious")]
@@ -330,6 +346,38 @@ def unify(exports: list[DataFrame]) -> DataFrame:
     return out
 
 
+def ingest(google: DataFrame | None = None, bing: DataFrame | None = None,
+           meta: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(facts, ledger) of the raw exports there are; without any it raises.
+
+    Meta's conversions are estimated from what a conversion is worth on the others.
+    """
+    given = [(raw, spec, make) for raw, spec, make in (
+        (google, GOOGLE, google_rows), (bing, BING, bing_rows)) if raw is not None]
+    if not given and meta is None:
+        raise ValueError("no export could be ingested")
+    rows = [(raw, spec, make(raw)) for raw, spec, make in given]
+    if meta is not None:
+        per = None
+        if rows:
+            known = [clip_negative(r).select("revenue", "conversions") for _, _, r in rows]
+            both = known[0] if len(known) == 1 else known[0].unionByName(known[1])
+            per = scalar_of(revenue_per_conversion(both), "per_conversion")["per_conversion"]
+        rows.append((meta, META, meta_rows(meta, per)))
+    facts = unify([clip_negative(fill_dates(r, "_day")) for _, _, r in rows])
+    ledger = None
+    for raw, spec, r in rows:
+        part = audit(raw, r, spec)
+        ledger = part if ledger is None else ledger.unionByName(part)
+    return facts, ledger
+
+
+def duplicate_audit(merged: DataFrame) -> DataFrame:
+    """Ledger row (3 points, once) when dates, channels and ids repeat."""
+    return _ledger(duplicate_count(merged), "all", [
+        ("duplicates", F.col("duplicates"), 3.0, "repeated date, channel and campaign summed")])
+
+
 MEASURES = ("spend", "revenue", "clicks", "impressions", "conversions")
 FACT_KEYS = ("date", "channel", "campaign_id", "campaign_name", "campaign_type")
 

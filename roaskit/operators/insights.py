@@ -267,7 +267,6 @@ def causal_summary(channels: DataFrame, types: DataFrame, overall: DataFrame) ->
 
     rows = attach(overall, lead(channels, "revenue_p50", "channel", ("share_pct", "roas"), "top"))
     rows = attach(rows, lead(channels, "interval_width_pct", "channel", ("interval_width_pct",), "wide"))
-    # The struct orders by the negated width; its plain value rides along.
     rows = attach(rows, lead(types, "revenue_p50", "campaign_type", ("share_pct", "roas"), "type"))
     text = F.concat(
         compact_money_text("revenue_p50"), F.lit(" is expected over 90 days. "),

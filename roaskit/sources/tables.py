@@ -91,7 +91,8 @@ def raw_export(spark: SparkSession, sf_dir: str, platform: str) -> DataFrame:
     ident = F.col("l_partkey").cast("string")
     order = [F.lit(platform).alias("_file"),
              F.floor(F.col("l_orderkey") / 4096).alias("_block"),
-             (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("_pos")]
+             F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+             .alias("_pos")]
     if platform == "google":
         cols = [ident.alias("campaign_id"), day.alias("segments_date"), count.alias("Clicks"),
                 F.lit("1").alias("metrics_conversions"),
