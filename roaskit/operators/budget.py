@@ -9,6 +9,7 @@ from roaskit import params as P
 from roaskit.functions.attach import attach
 from roaskit.functions.scalars import clamp, guarded_ratio
 from roaskit.operators.ordered import running_totals
+from roaskit.sources.storage import materialize
 
 
 def monthly_channel(cube: DataFrame, positive_only: bool = True) -> DataFrame:
@@ -139,16 +140,18 @@ def allocate_budget(curves: DataFrame, budget: float, target_roas: float,
     the most revenue at every total. The longest prefix of that order that keeps
     to the budget and the roas floor is the answer; if none does, the prefix with
     the highest roas. Prefix sums run over ranges of the order, not in one task.
+    The increments and their prefixes are read several times and so written once.
     """
-    bounds = allocation_bounds(curves, budget)
+    bounds = materialize(allocation_bounds(curves, budget), "bounds")
     base = bounds.agg(F.sum("lower").alias("_s0"),
                       F.sum(F.col("alpha") * F.pow("lower", "beta")).alias("_r0"))
-    ladder = allocation_ladder(bounds, budget, steps)
+    ladder = materialize(allocation_ladder(bounds, budget, steps), "ladder")
     walk = running_totals(ladder, [-F.round("marginal", 9), F.col("channel"), F.col("step")],
                           {"cum_spend": "add_spend", "cum_revenue": "add_revenue"},
                           rank="position")
-    walk = attach(walk, base).withColumns({"spend": F.col("_s0") + F.col("cum_spend"),
-                                           "revenue": F.col("_r0") + F.col("cum_revenue")})
+    walk = materialize(attach(walk, base).select(
+        "channel", "position", (F.col("_s0") + F.col("cum_spend")).alias("spend"),
+        (F.col("_r0") + F.col("cum_revenue")).alias("revenue")), "walk")
     start = base.select(F.lit(0).cast("long").alias("position"), F.col("_s0").alias("spend"),
                         F.col("_r0").alias("revenue"))
     prefixes = walk.select("position", "spend", "revenue").unionByName(start).withColumn(

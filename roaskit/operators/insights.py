@@ -330,7 +330,7 @@ def report_forecasts(predictions: DataFrame, level: str = P.OVERALL, period: str
     if period:
         rows = rows.filter(F.col("forecast_period") == period)
     return rows.select(
-        "dimension_value", F.initcap(F.replace("forecast_period", F.lit("_"), F.lit(" "))).alias("window"),
+        "dimension_value", F.initcap(F.replace("forecast_period", F.lit("_"), F.lit(" "))).alias("horizon"),
         "metric", *[_cell("metric", q).alias(q) for q in ("p10", "p50", "p90")])
 
 
