@@ -32,12 +32,13 @@ def safe_ratio(num: str | Column, den: str | Column) -> Column:
 
 def clamp(c: str | Column, low: float | Column | None = None,
           high: float | Column | None = None) -> Column:
-    out = as_col(c)
+    """Within [low, high]; null stays null (greatest and least alone would skip it)."""
+    value = out = as_col(c)
     if low is not None:
         out = F.greatest(out, low if isinstance(low, Column) else F.lit(low))
     if high is not None:
         out = F.least(out, high if isinstance(high, Column) else F.lit(high))
-    return out
+    return F.when(value.isNotNull(), out)
 
 
 def season_code(month: str | Column) -> Column:
@@ -158,9 +159,10 @@ def strip_markdown(text: str | Column) -> Column:
         (r" {2,}", " "),
     )
     s = as_col(text)
+    # U: letters and blanks of all scripts; d: a line ends at \n only.
     for pattern, plain in marks:
-        s = F.regexp_replace(s, pattern, plain)
-    return F.regexp_replace(s, r"^\s+|\s+$", "")
+        s = F.regexp_replace(s, "(?Ud)" + pattern, plain)
+    return F.regexp_replace(s, r"(?Ud)^\s+|\s+\z", "")
 
 
 # Ordered intents. Each is a list of word groups; a text has the

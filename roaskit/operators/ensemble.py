@@ -7,7 +7,9 @@ are. Members see the calendar and lagged features only, never their own day.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -52,8 +54,13 @@ def _trees(cols: list[str], stage) -> Pipeline:
 
 def fit_members(daily: DataFrame, trees: int = 150, spend_trees: int = 100,
                 depth: int = 5, step: float = 0.08) -> dict:
-    """The fitted members: name -> PipelineModel, and the `origin` and `span` they share."""
-    frame = train_frame(daily).cache()
+    """The fitted members: name -> PipelineModel, and the `origin` and `span` they share.
+
+    The series has a row a day, so it is kept in one cached partition: boosting is
+    a long run of short jobs, and their number, not the data, is what takes time.
+    The members are independent and fitted side by side.
+    """
+    frame = train_frame(daily).coalesce(1).cache()
     ends = frame.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
     span = (ends["hi"] - ends["lo"]).days
     origin = ends["lo"].isoformat()
@@ -63,20 +70,24 @@ def fit_members(daily: DataFrame, trees: int = 150, spend_trees: int = 100,
         VectorAssembler(inputCols=[*terms, "weekday_hot"], outputCol="features"),
         LinearRegression(labelCol="revenue", solver="normal", regParam=1e-6)])
     xs = [*CALENDAR, *LAGGED]
-    out = {
-        "origin": origin, "span": span,
-        "seasonal": seasonal.fit(frame.withColumns(terms)),
-        "tree_a": _trees(xs, GBTRegressor(labelCol="revenue", maxIter=trees, maxDepth=depth,
-                                          stepSize=step, seed=42)).fit(frame),
-        "tree_b": _trees(xs, GBTRegressor(labelCol="revenue", maxIter=trees, maxDepth=depth,
-                                          stepSize=step, seed=7, subsamplingRate=0.8)).fit(frame),
-        "tree_c": _trees(xs, RandomForestRegressor(labelCol="revenue", numTrees=trees,
-                                                   maxDepth=depth, seed=42)).fit(frame),
-        "spend": _trees(CALENDAR, GBTRegressor(labelCol="spend", maxIter=spend_trees,
-                                               maxDepth=depth, seed=42)).fit(frame),
+    boost = {"maxDepth": depth, "checkpointInterval": -1}
+    plans = {
+        "seasonal": (seasonal, frame.withColumns(terms)),
+        "tree_a": (_trees(xs, GBTRegressor(labelCol="revenue", maxIter=trees, stepSize=step,
+                                           seed=42, **boost)), frame),
+        "tree_b": (_trees(xs, GBTRegressor(labelCol="revenue", maxIter=trees, stepSize=step,
+                                           seed=7, subsamplingRate=0.8, **boost)), frame),
+        "tree_c": (_trees(xs, RandomForestRegressor(labelCol="revenue", numTrees=trees, seed=42,
+                                                    **boost)), frame),
+        "spend": (_trees(CALENDAR, GBTRegressor(labelCol="spend", maxIter=spend_trees, seed=42,
+                                                **boost)), frame),
     }
+    with ThreadPoolExecutor(len(plans)) as pool:
+        jobs = {n: pool.submit(inheritable_thread_target(daily.sparkSession)(p.fit), d)
+                for n, (p, d) in plans.items()}
+        fitted = {n: j.result() for n, j in jobs.items()}
     frame.unpersist()
-    return out
+    return {"origin": origin, "span": span, **fitted}
 
 
 def predict_members(members: dict, frame: DataFrame) -> DataFrame:

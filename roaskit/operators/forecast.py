@@ -28,7 +28,7 @@ def future_features(starts: DataFrame, start: str = "start_date", days: int = P.
 def blend(model: Column, anchor: Column, weight: float, floor: float) -> Column:
     """weight x model + rest x anchor, at least `floor`; without an anchor the model."""
     mixed = F.greatest(F.lit(weight) * model + F.lit(1.0 - weight) * anchor, F.lit(floor))
-    return F.coalesce(mixed, model)
+    return F.when(anchor.isNotNull(), mixed).otherwise(model)
 
 
 def daily_forecast(models: DataFrame, anchors: DataFrame, start: Column,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roaskit import params as P
-from roaskit.functions.attach import scalar_of
+from roaskit.functions.attach import attach, scalar_of
 from roaskit.functions.scalars import canonical_type, clamp, to_money, to_number
 from roaskit.operators.quantiles import exact_percentile
 from roaskit.sources.exports import CORRUPT
@@ -294,8 +294,9 @@ def audit(raw: DataFrame, rows: DataFrame, spec: ExportSpec) -> DataFrame:
             F.count_if((F.col("spend") > 1000) & (F.col("impressions") == 0)).alias("suspicious")]
     if spec is META:
         limit = exact_percentile(clip_negative(rows), "spend", 0.99, out="_p99")
-        over = F.col("spend").cast("double") > scalar_of(limit, "_p99")["_p99"] * 3.0
-        aggs.append(F.count_if(over).alias("outliers"))
+        rows = attach(rows, limit, "_p99")
+        aggs.append(F.count_if(F.col("spend").cast("double") > F.col("_p99") * 3.0)
+                    .alias("outliers"))
     counts = rows.agg(*aggs)
     checks = [("rows_read", F.col("n"), 0.0, "rows read")]
     for standard, actual in resolve_aliases(raw, spec).items():
@@ -320,9 +321,9 @@ def corrupt_lines(raw: DataFrame, platform: str) -> DataFrame:
     """Ledger row for lines that did not fit the header (noted, not charged)."""
     if CORRUPT not in raw.columns:
         return raw.sparkSession.createDataFrame([], LEDGER_SCHEMA)
-    # The whole row is read: a scan of the corrupt column alone parses nothing.
-    return _ledger(raw.agg(F.count_if(F.col(CORRUPT).isNotNull()).alias("n"),
-                           F.count(raw.columns[3]).alias("_seen")), platform,
+    # A data column takes part, as a scan of the corrupt column alone is refused.
+    parsed = F.length(F.coalesce(F.col(f"`{raw.columns[3]}`"), F.lit(""))) >= 0
+    return _ledger(raw.agg(F.count_if(F.col(CORRUPT).isNotNull() & parsed).alias("n")), platform,
                    [("corrupt_lines", F.col("n"), 0.0, "lines that did not fit the header")])
 
 

@@ -340,12 +340,22 @@ def _(spark, sf):
 
 # The ensemble of fitted members: no SQL can check it, the tests check its invariants.
 
+_fitted: dict[tuple[str, str], dict] = {}
+
+
+def members_of(spark: SparkSession, sf: str, daily: DataFrame) -> dict:
+    """The fitted members, once for a session and data set."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fitted:
+        _fitted[key] = EN.fit_members(daily)
+    return _fitted[key]
+
+
 @query("overall_ensemble")
 def _(spark, sf):
     """Portfolio forecast of the four members blended with the anchor."""
     daily, anchor = portfolio(spark, sf)
-    members = EN.fit_members(daily)
-    rows = FC.horizon_intervals(EN.overall_daily(members, daily, anchor))
+    rows = FC.horizon_intervals(EN.overall_daily(members_of(spark, sf, daily), daily, anchor))
     return FC.predictions_long(rows)
 
 
@@ -353,6 +363,6 @@ def _(spark, sf):
 def _(spark, sf):
     """Day by day, the seasonal and tree members without the anchor."""
     daily, _ = portfolio(spark, sf)
-    members = EN.fit_members(daily)
+    members = members_of(spark, sf, daily)
     spread = scalar_of(EN.residual_spread(members, daily), "std_revenue")["std_revenue"]
     return FC.daily_trajectory(EN.predict_members(members, EN.future_frame(daily)), spread)

@@ -249,9 +249,9 @@ daily AS (SELECT *, {', '.join(later)} FROM d2)"""
 
 ROLL_SPEC = " ".join(
     [f"rolling_{m}_{w}d:{d}" for w in FE.WINDOWS for m, d in
-     (("revenue", 8), ("spend", 8), ("roas", 6), ("conversion_rate", 6))]
+     (("revenue", 8), ("spend", 8), ("roas", 3), ("conversion_rate", 6))]
     + [f"moving_std_{m}_{w}d:{d}" for w in FE.WINDOWS for m, d in
-       (("revenue", 2), ("spend", 2), ("roas", 6))]
+       (("revenue", 2), ("spend", 2), ("roas", 3))]
     + [f"variance_revenue_{w}d:1 trend_revenue_{w}d:6" for w in FE.WINDOWS])
 DAILY_SPEC = ("date:d spend:4 revenue:4 clicks:1 impressions:1 conversions:1 month:i quarter:i week:i "
               "day_of_week:i is_weekend:i season:s season_encoded:i cpc:6 cpa:6 ctr:6 "

@@ -75,8 +75,11 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     if not header.fields:
         raise ValueError(f"export {path} has no header")
     schema = T.StructType([*header.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE",
-                          columnNameOfCorruptRecord=CORRUPT, enforceSchema=True)
+    # Whole lines are parsed: with fewer columns a line that is too long goes unseen,
+    # and an export has few columns that are not used.
+    rows = spark.read.option("columnPruning", False).csv(
+        path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
+        enforceSchema=True)
     return rows.select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ def load_state(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     for name, wanted in STATE_TABLES.items():
         try:
             df = spark.read.parquet(f"{path}/{name}")
-        except PySparkException as e:
+        except (PySparkException, Py4JJavaError) as e:
             raise StateError(f"cannot read state table {name} at {path}: {e}") from e
         lacking = [c for c in wanted if c not in df.columns]
         if lacking:
