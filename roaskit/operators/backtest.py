@@ -56,6 +56,21 @@ def training_folds(rows: DataFrame, origins: DataFrame, min_days: int = P.MIN_FO
     return out.join(days.select(FOLD), FOLD, "left_semi")
 
 
+def fold_sums(rows: DataFrame, origins: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """origin_date, keys and sums over all rows before each origin.
+
+    Rows are summed by the stretch between two origins they fall in; only these
+    sums are repeated for the origins behind them.
+    """
+    ordered = origins.select(F.array_sort("origins").alias("origins"))
+    placed = attach(rows, ordered, "origins").withColumn(
+        "_stretch", F.size(F.filter("origins", lambda o: o <= F.col("date"))))
+    part = placed.groupBy(*keys, "_stretch").agg(*[F.sum(c).alias(c) for c in sums])
+    each = attach(part, ordered, "origins").withColumn(FOLD, F.explode(F.slice(
+        "origins", F.col("_stretch") + 1, F.size("origins"))))
+    return each.groupBy(FOLD, *keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def actuals(series: DataFrame, origins: DataFrame) -> DataFrame:
     """origin_date, entity, forecast_period, revenue, roas of what really came.
 

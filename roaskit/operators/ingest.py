@@ -401,11 +401,19 @@ def duplicate_count(merged: DataFrame) -> DataFrame:
 def duplicate_rows(facts: DataFrame, order: list[str]) -> DataFrame:
     """The rows after the first of each date, channel and id.
 
-    A key's rows are one campaign-day, so the window holds little; counting alone
-    does not need it, see `duplicate_count`.
+    The first of a key is an aggregate, joined back: a key with very many rows is
+    streamed, and split by the adaptive join, instead of being held in a window.
+    `order` must tell rows apart.
     """
-    w = Window.partitionBy("date", "channel", "campaign_id").orderBy(*order)
-    return facts.withColumn("_rn", F.row_number().over(w)).filter("_rn > 1").drop("_rn")
+    keys = ["date", "channel", "campaign_id"]
+    place = F.struct(*order)
+    first = facts.groupBy(*keys).agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
+    again = first.filter("_n > 1").select(*[F.col(k).alias(f"_{k}") for k in keys], "_first")
+    same = None
+    for k in keys:
+        eq = F.col(k).eqNullSafe(F.col(f"_{k}"))
+        same = eq if same is None else same & eq
+    return facts.join(again, same).filter(place > F.col("_first")).select(*facts.columns)
 
 
 def validation_summary(facts: DataFrame) -> DataFrame:

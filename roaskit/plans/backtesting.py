@@ -30,10 +30,10 @@ def run_backtest(facts: DataFrame, folds: int = 3, min_train: int = P.MIN_TRAIN_
     cube, series = prepare(facts)
     origins = materialize(backtest.make_origins(series, folds, horizon, min_train), "origins")
     train = materialize(backtest.training_folds(series, origins), "folds")
-    pairs = backtest.training_folds(
-        cube.select("date", "campaign_name", "channel", "fact_rows", "revenue"), origins)
-    by_fold = materialize(pairs.groupBy(FOLD, "campaign_name", "channel").agg(
-        F.sum("fact_rows").alias("fact_rows"), F.sum("revenue").alias("revenue")), "foldmap")
+    trained = train.select(FOLD).distinct()
+    by_fold = materialize(backtest.fold_sums(
+        cube, origins, ["campaign_name", "channel"], ["fact_rows", "revenue"])
+        .join(trained, FOLD, "left_semi"), "foldmap")
     fc = forecast_levels(train, entities.campaign_channels(by_fold, [FOLD]), F.col(FOLD), [FOLD])
     revenue = by_fold.groupBy(FOLD, "campaign_name").agg(
         F.sum("revenue").cast("double").alias("revenue"))
@@ -41,7 +41,6 @@ def run_backtest(facts: DataFrame, folds: int = 3, min_train: int = P.MIN_TRAIN_
     act = backtest.actuals(series, origins)
     scorecard = backtest.score_forecasts(preds, act)
     overall = series.filter(F.col("dimension_type") == P.OVERALL)
-    trained = train.select(FOLD).distinct()
     naive = backtest.score_naive(backtest.naive_baseline(overall, origins), act).join(
         trained, FOLD, "left_semi")
     if keep:

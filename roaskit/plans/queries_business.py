@@ -574,6 +574,20 @@ def _(spark, sf):
     return IN.report_backtest(B.compare_to_naive(r.scorecard, r.naive), B.segment_errors(r.scorecard))
 
 
+@query("report_backtest_sentence", "metric:s sentence:s", S.backtest(3) + """,
+m AS (SELECT metric, ensemble_beats_naive_baseline AS win, replace(forecast_period, '_days', '-day') || ' ('
+    || CASE WHEN round_even(mape_improvement_pct, 2) >= 0 THEN '+' ELSE '' END
+    || printf('%.1f%%', round_even(mape_improvement_pct, 2)) || ')' AS mark FROM comparison),
+g AS (SELECT metric, string_agg(mark, ', ' ORDER BY mark) FILTER (win) AS b, string_agg(mark, ', ' ORDER BY mark) FILTER (NOT win) AS t,
+  FROM m GROUP BY metric),
+result AS (SELECT metric, metric || CASE WHEN t IS NULL THEN ' beats the naive baseline at all horizons: ' || b
+  WHEN b IS NULL THEN ' trails the naive baseline at all horizons: ' || t
+  ELSE ' beats the naive baseline at ' || b || ' and trails it at ' || t END AS sentence FROM g)""")
+def _(spark, sf):
+    r = run_backtest(campaign_facts(spark, sf), 3)
+    return IN.report_backtest_sentence(B.compare_to_naive(r.scorecard, r.naive))
+
+
 # Run history.
 
 @query("recent_runs", "run_label:s created_at:s k:s v:2", """

@@ -160,14 +160,17 @@ def _(spark, sf):
 
 @query("duplicate_rows", "l_orderkey:i l_linenumber:i date:d campaign_id:s", """
 d AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS date, l_returnflag AS channel,
-  CAST(l_partkey AS VARCHAR) AS campaign_id FROM lineitem),
+  CAST(l_partkey AS VARCHAR) AS campaign_id, l_suppkey, l_quantity, l_extendedprice FROM lineitem),
 result AS (SELECT * FROM d QUALIFY row_number() OVER (
-  PARTITION BY date, channel, campaign_id ORDER BY l_orderkey, l_linenumber) > 1)""")
+  PARTITION BY date, channel, campaign_id ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity,
+  l_extendedprice) > 1)""")
 def _(spark, sf):
     rows = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("date"),
-        F.col("l_returnflag").alias("channel"), F.col("l_partkey").cast("string").alias("campaign_id"))
-    return I.duplicate_rows(rows, ["l_orderkey", "l_linenumber"])
+        F.col("l_returnflag").alias("channel"), F.col("l_partkey").cast("string").alias("campaign_id"),
+        "l_suppkey", "l_quantity", "l_extendedprice")
+    return I.duplicate_rows(rows, ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity",
+                                   "l_extendedprice"])
 
 
 @query("validation_summary", "total_records:i channels:i google:i bing:i meta:i min_date:s max_date:s "
