@@ -252,7 +252,7 @@ daily AS (SELECT *, {', '.join(later)} FROM d2)"""
 
 ROLL_SPEC = " ".join(
     [f"rolling_{m}_{w}d:{d}" for w in FE.WINDOWS for m, d in
-     (("revenue", 8), ("spend", 8), ("roas", 3), ("conversion_rate", 6))]
+     (("revenue", 6), ("spend", 6), ("roas", 3), ("conversion_rate", 6))]
     + [f"moving_std_{m}_{w}d:{d}" for w in FE.WINDOWS for m, d in
        (("revenue", 2), ("spend", 2), ("roas", 3))]
     + [f"variance_revenue_{w}d:1 trend_revenue_{w}d:6" for w in FE.WINDOWS])
@@ -305,7 +305,7 @@ def _(spark, sf):
     return FE.campaign_features(campaign_facts(spark, sf))
 
 
-@query("enrich_facts", ROW_SPEC + " season:s rolling_revenue_7d:8 moving_std_spend_30d:2 trend_revenue_14d:6",
+@query("enrich_facts", ROW_SPEC + " season:s rolling_revenue_7d:6 moving_std_spend_30d:2 trend_revenue_14d:6",
        _roll_sql() + """, result AS (
   SELECT f.*, d.season, d.rolling_revenue_7d, d.moving_std_spend_30d, d.trend_revenue_14d
   FROM facts f LEFT JOIN daily d USING (date))""")
