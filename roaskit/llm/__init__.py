@@ -5,9 +5,12 @@ from __future__ import annotations
 
 def load_queries() -> dict:
     """The registered queries of this folder by name."""
-    from roaskit.llm import bpe, exact_dedup, token_files
+    from roaskit.llm import bpe, exact_dedup, html_extract, secret_scan, token_files, warc
     from roaskit.plans.catalog import Query
     every = [Query("op2_token_files", token_files.op2_token_files, None),
+             Query("op3_html_extract", html_extract.op3_html_extract, None),
+             Query("op5_warc", warc.op5_warc, warc.OP5_SQL),
              Query("op8_bpe", bpe.op8_bpe, None),
+             Query("op9_secret_scan", secret_scan.op9_secret_scan, None),
              Query("op10_exact_dedup", exact_dedup.op10_exact_dedup, exact_dedup.OP10_SQL)]
     return {q.name: q for q in every}
