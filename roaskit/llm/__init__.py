@@ -5,9 +5,10 @@ from __future__ import annotations
 
 def load_queries() -> dict:
     """The registered queries of this folder by name."""
-    from roaskit.llm import bpe, decontaminate, exact_dedup, html_extract, quality, secret_scan, token_files, warc
+    from roaskit.llm import bpe, decontaminate, exact_dedup, html_extract, quality, secret_scan, substring_dedup, token_files, warc
     from roaskit.plans.catalog import Query
-    every = [Query("op2_token_files", token_files.op2_token_files, None),
+    every = [Query("op1_substring_dedup", substring_dedup.op1_substring_dedup, None),
+             Query("op2_token_files", token_files.op2_token_files, None),
              Query("op3_html_extract", html_extract.op3_html_extract, None),
              Query("op5_warc", warc.op5_warc, warc.OP5_SQL),
              Query("op4_decontaminate", decontaminate.op4_decontaminate, None),
