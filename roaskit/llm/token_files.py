@@ -12,6 +12,7 @@ starts, so a reader may begin anywhere. The last block is filled up with its own
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,14 +25,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from roaskit.llm.bpe import BLOCK_BYTES, CACHE_WORDS, Splitter, chunks_of
+from roaskit.llm.bpe import BLOCK_BYTES, Splitter, chunks_of
 from roaskit.llm.common import Placed, filesystem, id_and_text, slices, table
 from roaskit.sources.storage import materialize, new_folder
 
 BLOCK, SHARE, MARK = 256, 0.9, b"PFORIDS1"
 HEAD, TRAILER = struct.Struct("<IBH"), struct.Struct("<QQQQ8s")
-#: Blocks decoded at a time, and words given to the library at a time.
-READ_BLOCKS, WORDS = 4096, 2000
+#: Blocks decoded at a time, words given to the library at a time, and chunks that a worker keeps from block to block.
+READ_BLOCKS, WORDS, CACHE_CHUNKS = 4096, 2000, 400_000
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -181,7 +182,13 @@ class LibraryCoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.split = Splitter(self.special).split
+        self.forget()
+        gc.freeze()
+        gc.disable()                                  # there are no cycles here, and many small objects
+
+    def forget(self) -> None:
         self.words = {w: np.array([i], "<u4").tobytes() for w, i in self.special.items()}
+        self.known: dict[str, bytes] = {}             # of chunks between spaces
 
     def learn(self, new: list[str]) -> None:
         for at in range(0, len(new), WORDS):
@@ -197,17 +204,28 @@ class LibraryCoder:
 
     def block(self, texts: list[str], end: bytes) -> list[bytes]:
         """The ids of each text and the end id, as little-endian 32-bit numbers."""
-        if len(self.words) > CACHE_WORDS:
-            self.words = {w: self.words[w] for w in self.special}
+        if len(self.known) > CACHE_CHUNKS:
+            self.forget()
         split = [chunks_of(t) for t in texts]
-        distinct = set().union(*split)
-        parts = {c: self.split(c) for c in distinct}
+        parts = {c: self.split(c) for c in set().union(*split).difference(self.known)}
         self.learn(list(set().union(*parts.values()).difference(self.words)))
-        words = self.words
-        known = {c: words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws]) for c, ws in parts.items()}
+        known, words = self.known, self.words
+        for c, ws in parts.items():
+            known[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+        del parts
         return [b"".join([known[c] for c in chunks]) + end for chunks in split]
 
 
+_CODERS: dict[str, LibraryCoder] = {}
+
+
+def coder_of(path: str) -> LibraryCoder:
+    """The coder of this worker, which keeps what it has learned from task to task."""
+    if path not in _CODERS:
+        _CODERS[path] = LibraryCoder(path)
+    return _CODERS[path]
+
+
 def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """Writes the ids of all texts, each followed by `end_id`, in ascending order of the ids of their rows.
@@ -223,7 +241,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str, id_c
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        coder, name = LibraryCoder(path), f"ids-{part:06d}.pfor"
+        coder, name = coder_of(path), f"ids-{part:06d}.pfor"
         with Placed(folder, name) as out:
             writer = Writer(out)
             for batch in (b for group in ([first], batches) for b in group):
