@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def load_queries() -> dict:
     """The registered queries of this folder by name."""
-    from roaskit.llm import bpe, decontaminate, exact_dedup, html_extract, quality, secret_scan, substring_dedup, token_files, warc
+    from roaskit.llm import bpe, decontaminate, exact_dedup, html_extract, near_dedup, quality, secret_scan, substring_dedup, token_files, warc
     from roaskit.plans.catalog import Query
     every = [Query("op1_substring_dedup", substring_dedup.op1_substring_dedup, None),
              Query("op2_token_files", token_files.op2_token_files, None),
@@ -13,6 +13,7 @@ def load_queries() -> dict:
              Query("op5_warc", warc.op5_warc, warc.OP5_SQL),
              Query("op4_decontaminate", decontaminate.op4_decontaminate, None),
              Query("op6_quality", quality.op6_quality, None),
+             Query("op7_near_dedup", near_dedup.op7_near_dedup, None),
              Query("op8_bpe", bpe.op8_bpe, None),
              Query("op9_secret_scan", secret_scan.op9_secret_scan, None),
              Query("op10_exact_dedup", exact_dedup.op10_exact_dedup, exact_dedup.OP10_SQL)]

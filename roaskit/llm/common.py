@@ -46,7 +46,7 @@ def slices(batch: pa.RecordBatch, column: str = "_text", most: int = SLICE_BYTES
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column one after another, and where each row starts (one more entry than rows)."""
-    column = pa.compute.fill_null(column, "").cast(pa.large_string())
+    column = pa.compute.fill_null(column.cast(pa.large_string()), "")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
@@ -136,3 +136,19 @@ class Placed:
             self.fs.move(self.draft, self.path)
         else:
             self.fs.delete_file(self.draft)
+
+
+def smallest_hashes(df: DataFrame, key: Column, most: int) -> DataFrame:
+    """The `most` rows whose key has the smallest hash, with the hash as _order; all rows if there are no more.
+
+    Rows are counted first, and those with a hash beyond what is needed (with room to spare)
+    go before the sort, so one task never meets more than a small multiple of `most`.
+    """
+    hashed = df.withColumn("_order", F.xxhash64(key))
+    n = hashed.select("_order").count()
+    if n > 2 * most:
+        bound = int(-(1 << 63) + (1 << 64) * (1.5 * most + 100) / n)
+        near = hashed.filter(F.col("_order") < F.lit(min(bound, (1 << 63) - 1)))
+        if near.select("_order").count() >= most:
+            hashed = near
+    return hashed.orderBy("_order").limit(most)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roaskit.llm.common import slices, table
+from roaskit.llm.common import slices, smallest_hashes, table
 
 #: Bound of the labelled pages that the weights are counted on.
 LABELLED_PAGES = 2000
@@ -182,8 +182,8 @@ def fitted_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "h
     the sample doesn't show has its default weight.
     """
     page = F.col(html_col).cast("string")
-    sample = (pages.filter(page.contains("<article")).select(page.alias("_html"), F.xxhash64(F.col(id_col).cast("string")).alias("_order"))
-              .orderBy("_order", F.octet_length("_html")).limit(most))
+    labelled = pages.filter(page.contains("<article")).select(page.alias("_html"), F.col(id_col).cast("string").alias("_id"))
+    sample = smallest_hashes(labelled, F.col("_id"), most)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()

@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roaskit.llm.common import bytes_of, byte_values, id_and_text, mixed, run_hashes, slices, table, word_runs
+from roaskit.llm.common import bytes_of, byte_values, id_and_text, mixed, run_hashes, slices, smallest_hashes, table, word_runs
 
-#: Bounds of what is learned from: labelled rows, and words of one of them in the word vectors.
+#: Bound of what is learned from: labelled rows, each with its whole text.
 SAMPLE_ROWS = 4000
 #: Rows of the vector tables (words by hash, then shapes), length of a vector, words on each side that count.
 WORD_ROWS, SHAPE_ROWS, DIM, WINDOW = 1 << 15, 1 << 12, 32, 2
@@ -181,9 +181,9 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     those without an id, a quality or a row of `docs` are passed over. A ValueError says so
     if both qualities are not there.
     """
-    marked = (labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("_q")).dropna()
-              .groupBy("_id").agg((F.avg("_q") >= 0.5).cast("int").alias("_label")).filter(~is_held_out(F.col("_id")))
-              .orderBy(F.xxhash64("_id"), "_id").limit(most))
+    known = (labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("_q")).dropna()
+             .groupBy("_id").agg((F.avg("_q") >= 0.5).cast("int").alias("_label")).filter(~is_held_out(F.col("_id"))))
+    marked = smallest_hashes(known, F.col("_id"), most)
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(marked), "_id")  # `most` rows at most
     sample = (rows.withColumn("_left_out", F.pmod(F.xxhash64("_id", F.lit("left out")), F.lit(1000)) < F.lit(int(1000 * LEFT_OUT)))
               .repartition(1).sortWithinPartitions("_id", "_text"))
