@@ -92,14 +92,23 @@ def normalize_name(text: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, "_+", "_"), "^_|_$", "")
 
 
+#: Amounts of money as exports carry them.
+MONEY = "decimal(38,6)"
+
+
+def finite(c: str | Column) -> Column:
+    """Text as a double; null for what is no number, and for NaN and infinities."""
+    x = as_col(c).try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+
+
 def to_number(c: str | Column) -> Column:
-    return F.coalesce(as_col(c).try_cast("double"), F.lit(0.0))
+    return F.coalesce(finite(c), F.lit(0.0))
 
 
 def to_money(c: str | Column) -> Column:
-    """Text to dollars, exact to the micro; what is no number counts as zero."""
-    return F.coalesce(as_col(c).try_cast("double").try_cast("decimal(18,6)"),
-                      F.lit(0).cast("decimal(18,6)"))
+    """Text to dollars, exact to the micro; what is no finite number counts as zero."""
+    return F.coalesce(finite(c).try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
 def canonical_type(c: str | Column, collapse_blanks: bool) -> Column:

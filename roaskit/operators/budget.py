@@ -98,14 +98,19 @@ def simulate_budget(base: DataFrame, curves: DataFrame, pcts: dict[str, float])
         F.when(g == 0, (r - w) / (w + P.EPS) * 100.0).alias("revenue_change_pct"))
 
 
-def allocation_bounds(curves: DataFrame, budget: float) -> DataFrame:
+def allocation_bounds(curves: DataFrame, budget: float, lower_share: float = P.ALLOCATION_LOWER
+                      ) -> DataFrame:
     """curves with `lower`, `upper` spend: weak channels are kept to a tight ceiling.
 
-    Lower is 1 % of the budget, or an equal split where over a hundred channels
-    would not fit.
+    Lower is `lower_share` of the budget for every channel. Where these alone would
+    take the whole budget nothing is left to allocate, and an error says so: give a
+    smaller share. Upper is never below lower.
     """
     if budget <= 0:
         raise ValueError(f"budget must be positive, got {budget}")
+    count = curves.count()
+    if count * lower_share >= 1:
+        raise ValueError(f"lower_share {lower_share} of {count} channels takes the whole budget; give less than {1 / count:.6f}")
     n = curves.agg(F.count("*").alias("_n"))
     rows = attach(curves, n).withColumn("_eq", F.col("alpha") * F.pow(
         F.lit(float(budget)) / F.col("_n"), F.col("beta")))
@@ -114,26 +119,28 @@ def allocation_bounds(curves: DataFrame, budget: float) -> DataFrame:
     tight = clamp(share * budget * 2.5, budget * 0.02, budget * 0.15)
     return attach(rows, total).select(
         *curves.columns, share.alias("equal_split_share"),
-        F.least(F.lit(budget * P.ALLOCATION_LOWER), F.lit(float(budget)) / F.col("_n")).alias("lower"),
-        F.when(share < P.ALLOCATION_SMALL_SHARE, tight)
-        .otherwise(F.lit(budget * P.ALLOCATION_WIDE)).alias("upper"))
+        F.lit(float(budget * lower_share)).alias("lower"),
+        F.greatest(F.lit(float(budget * lower_share)), F.when(share < P.ALLOCATION_SMALL_SHARE, tight)
+                   .otherwise(F.lit(budget * P.ALLOCATION_WIDE))).alias("upper"))
 
 
 def allocation_ladder(bounds: DataFrame, budget: float, steps: int = P.ALLOCATION_STEPS
                       ) -> DataFrame:
     """channel, step, add_spend, add_revenue, marginal: spend above the lower bound in
-    increments of budget / steps, up to the upper bound."""
+    increments of budget / steps, and a smaller last one up to the upper bound."""
     inc = budget / steps
-    n = F.floor((F.col("upper") - F.col("lower")) / inc + 1e-9).cast("int")
+    n = F.ceil((F.col("upper") - F.col("lower")) / inc - 1e-9).cast("int")
     rows = bounds.filter(n >= 1).withColumn("step", F.explode(F.sequence(F.lit(1), n)))
-    hi, lo = F.col("lower") + F.col("step") * inc, F.col("lower") + (F.col("step") - 1) * inc
+    lo = F.col("lower") + (F.col("step") - 1) * inc
+    hi = F.least(F.col("lower") + F.col("step") * inc, F.col("upper"))
     gain = F.col("alpha") * (F.pow(hi, F.col("beta")) - F.pow(lo, F.col("beta")))
-    return rows.select("channel", "step", F.lit(inc).alias("add_spend"),
-                       gain.alias("add_revenue"), (gain / inc).alias("marginal"))
+    return rows.select("channel", "step", (hi - lo).alias("add_spend"),
+                       gain.alias("add_revenue"), (gain / (hi - lo)).alias("marginal"))
 
 
 def allocate_budget(curves: DataFrame, budget: float, target_roas: float,
-                    steps: int = P.ALLOCATION_STEPS) -> DataFrame:
+                    steps: int = P.ALLOCATION_STEPS, lower_share: float = P.ALLOCATION_LOWER
+                    ) -> DataFrame:
     """channel, allocated_spend, expected_revenue, expected_roas, budget_share.
 
     The curves are concave, so taking increments by falling marginal return gives
@@ -142,7 +149,7 @@ def allocate_budget(curves: DataFrame, budget: float, target_roas: float,
     the highest roas. Prefix sums run over ranges of the order, not in one task.
     The increments and their prefixes are read several times and so written once.
     """
-    bounds = materialize(allocation_bounds(curves, budget), "bounds")
+    bounds = materialize(allocation_bounds(curves, budget, lower_share), "bounds")
     base = bounds.agg(F.sum("lower").alias("_s0"),
                       F.sum(F.col("alpha") * F.pow("lower", "beta")).alias("_r0"))
     ladder = materialize(allocation_ladder(bounds, budget, steps), "ladder")
@@ -150,7 +157,7 @@ def allocate_budget(curves: DataFrame, budget: float, target_roas: float,
                           {"cum_spend": "add_spend", "cum_revenue": "add_revenue"},
                           rank="position")
     walk = materialize(attach(walk, base).select(
-        "channel", "position", (F.col("_s0") + F.col("cum_spend")).alias("spend"),
+        "channel", "position", "add_spend", (F.col("_s0") + F.col("cum_spend")).alias("spend"),
         (F.col("_r0") + F.col("cum_revenue")).alias("revenue")), "walk")
     start = base.select(F.lit(0).cast("long").alias("position"), F.col("_s0").alias("spend"),
                         F.col("_r0").alias("revenue"))
@@ -162,9 +169,9 @@ def allocate_budget(curves: DataFrame, budget: float, target_roas: float,
         F.coalesce(F.max(F.when(ok, F.col("position"))),
                    F.max_by(F.when(fits, F.col("position")),
                             F.when(fits, F.struct("roas", "position")))).alias("_cut"))
-    taken = (attach(walk.select("channel", "position"), pick).filter("position <= _cut")
-             .groupBy("channel").agg(F.count("*").alias("_k")))
-    spend = F.col("lower") + F.coalesce("_k", F.lit(0)) * F.lit(budget / steps)
+    taken = (attach(walk.select("channel", "position", "add_spend"), pick).filter("position <= _cut")
+             .groupBy("channel").agg(F.sum("add_spend").alias("_more")))
+    spend = F.col("lower") + F.coalesce("_more", F.lit(0.0))
     rows = bounds.join(taken, "channel", "left").withColumn("allocated_spend", spend)
     rows = rows.withColumn("expected_revenue", F.col("alpha") * F.pow("allocated_spend", "beta"))
     total = rows.agg(F.sum("allocated_spend").alias("_sum"))

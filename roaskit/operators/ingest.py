@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roaskit import params as P
 from roaskit.functions.attach import attach, scalar_of
-from roaskit.functions.scalars import canonical_type, clamp, to_money, to_number
+from roaskit.functions.scalars import MONEY, canonical_type, clamp, to_money, to_number
 from roaskit.operators.quantiles import exact_percentile
 from roaskit.sources.exports import CORRUPT
+from roaskit.sources.storage import materialize
 
 FACT_COLUMNS = ("date", "channel", "campaign_id", "campaign_name", "campaign_type",
                 "spend", "revenue", "clicks", "impressions", "conversions")
@@ -149,8 +151,15 @@ def next_valid(df: DataFrame, value: str, out: str) -> DataFrame:
             .drop("_carry"))
 
 
+#: Spellings of a date beside ISO ones, tried in this order; of two numbers the month comes first.
+DATE_FORMATS = ("M/d/yyyy", "M-d-yyyy", "yyyyMMdd", "yyyy/M/d", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy")
+
+
 def parsed_day(text: str) -> Column:
-    return F.to_date(F.col(text).try_cast("timestamp"))
+    """The day a text names. A time of day is left out, and so is its offset: the day is the one written."""
+    day = F.regexp_replace(F.trim(text), r"[T ]\d{1,2}:\d{2}.*$", "")
+    parsed = [F.to_date(day.try_cast("timestamp")), *[F.to_date(F.try_to_timestamp(day, F.lit(f))) for f in DATE_FORMATS]]
+    return F.coalesce(*parsed)
 
 
 def fill_dates(df: DataFrame, text: str, out: str = "date") -> DataFrame:
@@ -174,7 +183,7 @@ def first_present(df: DataFrame, candidates: tuple[str, ...]) -> str | None:
 
 
 def _clip(c: Column) -> Column:
-    return F.greatest(c, F.lit(0).cast("decimal(18,6)"))
+    return F.greatest(c, F.lit(0).cast(MONEY))
 
 
 # The *_rows functions are one projection over the export, with the day still text
@@ -185,8 +194,7 @@ def google_rows(df: DataFrame) -> DataFrame:
     if not google_cost_is_dollars(df):
         # Micros are whole numbers: the shift by six digits keeps the decimal exact.
         cost = F.coalesce((F.col("s_metrics_cost_micros").try_cast("decimal(38,6)")
-                           / F.lit(1000000)).try_cast("decimal(18,6)"),
-                          F.lit(0).cast("decimal(18,6)"))
+                           / F.lit(1000000)).try_cast(MONEY), F.lit(0).cast(MONEY))
     return standard_columns(df, GOOGLE).select(
         *ORDER_COLUMNS, F.col("s_segments_date").alias("_day"),
         F.lit(GOOGLE.channel).alias("channel"), F.col("s_campaign_id").alias("campaign_id"),
@@ -347,30 +355,40 @@ def unify(exports: list[DataFrame]) -> DataFrame:
     return out
 
 
-def ingest(google: DataFrame | None = None, bing: DataFrame | None = None,
-           meta: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+Export = DataFrame | list[DataFrame] | None
+
+
+def ingest(google: Export = None, bing: Export = None, meta: Export = None
+           ) -> tuple[DataFrame, DataFrame]:
     """(facts, ledger) of the raw exports there are; without any it raises.
 
-    Meta's conversions are estimated from what a conversion is worth on the others.
+    A platform's export may come in parts whose headers differ. Meta's conversions
+    are estimated from what a conversion is worth on the others. The typed rows of
+    each part are written once: facts, audits and percentiles read those.
     """
-    given = [(raw, spec, make) for raw, spec, make in (
-        (google, GOOGLE, google_rows), (bing, BING, bing_rows)) if raw is not None]
-    if not given and meta is None:
+    def parts(export: Export) -> list[DataFrame]:
+        return [] if export is None else export if isinstance(export, list) else [export]
+
+    given = [(raw, spec, make) for export, spec, make in (
+        (google, GOOGLE, google_rows), (bing, BING, bing_rows)) for raw in parts(export)]
+    if not given and not parts(meta):
         raise ValueError("no export could be ingested")
-    rows = [(raw, spec, make(raw)) for raw, spec, make in given]
-    if meta is not None:
+    rows = [(raw, spec, materialize(make(raw), "typed")) for raw, spec, make in given]
+    for raw in parts(meta):
         per = None
         if rows:
-            known = [clip_negative(r).select("revenue", "conversions") for _, _, r in rows]
-            both = known[0] if len(known) == 1 else known[0].unionByName(known[1])
+            known = [clip_negative(r).select("revenue", "conversions")
+                     for _, spec, r in rows if spec is not META]
+            both = reduce(DataFrame.unionByName, known) if known else None
+        if rows and both is not None:
             per = scalar_of(revenue_per_conversion(both), "per_conversion")["per_conversion"]
-        rows.append((meta, META, meta_rows(meta, per)))
+        rows.append((raw, META, materialize(meta_rows(raw, per), "typed")))
     facts = unify([clip_negative(fill_dates(r, "_day")) for _, _, r in rows])
     ledger = None
     for raw, spec, r in rows:
         part = audit(raw, r, spec)
         ledger = part if ledger is None else ledger.unionByName(part)
-    return facts, ledger
+    return facts, ledger.unionByName(duplicate_audit(merge_duplicates(facts)))
 
 
 def duplicate_audit(merged: DataFrame) -> DataFrame:

@@ -9,16 +9,17 @@ from roaskit.functions.attach import attach
 
 
 def running_totals(df: DataFrame, order: list[Column], sums: dict[str, str],
-                   rank: str = "rank", ranges: int = 128) -> DataFrame:
+                   rank: str = "rank", ranges: int | None = None) -> DataFrame:
     """`df` with its 1-based position in `order` and running sums up to it.
 
     `order` ascends (negate a number to descend) and must be a total order: end it
     with a unique column. The order is cut into ranges at keys picked by their
     hash, which splits runs of equal values too, as the unique column is part of
-    the key. Each range is ordered by itself and starts from the totals of the
+the key. There are as many ranges as shuffle partitions. Each range is ordered by itself and starts from the totals of the
     ranges before it; only these, one row a range, are summed in one task.
     `df` is read three times: hand in a reduced or materialized table.
     """
+    ranges = ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     d = df.withColumn("_key", key)
     picks = (d.select("_key", F.xxhash64("_key").alias("_h")).orderBy("_h").limit(ranges - 1)

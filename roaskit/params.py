@@ -78,8 +78,6 @@ SCENARIOS = (
 SCENARIO_DEFAULTS = {"revenue": 250000.0, "roas": 4.5, "spend": 50000.0}
 
 # Simulation.
-SIMULATION_DRAWS = 10000
-SIMULATION_SEED = 42
 HISTOGRAM_BINS = 25
 
 # Imputed date of exports without a usable date.

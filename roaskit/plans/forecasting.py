@@ -19,7 +19,8 @@ def forecast_levels(series: DataFrame, campaign_map: DataFrame, start: Column,
 
     `series` is read by several branches: hand in a materialized table. The own
     forecasts, three rows an entity, are written once, as fallback and
-    reconciliation read them again.
+    reconciliation read them again. The portfolio always keeps its own forecast,
+    however short it is, since others fall back on it.
     """
     folds = list(folds or [])
     keys = [*folds, *ENTITY]
@@ -27,14 +28,14 @@ def forecast_levels(series: DataFrame, campaign_map: DataFrame, start: Column,
     anchors = recent_anchors(series, keys)
     daily = forecast.daily_forecast(models, anchors, start, keys)
     own = materialize(forecast.horizon_intervals(daily, keys), "own")
-    unseen = own.filter(~F.col("has_model")).select(*keys).distinct()
-    if not unseen.isEmpty():
-        totals = own.filter(F.col("forecast_period") == "30_days").select(
-            *keys, F.col("total_revenue").alias("revenue"))
-        overall = own.filter((F.col("dimension_type") == P.OVERALL) & F.col("has_model"))
-        other = forecast.unseen_forecast(unseen, overall, entities.fallback_scale(totals, folds))
-        own = own.filter("has_model").unionByName(other.withColumns(
-            {"has_model": F.lit(False), "total_revenue": F.lit(None).cast("double")}))
+    modelled = F.col("has_model") | (F.col("dimension_type") == P.OVERALL)
+    unseen = own.filter(~modelled).select(*keys).distinct()
+    totals = own.filter(F.col("forecast_period") == "30_days").select(
+        *keys, F.col("total_revenue").alias("revenue"))
+    overall = own.filter(F.col("dimension_type") == P.OVERALL)
+    other = forecast.unseen_forecast(unseen, overall, entities.fallback_scale(totals, folds))
+    own = own.filter(modelled).unionByName(other.withColumns(
+        {"has_model": F.lit(False), "total_revenue": F.lit(None).cast("double")}))
     return forecast.reconcile_campaigns(own, campaign_map, keys=folds)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roaskit import params as P
@@ -15,20 +15,20 @@ from roaskit.operators import entities as E
 from roaskit.operators import insights as IN
 from roaskit.operators import risk as R
 from roaskit.operators import scenarios as SC
-from roaskit.operators import simulate as SI
 from roaskit.operators.forecast import predictions_long
+from roaskit.operators.ingest import quality_score
 from roaskit.operators.ordered import running_totals
 from roaskit.plans import forecasting
 from roaskit.plans import sql as S
 from roaskit.plans.backtesting import run_backtest
 from roaskit.plans.catalog import query
+from roaskit.plans.queries_ingest import ledger
 from roaskit.sources import state
 from roaskit.sources.storage import materialize
 from roaskit.sources.tables import campaign_facts, table
 from roaskit.streaming import ingest as ST
 
 BUDGET, TARGET = 1_000_000.0, 4.5
-QUALITY = 95.0
 
 
 def cube_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,6 +42,12 @@ def channel_days(spark: SparkSession, sf: str) -> DataFrame:
         *[F.sum(m).alias(m) for m in E.MEASURES]), "channeldays")
 
 
+def measured_quality(spark: SparkSession, sf: str) -> Column:
+    """The score of the exports' audit, as a constant."""
+    score = materialize(quality_score(ledger(spark, sf)), "quality")
+    return scalar_of(score, "quality_score")["quality_score"]
+
+
 # Budget.
 
 @query("monthly_channel", "channel:s month:d spend:4 revenue:4", S.CURVES + """, result AS (
@@ -115,6 +121,19 @@ def _(spark, sf):
     return BU.allocate_budget(curves_of(spark, sf), BUDGET, 21.0)
 
 
+LINES = S.CURVES.replace("FROM facts GROUP BY ALL", "FROM lines GROUP BY ALL", 1).replace(
+    ",\nmonths AS", ",\nlines AS (SELECT * REPLACE (channel || ' / ' || campaign_name AS channel) FROM facts),\nmonths AS", 1)
+
+
+@query("allocate_budget_lines", ALLOC_SPEC, S.allocation(BUDGET, TARGET, lower=0.001, curves=LINES), "alloc")
+def _(spark, sf):
+    """Over 125 lines, a campaign in a channel each, with a lower bound that leaves room for all."""
+    days = materialize(campaign_facts(spark, sf).groupBy("date", F.concat_ws(" / ", "channel", "campaign_name").alias("channel"))
+                       .agg(F.sum("spend").alias("spend"), F.sum("revenue").alias("revenue")), "linedays")
+    curves = materialize(BU.fit_response_curves(days), "curves")
+    return BU.allocate_budget(curves, BUDGET, TARGET, lower_share=0.001)
+
+
 @query("allocation_band", "recommended_total_spend:2 expected_total_revenue:3 expected_total_roas:6 "
        "revenue_p10:3 revenue_p50:3 revenue_p90:3 roas_p10:6 roas_p90:6 target_achievable:b", ALLOC + """,
 t AS (SELECT sum(allocated_spend) AS s, sum(expected_revenue) AS r,
@@ -180,7 +199,7 @@ def _(spark, sf):
 @query("risk_score", "risk_score:1 risk_classification:s revenue_volatility:4 channel_dependency:4 "
        "roas_instability:4 data_quality:4 top_channel:s volatile_channel:s", S.RISK, "risk")
 def _(spark, sf):
-    return R.risk_profile(weekly_of(spark, sf), QUALITY)
+    return R.risk_profile(weekly_of(spark, sf), measured_quality(spark, sf))
 
 
 @query("risk_factor_table", "name:s score:1 status:s impact:s", S.RISK + """, result AS (
@@ -193,7 +212,7 @@ def _(spark, sf):
   UNION ALL SELECT 'Data Quality Audit', round_even(data_quality, 1),
     CASE WHEN data_quality < 10 THEN 'Excellent' ELSE 'Action Required' END, 'Low' FROM risk)""")
 def _(spark, sf):
-    return R.risk_factors(R.risk_profile(weekly_of(spark, sf), QUALITY))
+    return R.risk_factors(R.risk_profile(weekly_of(spark, sf), measured_quality(spark, sf)))
 
 
 # Scenarios and simulation.
@@ -241,34 +260,6 @@ def _(spark, sf):
     return SC.scenario_forecasts(base, SC.revenue_volatility(s["revenue_std"], s["revenue_30d"]))
 
 
-def portfolio_draws(spark: SparkSession, sf: str) -> DataFrame:
-    _, spread = overall_base(spark, sf)
-    base = spread.select(
-        F.col("revenue_30d").alias("revenue"), F.col("spend_30d").alias("spend"),
-        SC.revenue_volatility(F.col("revenue_std"), F.col("revenue_30d")).alias("volatility"))
-    return materialize(SI.draw_portfolio(base), "draws")
-
-
-@query("draw_distribution")
-def _(spark, sf):
-    """Cases of revenue, roas and every channel out of 10,000 draws."""
-    draws = portfolio_draws(spark, sf)
-    shares = R.channel_shares(weekly_of(spark, sf)).select("channel", "share")
-    parts = [SI.quantile_cases(draws, v).select(F.lit(n).alias("measure"), F.lit(None).cast("string")
-             .alias("channel"), "worst_case", "expected_case", "best_case")
-             for n, v in (("revenue", "sim_revenue"), ("roas", "sim_roas"))]
-    ch = SI.quantile_cases(SI.channel_draws(draws, shares), "sim_revenue", ["channel"])
-    return parts[0].unionByName(parts[1]).unionByName(
-        ch.select(F.lit("channel_revenue").alias("measure"), "*"))
-
-
-@query("draw_histogram")
-def _(spark, sf):
-    draws = portfolio_draws(spark, sf)
-    rev = SI.revenue_histogram(draws).withColumn("measure", F.lit("revenue"))
-    return rev.unionByName(SI.revenue_histogram(draws, "sim_roas").withColumn("measure", F.lit("roas")))
-
-
 # Drivers.
 
 @query("driver_matrix", "date:d channel:s spend:4 revenue:4 clicks:1 impressions:1 roas:6 cpc:6 ctr:6 month:i "
@@ -418,7 +409,7 @@ result AS (
 def _(spark, sf):
     days = channel_days(spark, sf)
     pop = IN.period_over_period(IN.channel_periods(days))
-    return IN.risk_assessment(pop, R.risk_profile(materialize(R.weekly_channel(days), "weekly"), QUALITY))
+    return IN.risk_assessment(pop, R.risk_profile(materialize(R.weekly_channel(days), "weekly"), measured_quality(spark, sf)))
 
 
 @query("budget_recommendations", "channel:s roas:6 gap_pct:6 magnitude:i action:s", CH + """,
@@ -527,7 +518,7 @@ def _(spark, sf):
     days = channel_days(spark, sf)
     preds = forecasting.predictions(campaign_facts(spark, sf))
     return IN.kpi_overview(IN.channel_efficiency(days), IN.overall_90d(preds),
-                           R.risk_profile(R.weekly_channel(days), QUALITY))
+                           R.risk_profile(R.weekly_channel(days), measured_quality(spark, sf)))
 
 
 @query("answer_context", "total_spend:2 channel:s roas:2 share_pct:1 forecast_90d_revenue:2 roas_trend_30d_pct:2",

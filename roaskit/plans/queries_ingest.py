@@ -11,8 +11,7 @@ from roaskit.functions.scalars import normalize_name, strip_markdown, tag_intent
 from roaskit.operators import entities as E
 from roaskit.operators import features as FE
 from roaskit.operators import ingest as I
-from roaskit.operators.quantiles import equal_width_histogram
-from roaskit.operators.simulate import quantile_cases
+from roaskit.operators.quantiles import equal_width_histogram, quantile_cases
 from roaskit.plans import sql as S
 from roaskit.plans.catalog import query
 from roaskit.sources.storage import materialize
@@ -83,9 +82,9 @@ def _(spark, sf):
 
 @query("clip_negative", "channel:s rows:i spend:4 revenue:4", S.RAW + """, result AS (
   SELECT channel, count(*) AS rows, sum(greatest(spend, 0)) AS spend, sum(greatest(revenue, 0)) AS revenue
-  FROM google WHERE spend < 0 OR spend > 0 GROUP BY channel)""")
+  FROM google GROUP BY channel)""")
 def _(spark, sf):
-    rows = I.google_rows(raw_export(spark, sf, "google")).filter("spend <> 0")
+    rows = I.google_rows(raw_export(spark, sf, "google"))
     return I.clip_negative(rows).groupBy("channel").agg(
         F.count("*").alias("rows"), F.sum("spend").alias("spend"), F.sum("revenue").alias("revenue"))
 
@@ -104,28 +103,8 @@ def _(spark, sf):
     return I.spend_outliers(I.fill_dates(meta_rows(spark, sf), "_day"), factor=0.55)
 
 
-LEDGER_SQL = S.RAW + """,
-counts AS (
-  SELECT channel, count(*) AS n, count(*) FILTER (bad_date) AS bad, count(*) FILTER (spend < 0) AS ns,
-    count(*) FILTER (revenue < 0) AS nr, count(*) FILTER (spend < 0 OR revenue < 0) AS na,
-    count(*) FILTER (spend > 1000 AND impressions = 0) AS sus,
-    count(*) FILTER (CAST(spend AS DOUBLE) > 3 * (SELECT quantile_cont(CAST(greatest(spend, 0) AS DOUBLE), 0.99)
-      FROM meta)) AS outl
-  FROM (SELECT * FROM google UNION ALL SELECT * FROM bing UNION ALL SELECT * FROM meta) GROUP BY channel
-),
-ledger AS (
-  SELECT CASE channel WHEN 'Google Ads' THEN 'google' WHEN 'Bing Ads' THEN 'bing' ELSE 'meta' END AS platform,
-    u.check_, u.affected, u.penalty FROM counts, LATERAL (VALUES
-    ('rows_read', n, 0), ('bad_dates', bad, 2),
-    ('negative_spend', CASE WHEN channel = 'Google Ads' THEN ns ELSE 0 END, 3),
-    ('negative_revenue', CASE WHEN channel = 'Google Ads' THEN nr ELSE 0 END, 3),
-    ('negative_money', CASE WHEN channel <> 'Google Ads' THEN na ELSE 0 END, 3),
-    ('suspicious', CASE WHEN channel = 'Google Ads' THEN sus ELSE 0 END, 4),
-    ('spend_outliers', CASE WHEN channel = 'Meta Ads' THEN outl ELSE 0 END, 2),
-    ('column_missing:Clicks', CASE WHEN channel = 'Bing Ads' THEN 1 ELSE 0 END, 5),
-    ('column_imputed:Clicks', CASE WHEN channel = 'Bing Ads' THEN 1 ELSE 0 END, 5)) u(check_, affected, penalty)
-  WHERE u.affected > 0
-)"""
+LEDGER_SQL = S.LEDGER
+
 
 
 @query("quality_ledger", "platform:s check_:s affected:i penalty:1", LEDGER_SQL, "ledger")

@@ -414,28 +414,30 @@ rates AS (
 )"""
 
 
-def allocation(budget: float, target: float, steps: int = 200) -> str:
+def allocation(budget: float, target: float, steps: int = 200, lower: float = 0.01,
+               curves: str | None = None) -> str:
     inc = budget / steps
-    return CURVES + f""",
+    return (curves or CURVES) + f""",
 eq AS (SELECT *, alpha * pow({budget} / count(*) OVER (), beta) AS e, count(*) OVER () AS nch FROM curves),
 bounds AS (
   SELECT channel, alpha, beta, base_roas, fit_cv, e / sum(e) OVER () AS equal_split_share,
-    least({budget} * 0.01, {budget} / nch) AS lower,
-    CASE WHEN e / sum(e) OVER () < 0.1
+    {budget * lower} AS lower,
+    greatest({budget * lower}, CASE WHEN e / sum(e) OVER () < 0.1
       THEN least(greatest(e / sum(e) OVER () * {budget} * 2.5, {budget} * 0.02), {budget} * 0.15)
-      ELSE {budget} * 0.85 END AS upper
+      ELSE {budget} * 0.85 END) AS upper
   FROM eq
 ),
 ladder AS (
-  SELECT channel, step, {inc} AS add_spend,
-    alpha * (pow(lower + step * {inc}, beta) - pow(lower + (step - 1) * {inc}, beta)) AS add_revenue,
-    alpha * (pow(lower + step * {inc}, beta) - pow(lower + (step - 1) * {inc}, beta)) / {inc} AS marginal
-  FROM bounds JOIN (SELECT range AS step FROM range(1, {steps + 1})) s
-    ON step <= floor((upper - lower) / {inc} + 1e-9)
+  SELECT channel, step, hi - lo AS add_spend, alpha * (pow(hi, beta) - pow(lo, beta)) AS add_revenue,
+    alpha * (pow(hi, beta) - pow(lo, beta)) / (hi - lo) AS marginal
+  FROM (SELECT channel, alpha, beta, step, lower + (step - 1) * {inc} AS lo,
+          CASE WHEN upper < lower + step * {inc} THEN upper ELSE lower + step * {inc} END AS hi
+        FROM bounds JOIN (SELECT range AS step FROM range(1, {steps + 1})) s
+          ON lower + (step - 1) * {inc} < upper - 1e-9 * {inc}) AS cells
 ),
 base AS (SELECT sum(lower) AS s0, sum(alpha * pow(lower, beta)) AS r0 FROM bounds),
 walk AS (
-  SELECT channel, step, marginal,
+  SELECT channel, step, marginal, add_spend,
     row_number() OVER w AS position, s0 + sum(add_spend) OVER w AS spend, r0 + sum(add_revenue) OVER w AS revenue
   FROM ladder, base
   WINDOW w AS (ORDER BY round(marginal, 9) DESC, channel, step ROWS UNBOUNDED PRECEDING)
@@ -451,8 +453,8 @@ cut AS (
      ORDER BY roas DESC, position DESC LIMIT 1)) AS cut
 ),
 alloc0 AS (
-  SELECT b.*, lower + coalesce((SELECT count(*) FROM walk w, cut WHERE w.channel = b.channel
-                                AND position <= cut), 0) * {inc} AS allocated_spend
+  SELECT b.*, lower + coalesce((SELECT sum(add_spend) FROM walk w, cut WHERE w.channel = b.channel
+                                AND position <= cut), 0) AS allocated_spend
   FROM bounds b
 ),
 alloc AS (
@@ -463,55 +465,6 @@ alloc AS (
 )"""
 
 
-RISK = FACTS + """,
-weekly AS (
-  SELECT channel, date_trunc('week', date) AS week, sum(revenue) AS revenue, sum(spend) AS spend
-  FROM facts GROUP BY ALL
-),
-wtot AS (
-  SELECT week, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(spend) AS DOUBLE) AS spend,
-         CAST(sum(revenue) AS DOUBLE) / (CAST(sum(spend) AS DOUBLE) + 1e-5) AS roas
-  FROM weekly GROUP BY week
-),
-wcv AS (
-  SELECT coalesce(stddev_samp(revenue) FILTER (revenue > 0) / (avg(revenue) FILTER (revenue > 0) + 1e-5), 0) AS revenue_cv,
-         coalesce(stddev_samp(roas) FILTER (roas > 0) / (avg(roas) FILTER (roas > 0) + 1e-5), 0) AS roas_cv,
-         count(*) FILTER (roas > 0) AS weeks
-  FROM wtot
-),
-wch AS (
-  SELECT channel, coalesce(stddev_samp(roas) FILTER (roas > 0) / (avg(roas) FILTER (roas > 0) + 1e-5), 0) AS roas_cv,
-         count(*) FILTER (roas > 0) AS weeks
-  FROM (SELECT channel, CAST(revenue AS DOUBLE) / (CAST(spend AS DOUBLE) + 1e-5) AS roas FROM weekly)
-  GROUP BY channel
-),
-shares AS (
-  SELECT channel, revenue, revenue / sum(revenue) OVER () AS share
-  FROM (SELECT channel, CAST(sum(revenue) AS DOUBLE) AS revenue FROM weekly GROUP BY channel)
-),
-conc AS (
-  SELECT sum(share * share) AS hhi, round_even(max(share) * 100.0, 1) AS top_share_pct,
-    (SELECT channel FROM shares ORDER BY share DESC, channel LIMIT 1) AS top_channel
-  FROM shares
-),
-risk0 AS (
-  SELECT least(greatest(revenue_cv * 100.0, 0.0), 100.0) AS revenue_volatility,
-    least(greatest((hhi - 0.33) * 150.0, 0.0), 100.0) AS channel_dependency,
-    least(greatest(roas_cv * 120.0, 0.0), 100.0) AS roas_instability,
-    100.0 - 95.0 AS data_quality, 95.0 AS quality_score, hhi, top_channel, top_share_pct,
-    (SELECT channel FROM wch WHERE weeks >= 2 ORDER BY roas_cv DESC, channel LIMIT 1) AS volatile_channel
-  FROM wcv, conc
-),
-risk AS (
-  SELECT *, round_even(0.30 * revenue_volatility + 0.25 * channel_dependency + 0.30 * roas_instability
-    + 0.15 * data_quality, 1) AS risk_score,
-    CASE WHEN round_even(0.30 * revenue_volatility + 0.25 * channel_dependency + 0.30 * roas_instability
-    + 0.15 * data_quality, 1) < 35 THEN 'Low Risk'
-    WHEN round_even(0.30 * revenue_volatility + 0.25 * channel_dependency + 0.30 * roas_instability
-    + 0.15 * data_quality, 1) < 65 THEN 'Medium Risk' ELSE 'High Risk' END AS risk_classification
-  FROM risk0
-)"""
-
 # The raw exports as text, all three return flags.
 RAW = """
 rawx AS (
@@ -577,6 +530,90 @@ merged AS (
   FROM unified GROUP BY ALL
 )"""
 
+# What the audits of the exports charge, and the score that is left.
+LEDGER = RAW + """,
+counts AS (
+  SELECT channel, count(*) AS n, count(*) FILTER (bad_date) AS bad, count(*) FILTER (spend < 0) AS ns,
+    count(*) FILTER (revenue < 0) AS nr, count(*) FILTER (spend < 0 OR revenue < 0) AS na,
+    count(*) FILTER (spend > 1000 AND impressions = 0) AS sus,
+    count(*) FILTER (CAST(spend AS DOUBLE) > 3 * (SELECT quantile_cont(CAST(greatest(spend, 0) AS DOUBLE), 0.99)
+      FROM meta)) AS outl
+  FROM (SELECT * FROM google UNION ALL SELECT * FROM bing UNION ALL SELECT * FROM meta) GROUP BY channel
+),
+ledger AS (
+  SELECT CASE channel WHEN 'Google Ads' THEN 'google' WHEN 'Bing Ads' THEN 'bing' ELSE 'meta' END AS platform,
+    u.check_, u.affected, u.penalty FROM counts, LATERAL (VALUES
+    ('rows_read', n, 0), ('bad_dates', bad, 2),
+    ('negative_spend', CASE WHEN channel = 'Google Ads' THEN ns ELSE 0 END, 3),
+    ('negative_revenue', CASE WHEN channel = 'Google Ads' THEN nr ELSE 0 END, 3),
+    ('negative_money', CASE WHEN channel <> 'Google Ads' THEN na ELSE 0 END, 3),
+    ('suspicious', CASE WHEN channel = 'Google Ads' THEN sus ELSE 0 END, 4),
+    ('spend_outliers', CASE WHEN channel = 'Meta Ads' THEN outl ELSE 0 END, 2),
+    ('column_missing:Clicks', CASE WHEN channel = 'Bing Ads' THEN 1 ELSE 0 END, 5),
+    ('column_imputed:Clicks', CASE WHEN channel = 'Bing Ads' THEN 1 ELSE 0 END, 5)) u(check_, affected, penalty)
+  WHERE u.affected > 0
+  UNION ALL
+  SELECT 'all', 'duplicates', n, 3 FROM (SELECT count(*) - (SELECT count(*) FROM (
+    SELECT DISTINCT date, channel, campaign_id FROM unified)) AS n FROM unified) WHERE n > 0
+)"""
+
+QUALITY = "WITH " + LEDGER + """
+  SELECT round_even(least(greatest(100.0 - coalesce(sum(penalty), 0), 10.0), 100.0), 1) FROM ledger"""
+
+
+RISK = FACTS + """,
+weekly AS (
+  SELECT channel, date_trunc('week', date) AS week, sum(revenue) AS revenue, sum(spend) AS spend
+  FROM facts GROUP BY ALL
+),
+wtot AS (
+  SELECT week, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(spend) AS DOUBLE) AS spend,
+         CAST(sum(revenue) AS DOUBLE) / (CAST(sum(spend) AS DOUBLE) + 1e-5) AS roas
+  FROM weekly GROUP BY week
+),
+wcv AS (
+  SELECT coalesce(stddev_samp(revenue) FILTER (revenue > 0) / (avg(revenue) FILTER (revenue > 0) + 1e-5), 0) AS revenue_cv,
+         coalesce(stddev_samp(roas) FILTER (roas > 0) / (avg(roas) FILTER (roas > 0) + 1e-5), 0) AS roas_cv,
+         count(*) FILTER (roas > 0) AS weeks
+  FROM wtot
+),
+wch AS (
+  SELECT channel, coalesce(stddev_samp(roas) FILTER (roas > 0) / (avg(roas) FILTER (roas > 0) + 1e-5), 0) AS roas_cv,
+         count(*) FILTER (roas > 0) AS weeks
+  FROM (SELECT channel, CAST(revenue AS DOUBLE) / (CAST(spend AS DOUBLE) + 1e-5) AS roas FROM weekly)
+  GROUP BY channel
+),
+shares AS (
+  SELECT channel, revenue, revenue / sum(revenue) OVER () AS share
+  FROM (SELECT channel, CAST(sum(revenue) AS DOUBLE) AS revenue FROM weekly GROUP BY channel)
+),
+conc AS (
+  SELECT sum(share * share) AS hhi, round_even(max(share) * 100.0, 1) AS top_share_pct,
+    (SELECT channel FROM shares ORDER BY share DESC, channel LIMIT 1) AS top_channel
+  FROM shares
+),
+quality AS (
+  SELECT (""" + QUALITY + """) AS quality_score
+),
+risk0 AS (
+  SELECT least(greatest(revenue_cv * 100.0, 0.0), 100.0) AS revenue_volatility,
+    least(greatest((hhi - 0.33) * 150.0, 0.0), 100.0) AS channel_dependency,
+    least(greatest(roas_cv * 120.0, 0.0), 100.0) AS roas_instability,
+    100.0 - quality_score AS data_quality, quality_score, hhi, top_channel, top_share_pct,
+    (SELECT channel FROM wch WHERE weeks >= 2 ORDER BY roas_cv DESC, channel LIMIT 1) AS volatile_channel
+  FROM wcv, conc, quality
+),
+risk AS (
+  SELECT *, round_even(0.30 * revenue_volatility + 0.25 * channel_dependency + 0.30 * roas_instability
+    + 0.15 * data_quality, 1) AS risk_score,
+    CASE WHEN round_even(0.30 * revenue_volatility + 0.25 * channel_dependency + 0.30 * roas_instability
+    + 0.15 * data_quality, 1) < 35 THEN 'Low Risk'
+    WHEN round_even(0.30 * revenue_volatility + 0.25 * channel_dependency + 0.30 * roas_instability
+    + 0.15 * data_quality, 1) < 65 THEN 'Medium Risk' ELSE 'High Risk' END AS risk_classification
+  FROM risk0
+)"""
+
+
 EVENTS = """
 adrows AS (
   SELECT event_id, ts, CASE user_id % 3 WHEN 0 THEN 'Google Ads' WHEN 1 THEN 'Meta Ads' ELSE 'Bing Ads' END AS channel,

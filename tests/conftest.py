@@ -2,7 +2,6 @@ import datetime as dt
 import os
 import sys
 
-import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -23,14 +22,14 @@ def spark():
 
 @pytest.fixture(scope="session")
 def channels_400d(spark):
-    """400 days of three channels with known base spend and return."""
-    rng = np.random.default_rng(7)
+    """400 days of three channels in closed form: a weekly pattern of spend, a return that falls as spend rises."""
+    pattern = (1.0, 1.1, 1.2, 1.1, 1.0, 0.8, 0.8)
     rows = []
-    for ch, base, roas in (("Google Ads", 500.0, 4.0), ("Meta Ads", 300.0, 3.0), ("Bing Ads", 100.0, 2.5)):
-        spend = np.clip(base * (1 + 0.15 * np.sin(np.arange(400) / 30.0)) * rng.normal(1, 0.08, 400), 10, None)
-        revenue = spend * roas * rng.normal(1, 0.05, 400)
-        rows += [(dt.date(2024, 1, 1) + dt.timedelta(days=i), ch, float(s), float(r), 10.0, 100.0)
-                 for i, (s, r) in enumerate(zip(spend, revenue))]
+    for ch, level, worth in (("Google Ads", 640, 5.0), ("Meta Ads", 280, 3.5), ("Bing Ads", 90, 2.0)):
+        for i in range(400):
+            spend = level * pattern[i % 7] * (1 + (i % 50) / 500)
+            revenue = worth * spend * (1.1 - 0.1 * pattern[i % 7])
+            rows.append((dt.date(2023, 3, 6) + dt.timedelta(days=i), ch, spend, revenue, 12.0, 150.0))
     return spark.createDataFrame(
         rows, "date date, channel string, spend double, revenue double, clicks double, impressions double"
     ).cache()

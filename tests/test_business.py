@@ -1,7 +1,6 @@
 import datetime as dt
 import itertools
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from roaskit.operators import drivers as DR
 from roaskit.operators import insights as IN
 from roaskit.operators import risk as R
 from roaskit.operators import scenarios as SC
-from roaskit.operators import simulate as SI
+from roaskit.operators.quantiles import quantile_cases
 
 FACT = "date date, channel string, spend double, revenue double"
 
@@ -28,17 +27,11 @@ def test_curves_are_in_range_and_rise(spark, channels_400d):
 
 
 def test_ramp_up_months_do_not_count(spark):
-    rng = np.random.default_rng(11)
-    rows = []
-    for m, spend in ((1, 28.0 / 30), (2, 3436.0 / 30), (3, 4396.0 / 30)):
-        rows += [(dt.date(2024, m, d), "Bing Ads", spend, 0.0) for d in range(1, 29)]
-    for i in range(12):
-        y, m = divmod(3 + i, 12)
-        s = float(rng.uniform(2000, 6000))
-        r = 30.0 * s ** 0.78 * float(rng.normal(1, 0.03))
-        rows += [(dt.date(2024 + y, m + 1, d), "Bing Ads", s / 28, r / 28) for d in range(1, 29)]
-    alpha = BU.fit_response_curves(spark.createDataFrame(rows, FACT)).first().alpha
-    assert abs(alpha - 30) / 30 < 0.15
+    """Two months that spend without revenue stay out: the curve goes through the one spend level of the others."""
+    months = [(2022, 11, 700.0, 0.0), (2022, 12, 950.0, 0.0), *((2023, m, 5000.0, 12.5 * 5000.0 ** 0.78) for m in range(1, 7))]
+    rows = [(dt.date(y, m, d), "Bing Ads", spend / 10, revenue / 10) for y, m, spend, revenue in months for d in range(5, 15)]
+    curve = BU.fit_response_curves(spark.createDataFrame(rows, FACT)).first()
+    assert curve.alpha == pytest.approx(12.5, rel=1e-9) and curve.fit_cv == pytest.approx(0.0, abs=1e-6)
 
 
 def curve_table(spark, rows):
@@ -56,7 +49,8 @@ def test_allocation_is_the_best_on_its_grid(spark, target):
     grids = []
     for c, _, _ in rows:
         lo, hi = bounds[c]
-        grids.append([lo + i * budget / steps for i in range(int((hi - lo) / (budget / steps) + 1e-9) + 1)])
+        grid = [lo + i * budget / steps for i in range(int((hi - lo) / (budget / steps) + 1e-9) + 1)]
+        grids.append(grid if hi - grid[-1] < 1e-6 else [*grid, hi])
     best, best_roas = None, 0.0
     for combo in itertools.product(*grids):
         if sum(combo) > budget * (1 + 1e-9):
@@ -94,25 +88,56 @@ def test_volatility_bounds(spark):
     assert v(None, 100000.0) == 0.15 and v(1.0, 0.0) == 0.15 and v(0.0, 10.0) == 0.03
 
 
-def test_draws(spark):
-    base = spark.createDataFrame([(150000.0, 40000.0, 0.25)], "revenue double, spend double, volatility double")
-    draws = SI.draw_portfolio(base, 2000).cache()
-    for v in ("sim_revenue", "sim_roas"):
-        q = SI.quantile_cases(draws, v).first()
-        assert 0 < q.worst_case <= q.expected_case <= q.best_case
-    assert draws.filter("sim_revenue < 0.4 * 150000 or sim_revenue > 2.5 * 150000").count() == 0
-    q = SI.quantile_cases(draws, "sim_revenue").first()
-    assert q.expected_case == pytest.approx(150000, rel=0.02)
-    assert q.best_case - q.expected_case == pytest.approx(1.2816 * 0.25 * 150000, rel=0.1)
-    hist = SI.revenue_histogram(draws).collect()
-    assert len(hist) == 25 and sum(r.frequency for r in hist) == 2000
-    shares = spark.createDataFrame([("a", 0.5), ("b", 0.3)], "channel string, share double")
-    ch = {r.channel: r for r in SI.quantile_cases(SI.channel_draws(draws, shares), "sim_revenue", ["channel"]).collect()}
-    assert ch["a"].worst_case <= ch["a"].expected_case and ch["a"].expected_case > ch["b"].expected_case
-    # The same draws come out however the work is split.
-    again = SI.draw_portfolio(base, 2000).repartition(3)
-    assert again.agg(F.sum(F.col("sim_revenue").cast("decimal(20,4)"))).first()[0] == draws.agg(
-        F.sum(F.col("sim_revenue").cast("decimal(20,4)"))).first()[0]
+def test_cases_are_exact_quantiles(spark):
+    rows = spark.createDataFrame([(c, float(v)) for c in "ab" for v in range(101)], "channel string, v double")
+    for r in quantile_cases(rows, "v", ["channel"]).collect():
+        assert (r.worst_case, r.expected_case, r.best_case) == (10.0, 50.0, 90.0)
+
+
+def greedy(rows, budget, steps, lower, target):
+    """Allocation by taking the best increment again and again, one at a time."""
+    total = sum(a * (budget / len(rows)) ** b for _, a, b in rows)
+    bounds = {}
+    for c, a, b in rows:
+        share = a * (budget / len(rows)) ** b / total
+        tight = min(max(share * budget * 2.5, budget * 0.02), budget * 0.15)
+        bounds[c] = (budget * lower, max(budget * lower, tight if share < 0.1 else budget * 0.85))
+    inc, cells = budget / steps, []
+    for c, a, b in rows:
+        lo, hi = bounds[c]
+        at, k = lo, 1
+        while at < hi - 1e-9 * inc:
+            to = min(lo + k * inc, hi)
+            cells.append((-round((a * to ** b - a * at ** b) / (to - at), 9), c, k, to - at, a * to ** b - a * at ** b))
+            at, k = to, k + 1
+    cells.sort()
+    spend, revenue = sum(lo for lo, _ in bounds.values()), sum(a * bounds[c][0] ** b for c, a, b in rows)
+    best, seen = None, (0.0, 0)
+    for i, (_, _, _, s, r) in enumerate([(0, 0, 0, 0.0, 0.0), *cells]):
+        spend, revenue = spend + s, revenue + r
+        if spend <= budget * (1 + 1e-9):
+            if revenue / (spend + 1e-5) >= target:
+                best = i
+            seen = max(seen, (revenue / (spend + 1e-5), i))
+    out = {c: lo for c, (lo, _) in bounds.items()}
+    for _, c, _, s, _ in cells[:seen[1] if best is None else best]:
+        out[c] += s
+    return out
+
+
+@pytest.mark.parametrize("n, target", [(5, 1.0), (60, 2.0), (120, 1.5), (500, 2.0)])
+def test_allocation_of_any_number_of_channels(spark, n, target):
+    rows = [(f"c{i:03d}", 3.0 + (i * 37 % 101) / 10, 0.70 + (i * 13 % 17) / 100) for i in range(n)]
+    lower = 0.1 / n
+    got = {r.channel: r.allocated_spend for r in BU.allocate_budget(curve_table(spark, rows), 100_000.0, target, 200, lower).collect()}
+    want = greedy(rows, 100_000.0, 200, lower, target)
+    assert len(got) == n and len({round(v, 3) for v in got.values()}) > 2
+    assert all(got[c] == pytest.approx(want[c], rel=1e-9) for c in want)
+
+
+def test_lower_bounds_that_take_the_budget_are_refused(spark):
+    with pytest.raises(ValueError, match="lower_share"):
+        BU.allocation_bounds(curve_table(spark, [(f"c{i}", 2.0, 0.8) for i in range(100)]), 1000.0)
 
 
 def test_risk_score_and_class(channels_400d):
