@@ -29,8 +29,8 @@ from roaskit.sources.storage import materialize
 WORDS, K = 5, 48
 #: Least estimate that is verified: a pair of 0.75 falls below it once in 10**5.
 ESTIMATE = 0.45
-#: Members of a list that is paired at once, and of a block of a longer one (so about 2 * BLOCK sets in a task).
-LIST, BLOCK = 32, 256
+#: Members of a list that is paired at once, and shingles of a block of a longer one (a task holds two blocks, about 4 MB).
+LIST, BLOCK_SHINGLES = 32, 1 << 18
 
 _VALUES = byte_values(7)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -213,7 +213,8 @@ def long_list_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
     0.75 alike share one of the first n - ceil(0.75 n) + 1. Shingles that no other has fill
     up the prefix first, so a document of a large group drops out unless it can have a link.
     What short prefix lists pair is verified like other pairs; long ones are compared in
-    blocks, whose tasks hold the sets of two blocks.
+    blocks, whose tasks hold the sets of two blocks. A list of w shingles in all copies each
+    member w / BLOCK_SHINGLES times.
     """
     long_list = F.col("members") > LIST
     spans = (placed.filter(long_list).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
@@ -240,11 +241,13 @@ def long_list_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
     prefix = (token.join(common, "key").withColumn("room", room).filter("room > 0").withColumn("place", place).filter("place <= room")
               .select("key", "id", "n", "label"))
     prefix = materialize(prefix, "prefixes")
-    several = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    open_lists = materialize(prefix.join(several.select("key", "members"), "key"), "prefix-lists")
+    several = (prefix.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"), F.min("label").alias("low"), F.max("label").alias("high"),
+               *[F.sum(F.xxhash64("id", F.lit(salt)).cast("decimal(38,0)")).alias(f"whole{salt}") for salt in (1, 2)]).filter("low <> high")
+               .groupBy("members", "weight", "whole1", "whole2").agg(F.min("key").alias("key")))  # lists of the same members count once
+    open_lists = materialize(prefix.join(several.select("key", "members", "weight"), "key"), "prefix-lists")
     short = verified(_sides(open_lists.filter(F.col("members") <= LIST)).distinct(), texts)
 
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     entry = (open_lists.filter(long_list).withColumn("blocks", blocks).withColumn("mine", mine)
              .select("key", "id", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
@@ -263,9 +266,10 @@ def links_of_blocks(group: pa.Table) -> pa.Table:
     values, place = np.unique(np.concatenate(each), return_inverse=True)
     owner = np.repeat(np.arange(len(each)), n)
     inter = np.zeros((len(rows), len(cols)), np.float32)
-    for low in range(0, len(values), 8192):
-        near = (place >= low) & (place < low + 8192)
-        dense = np.zeros((len(each), min(8192, len(values) - low)), np.float32)
+    step = max(64, (16 << 20) // (4 * len(each)))     # columns at a time: 16 MB
+    for low in range(0, len(values), step):
+        near = (place >= low) & (place < low + step)
+        dense = np.zeros((len(each), min(step, len(values) - low)), np.float32)
         dense[owner[near], place[near] - low] = 1
         inter += dense[rows] @ dense[cols].T
     alike = (100 * inter >= 75 * (n[rows][:, None] + n[cols][None] - inter)) & (labels[rows][:, None] != labels[cols][None]) & (ids[rows][:, None] != ids[cols][None])

@@ -56,10 +56,10 @@ def group_of_copies(n, seed, words=60, most=9):
     return out
 
 
-@pytest.mark.parametrize("limit, block", [(32, 256), (4, 3)])
+@pytest.mark.parametrize("limit, block", [(32, 1 << 18), (4, 150)])
 def test_large_groups_and_shared_passages(spark, monkeypatch, limit, block):
     monkeypatch.setattr(m, "LIST", limit)
-    monkeypatch.setattr(m, "BLOCK", block)
+    monkeypatch.setattr(m, "BLOCK_SHINGLES", block)
     passage = " ".join(f"p{i}" for i in range(40))
     texts = [*group_of_copies(70, 1), *group_of_copies(50, 2, words=12, most=3), *(f"{passage} {' '.join(f'o{k}y{i}' for i in range(25))}" for k in range(45)),
              *(f"{passage} z{k // 3} {'tail ' * (k % 3)}" for k in range(45))]
