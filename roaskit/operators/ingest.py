@@ -330,7 +330,8 @@ def corrupt_lines(raw: DataFrame, platform: str) -> DataFrame:
     if CORRUPT not in raw.columns:
         return raw.sparkSession.createDataFrame([], LEDGER_SCHEMA)
     # A data column takes part, as a scan of the corrupt column alone is refused.
-    parsed = F.length(F.coalesce(F.col(f"`{raw.columns[3]}`"), F.lit(""))) >= 0
+    data = next(c for c in raw.columns if c not in (*ORDER_COLUMNS, CORRUPT))
+    parsed = F.length(F.coalesce(F.col(f"`{data}`"), F.lit(""))) >= 0
     return _ledger(raw.agg(F.count_if(F.col(CORRUPT).isNotNull() & parsed).alias("n")), platform,
                    [("corrupt_lines", F.col("n"), 0.0, "lines that did not fit the header")])
 

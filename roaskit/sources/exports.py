@@ -29,10 +29,24 @@ def tag_platforms(files: DataFrame) -> DataFrame:
             .select("path", "name", F.array_compact(F.array(*hits)).alias("platforms")))
 
 
-def discover_exports(files: DataFrame) -> DataFrame:
-    """platform, path: one file for each platform found; the smallest path is taken."""
-    return (tag_platforms(files).select(F.explode("platforms").alias("platform"), "path")
-            .groupBy("platform").agg(F.min("path").alias("path")))
+def discover_exports(files: DataFrame, first_only: bool = False) -> DataFrame:
+    """platform, path of every file that a platform claims; with `first_only` the
+    smallest path of each platform, the others being listed by `left_out_exports`."""
+    claimed = tag_platforms(files).select(F.explode("platforms").alias("platform"), "path")
+    return claimed.groupBy("platform").agg(F.min("path").alias("path")) if first_only else claimed
+
+
+def left_out_exports(files: DataFrame) -> DataFrame:
+    """platform, path of the files that `discover_exports(first_only=True)` doesn't read."""
+    return discover_exports(files).join(discover_exports(files, True), ["platform", "path"], "left_anti")
+
+
+def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, header: the first line of each file, read by the tasks that hold its first split."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    return lines.filter("block = 0").groupBy("path").agg(F.min(F.struct("at", "line"))["line"].alias("header"))
 
 
 def unrecognized_exports(files: DataFrame) -> DataFrame:
@@ -49,31 +63,38 @@ def missing_platforms(spark: SparkSession, found: DataFrame) -> DataFrame:
 
 def file_audit(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Ledger rows of the folder itself: platforms without a file (20 each) and
-    unclaimed CSV files (10 once, names listed)."""
-    missing = missing_platforms(spark, discover_exports(files)).select(
+    unclaimed CSV files (10 once, with their number and the first name; the others
+    are rows of `unrecognized_exports`)."""
+    missing = missing_platforms(spark, discover_exports(files).select("platform").distinct()).select(
         F.col("platform"), F.lit("file_missing").alias("check"),
         F.lit(1).cast("long").alias("affected"), F.lit(20.0).alias("penalty"),
         F.concat(F.lit("no export found for "), "platform").alias("message"))
+    named = F.struct("name", "path")
     unknown = (unrecognized_exports(files)
-               .agg(F.count("*").alias("affected"),
-                    F.concat_ws(", ", F.sort_array(F.collect_list("name"))).alias("names"))
+               .agg(F.count("*").alias("affected"), F.min(named)["name"].alias("names"))
                .filter("affected > 0")
                .select(F.lit("folder").alias("platform"),
                        F.lit("file_unrecognized").alias("check"), "affected",
                        F.lit(10.0).alias("penalty"),
-                       F.concat(F.lit("files of no known platform: "), "names").alias("message")))
+                       F.concat(F.lit("files of no known platform, the first is "), "names").alias("message")))
     return missing.unionByName(unknown)
 
 
-def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """The file as text columns, with its corrupt lines marked and its row order kept.
+# Texts that mean a missing value.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+           "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+def read_export(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Files of one header as text columns, with corrupt lines marked and row order kept.
 
     `_file`, `_block` and `_pos` order the rows: a block is a split of the file and
-    is always read from front to back by one task.
+    is always read from front to back by one task. Missing-value texts become null.
     """
-    header = spark.read.csv(path, header=True, inferSchema=False).schema
-    if not header.fields:
-        raise ValueError(f"export {path} has no header")
+    one = path if isinstance(path, str) else path[0]
+    header = spark.read.csv(one, header=True, inferSchema=False).schema
+    if not header.fields or not any(ch.isalpha() for f in header.fields for ch in f.name):
+        raise ValueError(f"export {one} has no header")
     schema = T.StructType([*header.fields, T.StructField(CORRUPT, T.StringType())])
     # Whole lines are parsed: with fewer columns a line that is too long goes unseen,
     # and an export has few columns that are not used.
@@ -83,4 +104,6 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_pos"), "*")
+        F.monotonically_increasing_id().alias("_pos"), CORRUPT,
+        *[F.when(~F.col(f"`{f.name}`").isin(*MISSING), F.col(f"`{f.name}`")).alias(f.name)
+          for f in header.fields])

@@ -3,6 +3,8 @@ import datetime as dt
 import pytest
 
 from roaskit.operators import ingest as I
+from roaskit.functions.scalars import to_money, to_number
+from roaskit.plans.ingesting import ingest_folder
 from roaskit.sources import exports as X
 
 
@@ -105,7 +107,7 @@ def test_ingest_end_to_end(spark, folder):
     assert meta.conversions == pytest.approx(100 / (121 / 8))
     summary = I.validation_summary(merged).first()
     assert summary.channel_record_counts == {"Google Ads": 4, "Bing Ads": 1, "Meta Ads": 1}
-    score = I.quality_score(ledger.unionByName(I.duplicate_audit(merged))).first().quality_score
+    score = I.quality_score(ledger).first().quality_score
     assert score == 100 - 12 - 10 - 3
     with pytest.raises(ValueError):
         I.ingest()
@@ -137,3 +139,36 @@ def test_back_fill_over_many_blocks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [by_id[i] for i in range(n)] == want[::-1]
+
+
+def test_dates_as_exports_write_them(spark):
+    days = {"2024-01-02": 2, "1/2/2024": 2, "01/02/2024": 2, "20240102": 2, "Jan 2, 2024": 2, "January 2, 2024": 2, "2024/01/02": 2, "2 Jan 2024": 2,
+            "2024-01-02T23:30:00+09:00": 2, "2024-01-02 00:30:00 -0500": 2, " 2024-01-03 ": 3, "unknown": None, "": None, None: None}
+    rows = spark.createDataFrame([(t,) for t in days], "t string").select("t", I.parsed_day("t").alias("d")).collect()
+    assert {r.t: r.d for r in rows} == {t: d and dt.date(2024, 1, d) for t, d in days.items()}
+
+
+def test_numbers_that_are_none(spark):
+    texts = {"2000000000000": 2e12, "NaN": 0.0, "Infinity": 0.0, "-inf": 0.0, "1e3": 1000.0, "x": 0.0, None: 0.0}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", to_number("t").alias("n"), to_money("t").alias("m")).collect()
+    assert {r.t: r.n for r in rows} == texts and {r.t: float(r.m) for r in rows} == texts
+
+
+def test_a_folder_in_one_go(spark, tmp_path):
+    """Two google files of different headers, a bing file without a header, no meta file, one file of nobody."""
+    write(tmp_path, "google_1.csv", "campaign_id,date,clicks,conversions,spend,impressions,value,channel_type,campaign_name\n"
+          "1,1/5/2024,NA,1,10,100,40,SEARCH,a\n1,2024-01-05,3,1,5,100,20,SEARCH,a\n2,oops,NaN,n/a,7,50,,SEARCH,b\n")
+    write(tmp_path, "google_2.csv", "date,campaign_id,spend,value,clicks,conversions,impressions,channel_type,campaign_name\n"
+          "2024-01-06,3,8,16,1,1,10,SEARCH,c\n2024-01-07,3,8,16,1,1,10,SEARCH,c,too,long\n")
+    write(tmp_path, "bing.csv", "1,2,3\n4,5,6\n")
+    write(tmp_path, "tiktok.csv", "id\n1\n")
+    got = ingest_folder(spark, str(tmp_path))
+    assert [(str(r.date), r.campaign_id, float(r.spend), r.source_rows) for r in got.facts.collect()] == [
+        ("2024-01-05", "1", 15.0, 2), ("2024-01-06", "3", 8.0, 1), ("2024-01-07", "3", 8.0, 1), ("2025-01-01", "2", 7.0, 1)]
+    charged = {(r.platform, r.check): r.penalty for r in got.ledger.collect() if r.penalty}
+    assert charged == {("meta", "file_missing"): 20.0, ("folder", "file_unrecognized"): 10.0, ("bing", "unreadable"): 15.0,
+                       ("google", "bad_dates"): 2.0, ("all", "duplicates"): 3.0}
+    assert got.score.first().quality_score == 50.0
+    assert got.ledger.filter("check = 'corrupt_lines'").first().affected == 1
+    first = ingest_folder(spark, str(tmp_path), first_only=True)
+    assert first.facts.count() == 2 and first.ledger.filter("check = 'file_left_out'").first().affected == 1
