@@ -74,8 +74,8 @@ def copied_units(docs: DataFrame) -> DataFrame:
     """
     units = unit_table(docs)
     rank = F.struct(F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("at").alias("at"))
-    first = (units.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-             .select("digest", "first"))
+    first = materialize(units.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+                        .select("digest", "first"), "first-units")  # a table, so that the join may split a digest that very many units have
     copies = units.join(first, "digest").filter(rank != F.col("first"))
     one = F.struct("at", F.col("first.id").alias("keep_id"))
     return materialize(copies.groupBy("_id", "_row").agg(F.sort_array(F.collect_list(one)).alias("copies")), "copied-units")
