@@ -9,7 +9,6 @@ and kept in a bounded cache, so a text costs a lookup a word.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import json
@@ -22,13 +21,13 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from roaskit.llm.common import id_and_text, slices, table
+from roaskit.llm.common import few_cycles, id_and_text, slices, table
 
 #: The word pattern and the white space of the tokenizer's normalizer.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WHITE = r"\t\n\v\f\r \x85\xa0  -     　"
 #: Words kept from block to block by a worker, and bytes of text in a block.
-CACHE_WORDS, BLOCK_BYTES = 150_000, 12 << 20
+CACHE_WORDS, BLOCK_BYTES = 120_000, 5 << 20
 
 _LATIN = regex.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _WORDS = regex.compile(WORD_PATTERN.replace(r"[^\s", f"[^{WHITE}"))
@@ -210,8 +209,6 @@ class Coder:
 
     def __init__(self, path: str):
         self.v, self.words = loaded(path)
-        gc.freeze()
-        gc.disable()                                  # there are no cycles here, and millions of tuples
 
     def block(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Of each text the number of ids, the ids joined by spaces, and the decoded text."""
@@ -264,13 +261,14 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for part in slices(batch, most=BLOCK_BYTES):
                 cols: dict[str, list] = {k: [] for k in schema.names[1:]}
-                for n, ids, text in coder.block(part.column("_text").to_pylist()):
-                    cols["n_tokens"].append(n)
-                    cols["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-                    cols["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
-                    if full:
-                        cols["ids"].append([int(i) for i in ids.split()])
-                        cols["decoded"].append(text)
+                with few_cycles():
+                    for n, ids, text in coder.block(part.column("_text").to_pylist()):
+                        cols["n_tokens"].append(n)
+                        cols["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+                        cols["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
+                        if full:
+                            cols["ids"].append([int(i) for i in ids.split()])
+                            cols["decoded"].append(text)
                 yield pa.RecordBatch.from_arrays([part.column("_id"), *(pa.array(cols[k], schema.field(k).type) for k in cols)], schema=schema)
 
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +14,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task holds as arrays at a time.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that a task holds as arrays at a time; these take about 50 bytes for each.
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -152,3 +154,13 @@ def smallest_hashes(df: DataFrame, key: Column, most: int) -> DataFrame:
         if near.select("_order").count() >= most:
             hashed = near
     return hashed.orderBy("_order").limit(most)
+
+
+@contextmanager
+def few_cycles() -> Iterator[None]:
+    """No search for cycles meanwhile: for code that makes millions of tuples or strings and no cycle."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()

@@ -12,7 +12,6 @@ starts, so a reader may begin anywhere. The last block is filled up with its own
 
 from __future__ import annotations
 
-import gc
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,14 +24,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from roaskit.llm.bpe import BLOCK_BYTES, Splitter, chunks_of
-from roaskit.llm.common import Placed, filesystem, id_and_text, slices, table
+from roaskit.llm.bpe import Splitter, chunks_of
+from roaskit.llm.common import Placed, few_cycles, filesystem, id_and_text, slices, table
 from roaskit.sources.storage import materialize, new_folder
 
 BLOCK, SHARE, MARK = 256, 0.9, b"PFORIDS1"
 HEAD, TRAILER = struct.Struct("<IBH"), struct.Struct("<QQQQ8s")
 #: Blocks decoded at a time, words given to the library at a time, and chunks that a worker keeps from block to block.
 READ_BLOCKS, WORDS, CACHE_CHUNKS = 4096, 2000, 400_000
+#: Bytes of text that are encoded at a time.
+BLOCK_BYTES = 12 << 20
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -183,8 +184,6 @@ class LibraryCoder:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.split = Splitter(self.special).split
         self.forget()
-        gc.freeze()
-        gc.disable()                                  # there are no cycles here, and many small objects
 
     def forget(self) -> None:
         self.words = {w: np.array([i], "<u4").tobytes() for w, i in self.special.items()}
@@ -246,7 +245,8 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str, id_c
             writer = Writer(out)
             for batch in (b for group in ([first], batches) for b in group):
                 for piece in slices(batch, most=BLOCK_BYTES):
-                    writer.add(piece.column("_id").to_pylist(), coder.block(piece.column("_text").to_pylist(), end))
+                    with few_cycles():
+                        writer.add(piece.column("_id").to_pylist(), coder.block(piece.column("_text").to_pylist(), end))
             writer.close()
         yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_docs": len(writer.docs), "n_tokens": writer.n}], schema)
 
