@@ -12,8 +12,9 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = build_session("tests", "local[8]", 4, **{
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         "spark.ui.enabled": "false", "spark.driver.memory": "6g",
         "spark.ui.showConsoleProgress": "false"})
     s.sparkContext.setLogLevel("ERROR")
