@@ -30,10 +30,10 @@ from roaskit.sources.storage import materialize, new_folder
 
 BLOCK, SHARE, MARK = 256, 0.9, b"PFORIDS1"
 HEAD, TRAILER = struct.Struct("<IBH"), struct.Struct("<QQQQ8s")
-#: Blocks decoded at a time, words given to the library at a time, and chunks that a worker keeps from block to block.
+#: Blocks decoded at a time, words given to the library at a time, and chunks after which a worker begins a new cache.
 READ_BLOCKS, WORDS, CACHE_CHUNKS = 4096, 2000, 400_000
-#: Bytes of text that are encoded at a time.
-BLOCK_BYTES = 12 << 20
+#: Bytes of text that are encoded at a time; the chunks of a block take about 15 bytes for each.
+BLOCK_BYTES = 1 << 20
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -183,11 +183,13 @@ class LibraryCoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.split = Splitter(self.special).split
-        self.forget()
+        self.known: dict[str, bytes] = {}             # of chunks between spaces
+        self.age()
 
-    def forget(self) -> None:
+    def age(self) -> None:
+        """Begins a new cache; of the one before, what is used again comes over."""
         self.words = {w: np.array([i], "<u4").tobytes() for w, i in self.special.items()}
-        self.known: dict[str, bytes] = {}             # of chunks between spaces
+        self.before, self.known = self.known, {}
 
     def learn(self, new: list[str]) -> None:
         for at in range(0, len(new), WORDS):
@@ -204,11 +206,13 @@ class LibraryCoder:
     def block(self, texts: list[str], end: bytes) -> list[bytes]:
         """The ids of each text and the end id, as little-endian 32-bit numbers."""
         if len(self.known) > CACHE_CHUNKS:
-            self.forget()
-        split = [chunks_of(t) for t in texts]
-        parts = {c: self.split(c) for c in set().union(*split).difference(self.known)}
-        self.learn(list(set().union(*parts.values()).difference(self.words)))
+            self.age()
         known, words = self.known, self.words
+        split = [chunks_of(t) for t in texts]
+        new = set().union(*split).difference(known)
+        known.update((c, self.before[c]) for c in new.intersection(self.before))
+        parts = {c: self.split(c) for c in new.difference(self.before)}
+        self.learn(list(set().union(*parts.values()).difference(words)))
         for c, ws in parts.items():
             known[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
         del parts
