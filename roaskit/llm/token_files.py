@@ -31,7 +31,7 @@ from roaskit.sources.storage import materialize, new_folder
 BLOCK, SHARE, MARK = 256, 0.9, b"PFORIDS1"
 HEAD, TRAILER = struct.Struct("<IBH"), struct.Struct("<QQQQ8s")
 #: Blocks decoded at a time, words given to the library at a time, and chunks after which a worker begins a new cache.
-READ_BLOCKS, WORDS, CACHE_CHUNKS = 4096, 2000, 400_000
+READ_BLOCKS, WORDS, CACHE_CHUNKS = 4096, 2000, 700_000
 #: Bytes of text that are encoded at a time; the chunks of a block take about 15 bytes for each.
 BLOCK_BYTES = 1 << 20
 
