@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds as arrays at a time; these take about 50 bytes for each.
 SLICE_BYTES = 1 << 20
+#: Which bytes are white space between words.
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
