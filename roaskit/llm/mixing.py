@@ -105,6 +105,11 @@ class Flight:
         return p
 
 
+def _with_p(units: pa.Table, p: list[float]) -> pa.Table:
+    at = units.schema.get_field_index("p")
+    return units.set_column(at, units.schema.field(at), pa.array(p, pa.float64()))
+
+
 def _flown(batches: Iterator[pa.RecordBatch], keys: list[str], salt: int) -> Iterator[pa.RecordBatch]:
     """The rows of a sorted stream after the flight; what a batch leaves open in its last group meets the next batch."""
     held, flight = None, Flight()
@@ -115,7 +120,7 @@ def _flown(batches: Iterator[pa.RecordBatch], keys: list[str], salt: int) -> Ite
         draws = (mixed(whole.column("h").to_numpy().view(np.uint64) + np.uint64(salt)) >> np.uint64(11)) / float(1 << 53)
         groups = list(zip(*(whole.column(k).to_pylist() for k in keys)))
         p = flight.over(groups, whole.column("size").to_pylist(), whole.column("p").to_pylist(), draws.tolist())
-        whole = whole.set_column(whole.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
+        whole = _with_p(whole, p)
         stay = np.zeros(len(whole), bool)
         stay[flight.open] = True
         held = whole.filter(pa.array(stay))
@@ -157,7 +162,7 @@ def _landing(units: pa.Table) -> Iterator[pa.RecordBatch]:
         mine = [i for i, x in enumerate(place) if x == one]
         for i, x in zip(mine, landed([sizes[i] for i in mine], [p[i] for i in mine])):
             out[i] = x
-    yield from units.set_column(units.schema.get_field_index("p"), "p", pa.array(out, pa.float64())).to_batches()
+    yield from _with_p(units, out).to_batches()
 
 
 def mixed_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS,
