@@ -1,151 +1,129 @@
-"""Portfolio ensemble with Spark ML: a seasonal member and three tree members.
+"""The portfolio's own forecast: a seasonal member by least squares and three boosted-tree members.
 
-The portfolio is one daily series, so this is small data however large the facts
-are. Members see the calendar and lagged features only, never their own day.
+Everything carries key columns, so the portfolio of every fold is fitted side by side; the
+same works for any other series. Members see the calendar and lagged features only, never
+their own day.
 """
 
 from __future__ import annotations
 
-import math
-from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roaskit import params as P
-from roaskit.functions.attach import attach
-from roaskit.functions.scalars import calendar_columns
+from roaskit.functions.scalars import calendar_columns, with_calendar
+from roaskit.operators import boosting
 from roaskit.operators.anchor import damped_trend
-from roaskit.operators.features import WINDOWS
-from roaskit.operators.forecast import blend
+from roaskit.operators.boosting import Learner
+from roaskit.operators.entities import ENTITY
+from roaskit.operators.features import WINDOWS, daily_totals, marketing_ratios, rolling_features
+from roaskit.operators.forecast import blend, future_calendar
+from roaskit.operators.leastsquares import fit_seasonal, seasonal_value
 
 CALENDAR = ["month", "quarter", "week", "day_of_week", "is_weekend", "season_encoded"]
 LAGGED = [f"{kind}_{w}d" for w in WINDOWS for kind in (
     "rolling_revenue", "rolling_spend", "rolling_roas", "rolling_conversion_rate",
     "moving_std_revenue", "moving_std_spend", "moving_std_roas", "variance_revenue",
     "trend_revenue")]
+FEATURES = [*CALENDAR, *LAGGED]
+#: How the tree members grow, what they predict, and how many of FEATURES they see.
+LEARNERS = {
+    "tree_a": (Learner(penalty=1.0), "revenue", len(FEATURES)),
+    "tree_b": (Learner(penalty=0.0, least_rows=20), "revenue", len(FEATURES)),
+    "tree_c": (Learner(penalty=3.0, level_split=True), "revenue", len(FEATURES)),
+    "spend": (Learner(rounds=100, step=0.1, penalty=0.0, least_rows=20), "spend", len(CALENDAR)),
+}
 
 
-def seasonal_columns(span_days: int, origin: str) -> dict[str, Column]:
-    """Day index and Fourier terms; yearly ones only from a year of history on."""
-    t = F.datediff("date", F.lit(origin).cast("date")).cast("double")
-    cols = {"t": t / F.lit(365.25)}
-    if span_days >= P.YEARLY_TERM_MIN_DAYS:
-        for k in range(1, 11):
-            angle = t * (2.0 * math.pi * k / 365.25)
-            cols[f"yc{k}"], cols[f"ys{k}"] = F.cos(angle), F.sin(angle)
-    return cols
+class Portfolio(NamedTuple):
+    """A fitted ensemble: its tables hold one row (trees: one a member) for each key.
 
+    Without tree members `trees` and `newest` are None, and the seasonal member gives the spend.
+    """
 
-def train_frame(daily: DataFrame) -> DataFrame:
-    """Daily features as doubles; what the first rows lack is 0."""
-    return daily.select("date", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
-                                  for c in (*CALENDAR, *LAGGED, "revenue", "spend")])
+    seasonal: DataFrame
+    spread: DataFrame
+    trees: DataFrame | None = None
+    newest: DataFrame | None = None
 
 
-def _trees(cols: list[str], stage) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"),
-                            stage.setFeaturesCol("features").setPredictionCol("prediction")])
+def weights_of(members: tuple[str, ...]) -> dict[str, float]:
+    """The weights of the members in use, scaled to come to 1."""
+    total = sum(P.ENSEMBLE_WEIGHTS[m] for m in members)
+    return {m: P.ENSEMBLE_WEIGHTS[m] / total for m in members}
 
 
-def fit_members(daily: DataFrame, trees: int = 150, spend_trees: int = 100,
-                depth: int = 5, step: float = 0.08) -> dict:
-    """The fitted members: name -> PipelineModel, and the `origin` and `span` they share.
+def feature_days(days: DataFrame, keys: list[str]) -> DataFrame:
+    """The features of each day, from the day's totals (keys, date, measures); what the first days lack is 0."""
+    rows = rolling_features(marketing_ratios(with_calendar(days), clip=True), keys)
+    return rows.select(*keys, "date", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+                                        for c in (*FEATURES, "revenue", "spend")])
 
-    The series has a row a day, so it is kept in one cached partition: boosting is
-    a long run of short jobs, and their number, not the data, is what takes time.
-    The members are independent and fitted side by side.
-    """
-    frame = train_frame(daily).coalesce(1).cache()
-    ends = frame.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
-    span = (ends["hi"] - ends["lo"]).days
-    origin = ends["lo"].isoformat()
-    terms = seasonal_columns(span, origin)
-    seasonal = Pipeline(stages=[
-        OneHotEncoder(inputCols=["day_of_week"], outputCols=["weekday_hot"]),
-        VectorAssembler(inputCols=[*terms, "weekday_hot"], outputCol="features"),
-        LinearRegression(labelCol="revenue", solver="normal", regParam=1e-6)])
-    xs = [*CALENDAR, *LAGGED]
-    boost = {"maxDepth": depth, "checkpointInterval": -1}
-    plans = {
-        "seasonal": (seasonal, frame.withColumns(terms)),
-        "tree_a": (_trees(xs, GBTRegressor(labelCol="revenue", maxIter=trees, stepSize=step,
-                                           seed=42, **boost)), frame),
-        "tree_b": (_trees(xs, GBTRegressor(labelCol="revenue", maxIter=trees, stepSize=step,
-                                           seed=7, subsamplingRate=0.8, **boost)), frame),
-        "tree_c": (_trees(xs, RandomForestRegressor(labelCol="revenue", numTrees=trees, seed=42,
-                                                    **boost)), frame),
-        "spend": (_trees(CALENDAR, GBTRegressor(labelCol="spend", maxIter=spend_trees, seed=42,
-                                                **boost)), frame),
-    }
-    with ThreadPoolExecutor(len(plans)) as pool:
-        jobs = {n: pool.submit(inheritable_thread_target(daily.sparkSession)(p.fit), d)
-                for n, (p, d) in plans.items()}
-        fitted = {n: j.result() for n, j in jobs.items()}
-    frame.unpersist()
-    return {"origin": origin, "span": span, **fitted}
-
-
-def predict_members(members: dict, frame: DataFrame) -> DataFrame:
-    """`frame` with one column for each member and `ensemble`, their weighted sum >= 0."""
-    keep = frame.columns
-    terms = seasonal_columns(members["span"], members["origin"])
-    rows = frame.withColumns(terms)
-    for name in (*P.ENSEMBLE_WEIGHTS, "spend"):
-        rows = members[name].transform(rows).withColumnRenamed("prediction", f"m_{name}").drop(
-            "features", "weekday_hot")
-    total = sum((F.col(f"m_{n}") * w for n, w in P.ENSEMBLE_WEIGHTS.items()), F.lit(0.0))
-    return rows.select(*keep, *[f"m_{n}" for n in (*P.ENSEMBLE_WEIGHTS, "spend")],
-                       total.alias("raw"), F.greatest(F.lit(0.0), total).alias("ensemble"))
-
-
-def residual_spread(members: dict, daily: DataFrame) -> DataFrame:
-    """One row: population spread of revenue about the ensemble, spend about its member."""
-    fit = predict_members(members, train_frame(daily))
-    return fit.agg(F.stddev_pop(F.col("revenue") - F.col("raw")).alias("std_revenue"),
-                   F.stddev_pop(F.col("spend") - F.col("m_spend")).alias("std_spend"))
-
-
-def future_frame(daily: DataFrame, days: int = P.MAX_HORIZON) -> DataFrame:
-    """The next days: their calendar, and the newest day's lagged features carried on."""
-    newest = train_frame(daily).agg(
-        F.max("date").alias("_last"),
-        *[F.max_by(c, "date").alias(c) for c in LAGGED])
-    days_ahead = newest.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(days))))
-    rows = days_ahead.withColumn("date", F.date_add("_last", F.col("day"))).drop("_last")
-    return rows.withColumns({k: c.cast("double") for k, c in calendar_columns().items()})
-
-
-def overall_daily(members: dict, daily: DataFrame, anchor: DataFrame,
-                  revenue_weight: float = P.MODEL_WEIGHT_REVENUE,
-                  spend_weight: float = P.MODEL_WEIGHT_SPEND) -> DataFrame:
-    """day, ensemble, revenue, spend, std_daily of the portfolio, blended with its anchor.
-
-    `anchor` is the portfolio's one row of `recent_anchors`.
+
+def portfolio_days(cube: DataFrame) -> DataFrame:
+    """The portfolio's totals a day, under its name."""
+    return daily_totals(cube).select(F.lit(P.OVERALL).alias("dimension_type"), F.lit(P.PORTFOLIO).alias("dimension_value"), "*")
+
+
+def member_values(model: Portfolio, rows: DataFrame, keys: list[str], members: tuple[str, ...]) -> DataFrame:
+    """`rows` (keys, date, and FEATURES if there are trees) with raw, the weighted sum of the members, and m_spend."""
+    cols = rows.columns
+    out = rows.join(model.seasonal.select(*keys, "first_date", "last_date", "revenue_beta", "spend_beta"), keys)
+    out = out.select(*cols, seasonal_value("revenue").alias("m_seasonal"), seasonal_value("spend").alias("m_spend"))
+    if model.trees is not None:
+        got = boosting.predict_trees(model.trees, boosting.frames(rows, keys, FEATURES, []), keys)
+        names = [m for m in (*members, "spend") if m != "seasonal"]
+        wide = got.groupBy(*keys, "date").pivot("member", names).agg(F.max("value"))
+        wide = wide.select(*keys, "date", *[F.col(m).alias(f"m_{m}") for m in names])
+        out = out.drop("m_spend").join(wide, [*keys, "date"])
+    raw = sum((F.col(f"m_{m}") * F.lit(w) for m, w in weights_of(members).items()), F.lit(0.0))
+    return out.withColumn("raw", raw)
+
+
+def fit_portfolio(series: DataFrame, keys: list[str], members: tuple[str, ...] = tuple(P.ENSEMBLE_WEIGHTS),
+                  features: DataFrame | None = None, learners: dict = LEARNERS) -> Portfolio:
+    """Fits every series of `series` (keys, date, revenue, spend; a materialized table).
+
+    Tree members need `features`, as `feature_days` makes them for the same keys and days,
+    materialized too. The spread is that of the residuals of the whole ensemble.
     """
-    rows = predict_members(members, future_frame(daily))
-    rows = attach(attach(rows, residual_spread(members, daily)), anchor, "daily_revenue",
-                  "daily_spend", "revenue_trend_per_day", "spend_trend_per_day")
-    return rows.select(
-        F.lit(P.OVERALL).alias("dimension_type"), F.lit(P.PORTFOLIO).alias("dimension_value"),
-        "day", "date", "ensemble",
-        blend(F.col("ensemble"), damped_trend("daily_revenue", "revenue_trend_per_day", "day"),
-              revenue_weight, 0.0).alias("revenue"),
-        blend(F.greatest(F.col("m_spend"), F.lit(1.0)),
-              damped_trend("daily_spend", "spend_trend_per_day", "day"), spend_weight, 1.0)
-        .alias("spend"),
-        F.coalesce("std_revenue", F.lit(P.DEFAULT_STD_OVERALL)).alias("std_daily"))
+    seasonal = fit_seasonal(series, keys)
+    if not set(members) - set(P.LINEAR_MEMBERS):
+        return Portfolio(seasonal, seasonal.select(*keys, "revenue_std", "spend_std"))
+    chosen = {m: learners[m] for m in (*members, "spend") if m in learners}
+    newest = features.groupBy(*keys).agg(F.max_by(F.struct(*LAGGED), "date").alias("v")).select(*keys, "v.*")
+    trees = boosting.fit_trees(boosting.frames(features, keys, FEATURES, ["revenue", "spend"]), keys, chosen)
+    return Portfolio(seasonal, seasonal.select(*keys, "revenue_std", "spend_std"), trees, newest)
 
 
-def save_members(members: dict, path: str) -> None:
-    for name in (*P.ENSEMBLE_WEIGHTS, "spend"):
-        members[name].write().overwrite().save(f"{path}/{name}")
+def with_spread(model: Portfolio, features: DataFrame, keys: list[str], members: tuple[str, ...]) -> Portfolio:
+    """The model with the spread of the whole ensemble about the training days; its trees are a written table by now."""
+    fit = member_values(model, features, keys, members)
+    return model._replace(spread=fit.groupBy(*keys).agg(
+        F.stddev_pop(F.col("revenue") - F.col("raw")).alias("revenue_std"), F.stddev_pop(F.col("spend") - F.col("m_spend")).alias("spend_std")))
 
 
-def load_members(path: str, origin: str, span: int) -> dict:
-    return {"origin": origin, "span": span,
-            **{n: PipelineModel.load(f"{path}/{n}") for n in (*P.ENSEMBLE_WEIGHTS, "spend")}}
+def portfolio_daily(model: Portfolio, anchors: DataFrame, start: Column, keys: list[str] | None = None,
+                    members: tuple[str, ...] = tuple(P.ENSEMBLE_WEIGHTS), days: int = P.MAX_HORIZON,
+                    revenue_weight: float = P.MODEL_WEIGHT_REVENUE, spend_weight: float = P.MODEL_WEIGHT_SPEND) -> DataFrame:
+    """keys, day, date, ensemble (members alone, at least 0), and revenue and spend blended with the anchor, std_daily.
+
+    The future has the newest day's lagged features. `has_model` and `total_revenue` are there
+    for the other levels' sake.
+    """
+    keys = list(keys or ENTITY)
+    future = future_calendar(model.seasonal.select(*keys).withColumn("start_date", start), days=days).drop("start_date")
+    if model.trees is not None:
+        future = future.withColumns({k: c.cast("double") for k, c in calendar_columns().items()}).join(model.newest, keys)
+    level = anchors.select(*keys, "daily_revenue", "daily_spend", "revenue_trend_per_day", "spend_trend_per_day")
+    rows = (member_values(model, future, keys, members).join(level, keys, "left")
+            .join(model.spread.select(*keys, "revenue_std"), keys, "left"))
+    ensemble = F.greatest(F.lit(0.0), F.col("raw"))
+    return rows.select(
+        *keys, "day", "date", ensemble.alias("ensemble"),
+        blend(ensemble, damped_trend("daily_revenue", "revenue_trend_per_day", "day"), revenue_weight, 0.0).alias("revenue"),
+        blend(F.greatest(F.col("m_spend"), F.lit(1.0)), damped_trend("daily_spend", "spend_trend_per_day", "day"), spend_weight, 1.0).alias("spend"),
+        F.coalesce("revenue_std", F.lit(P.DEFAULT_STD_OVERALL)).alias("std_daily"),
+        F.lit(True).alias("has_model"), F.lit(None).cast("double").alias("total_revenue"))

@@ -43,6 +43,10 @@ TOP_CAMPAIGNS = 10
 # Members of the portfolio ensemble.
 ENSEMBLE_WEIGHTS = {"seasonal": 0.35, "tree_a": 0.25, "tree_b": 0.20, "tree_c": 0.20}
 YEARLY_TERM_MIN_DAYS = 365
+YEARLY_PAIRS = 10
+RIDGE = 1e-6
+#: Members whose fit is a sum over days, so that SQL can solve the same equations.
+LINEAR_MEMBERS = ("seasonal",)
 
 # Backtest.
 MIN_TRAIN_DAYS = 120

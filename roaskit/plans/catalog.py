@@ -59,7 +59,7 @@ def shape_sql(ctes: str, table: str, spec: str) -> str:
         else:
             c = f"round(CAST({name} AS DOUBLE), {kind}) + 0.0"
         cols.append(f"{c} AS {name}")
-    return f"WITH {ctes}\nSELECT {', '.join(cols)}\nFROM {table}"
+    return f"WITH RECURSIVE {ctes}\nSELECT {', '.join(cols)}\nFROM {table}"
 
 
 def query(name: str, spec: str | None = None, ctes: str | None = None, table: str = "result"

@@ -219,18 +219,17 @@ def _(spark, sf):
 
 def overall_base(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(portfolio forecast rows with roas, one row with its daily spread and 30-day revenue)"""
-    cube, series, fc = forecasting.full_forecast(campaign_facts(spark, sf))
-    base = materialize(fc.filter(F.col("dimension_type") == P.OVERALL).select(
-        "forecast_period", F.col("p50").alias("revenue"), (F.col("p50") / F.col("spend")).alias("roas"),
-        "spend"), "overall")
-    spread = EF.fit_effects(E.at_level(series, P.OVERALL)).select("revenue_std")
+    fc, spread = forecasting.overall_forecast(campaign_facts(spark, sf))
+    base = materialize(fc.select("forecast_period", F.col("p50").alias("revenue"), (F.col("p50") / F.col("spend")).alias("roas"),
+                                 "spend"), "overall")
+    spread = spread.select("revenue_std")
     first = base.filter(F.col("forecast_period") == "30_days").agg(
         F.max("revenue").alias("revenue_30d"), F.max("spend").alias("spend_30d"))
     return base, materialize(attach(first, spread), "spread")
 
 
-VOL = S.OWN + """,
-vol AS (SELECT coalesce(least(greatest((SELECT revenue_std FROM model WHERE dimension_type = 'Overall')
+VOL = S.LEVELS + """,
+vol AS (SELECT coalesce(least(greatest((SELECT pstd FROM lsstd)
   * pow(30, 0.75) / p50, 0.03), 0.60), 0.15) AS vol FROM own
   WHERE dimension_type = 'Overall' AND forecast_period = '30_days')"""
 

@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roaskit import params as P
-from roaskit.functions.attach import scalar_of
 from roaskit.operators import anchor as A
 from roaskit.operators import backtest as B
 from roaskit.operators import effects as EF
 from roaskit.operators import ensemble as EN
 from roaskit.operators import entities as E
-from roaskit.operators import features as FE
 from roaskit.operators import forecast as FC
 from roaskit.plans import forecasting
 from roaskit.plans import sql as S
@@ -202,15 +200,25 @@ def _(spark, sf):
     return FC.with_confidence(forecasting.predictions(campaign_facts(spark, sf)))
 
 
-def portfolio(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(daily features, the portfolio's anchor), both written once."""
-    cube = materialize(E.daily_cube(campaign_facts(spark, sf)), "cube")
-    daily = materialize(FE.daily_features(cube), "daily")
-    series = daily.select(F.lit(P.OVERALL).alias("dimension_type"),
-                          F.lit(P.PORTFOLIO).alias("dimension_value"), "date",
-                          F.col("revenue").cast("double").alias("revenue"),
-                          F.col("spend").cast("double").alias("spend"))
-    return daily, A.recent_anchors(series)
+@query("portfolio_model", "rows:i span:i revenue_std:2 spend_trend:2 fitted_revenue:2 fitted_spend:2", S.SERIES + "," + S.least_squares() + """,
+result AS (SELECT count(*) AS rows, max(d1 - d0) AS span, max(pstd) AS revenue_std, max(sb[2]) AS spend_trend,
+  sum(list_dot_product(x, rb)) / count(*) AS fitted_revenue, sum(list_dot_product(x, sb)) / count(*) AS fitted_spend
+  FROM lsrow JOIN lsbeta USING (dimension_type, dimension_value) JOIN lsstd USING (dimension_type, dimension_value))""")
+def _(spark, sf):
+    """The seasonal member: coefficients of the normal equations, spread, and its values over the days."""
+    own = materialize(E.at_level(series_of(spark, sf), P.OVERALL), "portfolio")
+    model = EN.fit_portfolio(own, E.ENTITY, P.LINEAR_MEMBERS)
+    rows = EN.member_values(model, own, E.ENTITY, P.LINEAR_MEMBERS).join(model.seasonal.drop("revenue_beta"), E.ENTITY)
+    return rows.agg(F.count("*").alias("rows"), F.max(F.datediff("last_date", "first_date")).alias("span"), F.max("revenue_std").alias("revenue_std"),
+                    F.max(F.get("spend_beta", F.lit(1))).alias("spend_trend"), F.avg("raw").alias("fitted_revenue"),
+                    F.avg("m_spend").alias("fitted_spend"))
+
+
+@query("portfolio_daily", "day:i date:d ensemble:2 revenue:2 spend:2", S.LEVELS + """,
+result AS (SELECT day, date, pr AS ensemble, revenue, spend FROM daily JOIN lsday USING (dimension_type, dimension_value, day))""")
+def _(spark, sf):
+    """The portfolio day by day: the member alone, and blended with the anchor."""
+    return forecasting.overall_daily(campaign_facts(spark, sf))[0]
 
 
 # Backtest.
@@ -338,31 +346,35 @@ def _(spark, sf):
     return B.distinct_origins(bt(spark, sf).scorecard)
 
 
-# The ensemble of fitted members: no SQL can check it, the tests check its invariants.
+# The tree members: no SQL can grow them, the tests grow exact greedy trees beside them.
+
+EVERY = tuple(P.ENSEMBLE_WEIGHTS)
+
+
+@query("overall_ensemble")
+def _(spark, sf):
+    """Portfolio forecast of all four members blended with the anchor."""
+    return FC.predictions_long(forecasting.overall_forecast(campaign_facts(spark, sf), EVERY)[0])
 
-_fitted: dict[tuple[str, str], dict] = {}
 
+@query("ensemble_backtest")
+def _(spark, sf):
+    """The backtest with all four members fitted anew in every fold."""
+    return run_backtest(campaign_facts(spark, sf), FOLDS, members=EVERY).scorecard
 
-def members_of(spark: SparkSession, sf: str, daily: DataFrame) -> dict:
-    """The fitted members, once for a session and data set."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _fitted:
-        _fitted[key] = EN.fit_members(daily)
-    return _fitted[key]
 
+TRAJECTORY = """,
+result AS (SELECT day, round_even(greatest(0.0, pr - 1.28 * pstd * pow(day, 0.75)), 2) AS p10, round_even(pr, 2) AS p50,
+  round_even(pr + 1.28 * pstd * pow(day, 0.75), 2) AS p90 FROM lsday)"""
 
-@query("overall_ensemble")
+
+@query("daily_trajectory", "day:i p10:2 p50:2 p90:2", S.LEVELS + TRAJECTORY)
 def _(spark, sf):
-    """Portfolio forecast of the four members blended with the anchor."""
-    daily, anchor = portfolio(spark, sf)
-    rows = FC.horizon_intervals(EN.overall_daily(members_of(spark, sf, daily), daily, anchor))
-    return FC.predictions_long(rows)
+    """Day by day, the seasonal member without the anchor."""
+    return FC.daily_trajectory(forecasting.overall_daily(campaign_facts(spark, sf))[0], F.col("std_daily"))
 
 
-@query("daily_trajectory")
+@query("ensemble_trajectory")
 def _(spark, sf):
-    """Day by day, the seasonal and tree members without the anchor."""
-    daily, _ = portfolio(spark, sf)
-    members = members_of(spark, sf, daily)
-    spread = scalar_of(EN.residual_spread(members, daily), "std_revenue")["std_revenue"]
-    return FC.daily_trajectory(EN.predict_members(members, EN.future_frame(daily)), spread)
+    """Day by day, all members without the anchor."""
+    return FC.daily_trajectory(forecasting.overall_daily(campaign_facts(spark, sf), EVERY)[0], F.col("std_daily"))

@@ -168,10 +168,73 @@ wdm AS (SELECT {k}, wd, max(rw) AS rw, max(sw) AS sw FROM fit GROUP BY ALL),
 mom AS (SELECT {k}, mo, max(rmo) AS rmo, max(smo) AS smo FROM fit GROUP BY ALL)"""
 
 
-def daily(start: str, fold: str = "") -> str:
-    """daily: 90 days of blended revenue and spend; `start` is SQL for the first day."""
+def least_squares(s: str = "series", fold: str = "") -> str:
+    """lsrow .. lsstd: the portfolio's seasonal member, its normal equations solved by elimination without pivots."""
     k = f"{fold}dimension_type, dimension_value"
     return f"""
+lsend AS (
+  SELECT {k}, min(date) AS d0, max(date) AS d1 FROM {s} WHERE dimension_type = 'Overall' GROUP BY ALL
+),
+lsrow AS MATERIALIZED (
+  SELECT {k}, date, revenue, spend, {design()} AS x FROM {s} JOIN lsend USING ({k})
+),
+lscell AS (
+  SELECT {k}, i, j, sum(z[i] * z[j]) + CASE WHEN i = j THEN 1e-6 ELSE 0 END AS v
+  FROM (SELECT *, list_concat(x, [revenue, spend]) AS z FROM lsrow)
+  CROSS JOIN (SELECT range AS i FROM range(1, 29)) CROSS JOIN (SELECT range AS j FROM range(1, 31)) GROUP BY {k}, i, j
+),
+lsmat AS MATERIALIZED (
+  SELECT {k}, list(r ORDER BY i) AS m
+  FROM (SELECT {k}, i, list(v ORDER BY j) AS r FROM lscell GROUP BY {k}, i) GROUP BY {k}
+),
+lselim AS (
+  SELECT {k}, 0 AS step, m FROM lsmat
+  UNION ALL
+  SELECT {k}, step + 1, [CASE WHEN i = step + 1 THEN [m[i][j] / m[i][i] FOR j IN range(1, 31)]
+    ELSE [m[i][j] - m[i][step + 1] * m[step + 1][j] / m[step + 1][step + 1] FOR j IN range(1, 31)] END FOR i IN range(1, 29)]
+  FROM lselim WHERE step < 28
+),
+lsbeta AS MATERIALIZED (
+  SELECT {k}, d0, d1, [m[i][29] FOR i IN range(1, 29)] AS rb, [m[i][30] FOR i IN range(1, 29)] AS sb
+  FROM lselim JOIN lsend USING ({k}) WHERE step = 28
+),
+lsstd AS (
+  SELECT {k}, stddev_pop(revenue - list_dot_product(x, rb)) AS pstd FROM lsrow JOIN lsbeta USING ({k}) GROUP BY {k}
+)"""
+
+
+def design() -> str:
+    """The design row of `date` for a series from d0 to d1."""
+    days = ", ".join(f"CAST(isodow(date) = {d} AS DOUBLE)" for d in range(2, 8))
+    return f"""list_concat([1.0::DOUBLE, date_diff('day', d1, date) / 365.25::DOUBLE, {days}],
+    CASE WHEN date_diff('day', d0, date) IS NOT NULL AND date_diff('day', d0, d1) >= 365 THEN
+      flatten([[cos(date_diff('day', d0, date) * (2 * pi() * h / 365.25)), sin(date_diff('day', d0, date) * (2 * pi() * h / 365.25))]
+               FOR h IN range(1, 11)])
+    ELSE [0.0::DOUBLE FOR h IN range(0, 20)] END)"""
+
+
+def daily(start: str, fold: str = "", portfolio: bool = False) -> str:
+    """daily: 90 days of blended revenue and spend; `start` is SQL for the first day.
+
+    portfolio: whether the Overall series has its own members (after `least_squares`).
+    """
+    k = f"{fold}dimension_type, dimension_value"
+    if portfolio:
+        return daily(start, fold).replace("daily AS (", "daily0 AS (") + f""",
+lsday AS (
+  SELECT {k}, day, greatest(list_dot_product({design()}, rb), 0.0) AS pr, greatest(list_dot_product({design()}, sb), 1.0) AS ps, pstd
+  FROM daily0 JOIN lsbeta USING ({k}) JOIN lsstd USING ({k})
+),
+daily AS (
+  SELECT {k}, day, date, has_model, total_revenue, pstd, std_daily AS std0,
+    CASE WHEN pr IS NULL THEN d.revenue ELSE
+      greatest(0.08 * pr + 0.92 * (daily_revenue + revenue_trend_per_day * day * pow(0.92, day)), 0.0) END AS revenue,
+    CASE WHEN pr IS NULL THEN d.spend ELSE
+      greatest(0.25 * ps + 0.75 * (daily_spend + spend_trend_per_day * day * pow(0.92, day)), 1.0) END AS spend,
+    coalesce(pstd, std_daily) AS std_daily
+  FROM daily0 d LEFT JOIN lsday USING ({k}, day) JOIN anchors USING ({k})
+)"""
+    return f"""
 fut AS (
   SELECT m.*, CAST(d.day AS INTEGER) AS day, CAST({start} + CAST(d.day AS INTEGER) - 1 AS DATE) AS date
   FROM model m CROSS JOIN (SELECT range AS day FROM range(1, 91)) d
@@ -284,7 +347,8 @@ START = "(SELECT max(date) + 1 FROM series)"
 MODELS = ",".join([SERIES, anchors(), effects()])
 DAILY = ",".join([MODELS, daily(START)])
 OWN = ",".join([DAILY, intervals()])
-FORECAST = ",".join([OWN, campaign_map(), reconciled()])
+LEVELS = ",".join([MODELS, least_squares(), daily(START, portfolio=True), intervals()])
+FORECAST = ",".join([LEVELS, campaign_map(), reconciled()])
 PREDICTIONS = ",".join([FORECAST, predictions()])
 
 
@@ -329,7 +393,7 @@ train AS (
                           GROUP BY origin_date HAVING count(DISTINCT date) >= 14)
 ),
 ffacts AS (SELECT o.origin_date, f.* FROM facts f JOIN orig o ON f.date < o.origin_date)""",
-        anchors("train", f), effects("train", f), daily("m.origin_date", f), intervals(f),
+        anchors("train", f), effects("train", f), least_squares("train", f), daily("m.origin_date", f, True), intervals(f),
         campaign_map("ffacts", f), reconciled(f), predictions(f, "ffacts"), fold_actuals(), """
 scorecard AS (
   SELECT origin_date, dimension_type, dimension_value, forecast_period, metric,

@@ -11,7 +11,7 @@ from roaskit.sources.tables import campaign_facts
 from tests.conftest import SF
 
 FEW = ["daily_features", "entity_daily", "unify_channels", "predictions", "allocate_budget", "channel_trends"]
-SLOW = ["overall_ensemble", "daily_trajectory"]
+SLOW = ["overall_ensemble", "ensemble_trajectory", "ensemble_backtest"]
 NAMES = [n for n in queries() if n not in SLOW] if os.environ.get("ROASKIT_ALL") else FEW
 
 

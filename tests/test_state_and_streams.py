@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from roaskit.operators import anchor as A
 from roaskit.operators import effects as EF
-from roaskit.operators import ensemble as EN
 from roaskit.operators import features as FE
 from roaskit.operators import forecast as FC
 from roaskit.sources import state
@@ -84,26 +83,6 @@ def test_written_results_read_back(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).first().record_count == 1
 
 
-def test_ensemble_members(spark, channels_400d, tmp_path):
-    cube = channels_400d.withColumn("conversions", F.lit(1.0))
-    daily = FE.daily_features(cube).cache()
-    members = EN.fit_members(daily, trees=3, spend_trees=3, depth=3)
-    fit = EN.predict_members(members, EN.train_frame(daily))
-    w = fit.select(F.max(F.abs(F.col("raw") - (0.35 * F.col("m_seasonal") + 0.25 * F.col("m_tree_a") + 0.2 * F.col("m_tree_b")
-                                               + 0.2 * F.col("m_tree_c"))))).first()[0]
-    assert w < 1e-6
-    assert "ys1" in EN.seasonal_columns(365, "2024-01-01") and "ys1" not in EN.seasonal_columns(364, "2024-01-01")
-    overall = daily.select(F.lit("Overall").alias("dimension_type"), F.lit("Total Portfolio").alias("dimension_value"),
-                           "date", "revenue", "spend")
-    rows = FC.horizon_intervals(EN.overall_daily(members, daily, A.recent_anchors(overall))).collect()
-    assert len(rows) == 3 and all(0 <= r.p10 <= r.p50 <= r.p90 for r in rows)
-    traj = FC.daily_trajectory(EN.predict_members(members, EN.future_frame(daily)), F.lit(10.0)).orderBy("day").collect()
-    assert len(traj) == 90 and traj[89].p90 - traj[89].p50 > traj[0].p90 - traj[0].p50
-    EN.save_members(members, str(tmp_path / "m"))
-    again = EN.load_members(str(tmp_path / "m"), members["origin"], members["span"])
-    assert EN.predict_members(again, EN.train_frame(daily)).select("raw").collect() == fit.select("raw").collect()
-
-
 @pytest.fixture
 def event_files(spark, tmp_path):
     """The events in three files, in order of time."""
