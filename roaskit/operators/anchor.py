@@ -19,9 +19,13 @@ def month_means(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
     left give null.
     """
     keys = list(keys or ENTITY)
-    years = series.groupBy(*keys, F.month("date").alias("month"), F.year("date").alias("year")).agg(
+    return means_of_months(series.groupBy(*keys, F.month("date").alias("month"), F.year("date").alias("year")).agg(
         *[F.sum(F.col(m).cast("decimal(28,6)")).alias(m) for m in METRICS],
-        F.count("*").alias("days"))
+        F.count("*").alias("days")), keys)
+
+
+def means_of_months(years: DataFrame, keys: list[str]) -> DataFrame:
+    """The same, from the sums and days of each month of each year."""
     aggs = []
     for m in METRICS:
         live = F.col(m) > 0
@@ -37,13 +41,18 @@ def seasonal_index(series: DataFrame, keys: list[str] | None = None) -> DataFram
     median is not positive.
     """
     keys = list(keys or ENTITY)
+    return index_of_means(month_means(series, keys), keys)
+
+
+def index_of_means(means: DataFrame, keys: list[str]) -> DataFrame:
+    """The same, from the mean day of each month."""
     aggs = []
     for m in METRICS:
         mean = F.col(f"{m}_mean")
         aggs += [F.median(mean).alias(f"{m}_ref"),
                  F.map_from_entries(F.sort_array(F.collect_list(F.when(
                      mean.isNotNull(), F.struct("month", mean.alias("mean")))))).alias(f"{m}_map")]
-    maps = month_means(series, keys).groupBy(*keys).agg(*aggs)
+    maps = means.groupBy(*keys).agg(*aggs)
 
     def index(m: str) -> Column:
         ref = F.col(f"{m}_ref")
@@ -78,9 +87,13 @@ def recent_anchors(series: DataFrame, keys: list[str] | None = None,
     within 3 % of the level. Shorter series have slope 0.
     """
     keys = list(keys or ENTITY)
-    recent = last_rows(series, P.MOMENTUM_ROWS, keys)
-    if seasonal:
-        recent = recent.join(seasonal_index(series, keys), keys, "left")
+    return anchors_of(last_rows(series, P.MOMENTUM_ROWS, keys), seasonal_index(series, keys) if seasonal else None, keys)
+
+
+def anchors_of(recent: DataFrame, index: DataFrame | None, keys: list[str]) -> DataFrame:
+    """The same, from the newest rows with their age and the seasonal index."""
+    if index is not None:
+        recent = recent.join(index, keys, "left")
     else:
         recent = recent.withColumns({f"{m}_index": F.lit(None).cast("map<int,double>")
                                      for m in METRICS})

@@ -10,6 +10,7 @@ from roaskit.functions.attach import scalar_of
 from roaskit.operators import effects, ensemble, entities, forecast
 from roaskit.operators.anchor import recent_anchors
 from roaskit.operators.entities import ENTITY
+from roaskit.sources.state import PARAM_DEFAULTS
 from roaskit.sources.storage import materialize
 
 #: The portfolio's members where none are named: what SQL can check.
@@ -29,19 +30,22 @@ def fit_portfolio(series: DataFrame, keys: list[str], members: tuple[str, ...] =
 
 
 def levels_out_of(models: DataFrame, portfolio: ensemble.Portfolio, anchors: DataFrame, campaign_map: DataFrame, start: Column,
-                  folds: list[str] | None = None, members: tuple[str, ...] = MEMBERS, scales: DataFrame | None = None) -> DataFrame:
+                  folds: list[str] | None = None, members: tuple[str, ...] = MEMBERS, scales: DataFrame | None = None,
+                  tuning: dict[str, float] | None = None) -> DataFrame:
     """Forecast of every entity out of what is fitted: p10, p50, p90 of revenue, and spend.
 
     The own forecasts, three rows an entity, are written once, as fallback and reconciliation
     read them again. The portfolio always keeps its own forecast, however short it is, since
-    others fall back on it.
+    others fall back on it. `scales` and `tuning` are those of a stored state.
     """
     folds = list(folds or [])
     keys = [*folds, *ENTITY]
-    other = forecast.daily_forecast(models.filter(F.col("dimension_type") != P.OVERALL), anchors, start, keys)
-    overall = ensemble.portfolio_daily(portfolio, anchors, start, keys, members)
+    tuning = {**PARAM_DEFAULTS, **(tuning or {})}
+    weights = {"revenue_weight": tuning["model_blend_weight"], "spend_weight": tuning["spend_blend_weight"]}
+    other = forecast.daily_forecast(models.filter(F.col("dimension_type") != P.OVERALL), anchors, start, keys, **weights)
+    overall = ensemble.portfolio_daily(portfolio, anchors, start, keys, members, **weights)
     daily = other.select(*keys, *DAILY_COLUMNS).unionByName(overall.select(*keys, *DAILY_COLUMNS))
-    own = materialize(forecast.horizon_intervals(daily, keys), "own")
+    own = materialize(forecast.horizon_intervals(daily, keys, tuning["interval_calibration_scale"]), "own")
     unseen = own.filter(~F.col("has_model")).select(*keys).distinct()
     if scales is None:
         totals = own.filter(F.col("forecast_period") == "30_days").select(
@@ -51,7 +55,7 @@ def levels_out_of(models: DataFrame, portfolio: ensemble.Portfolio, anchors: Dat
     other = forecast.unseen_forecast(unseen, overall, scales)
     own = own.filter(F.col("has_model")).unionByName(other.withColumns(
         {"has_model": F.lit(False), "total_revenue": F.lit(None).cast("double")}))
-    return forecast.reconcile_campaigns(own, campaign_map, keys=folds)
+    return forecast.reconcile_campaigns(own, campaign_map, tuning["top_down_weight"], keys=folds)
 
 
 def forecast_levels(series: DataFrame, campaign_map: DataFrame, start: Column,

@@ -12,11 +12,12 @@ from roaskit.operators import effects as EF
 from roaskit.operators import ensemble as EN
 from roaskit.operators import entities as E
 from roaskit.operators import forecast as FC
-from roaskit.plans import forecasting
+from roaskit.plans import forecasting, scoring
 from roaskit.plans import sql as S
 from roaskit.plans.backtesting import run_backtest
 from roaskit.plans.catalog import query
-from roaskit.sources.storage import materialize
+from roaskit.sources import state
+from roaskit.sources.storage import materialize, new_folder
 from roaskit.sources.tables import campaign_facts
 
 ENT = "dimension_type:s dimension_value:s"
@@ -160,6 +161,21 @@ def _(spark, sf):
     return forecasting.predictions(campaign_facts(spark, sf))
 
 
+STATE_CUT = "1997-01-01"
+
+
+@query("predict_from_state", PRED_SPEC, ",".join([S.SERIES, S.anchors(), f"""
+old AS (SELECT * FROM series WHERE date < DATE '{STATE_CUT}'),
+oldfacts AS (SELECT * FROM facts WHERE date < DATE '{STATE_CUT}')""", S.effects("old"), S.least_squares("old"),
+    S.daily(S.START, portfolio=True), S.intervals(), S.campaign_map("oldfacts"), S.reconciled(), S.predictions()]), "predictions")
+def _(spark, sf):
+    """State fitted and stored on what came before a day; the forecast of all facts reads it and fits nothing."""
+    facts = campaign_facts(spark, sf)
+    path = new_folder(spark, "state")
+    state.save_state(scoring.fit_state(facts.filter(F.col("date") < F.lit(STATE_CUT).cast("date"))), path)
+    return scoring.predict_from_state(spark, facts, path)
+
+
 @query("refresh_anchors", f"{ENT} last_date:d daily_revenue:4 daily_spend:4", S.FACTS + """,
 sel AS (SELECT * FROM facts WHERE date < DATE '2000-01-01' OR channel IN ('ASIA', 'EUROPE'))
 , series AS (

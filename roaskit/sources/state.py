@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from roaskit import params as P
 from roaskit.functions.attach import attach
+from roaskit.sources.storage import read_text, remove_folder, replace_text
 
 
 class StateError(RuntimeError):
@@ -22,41 +26,108 @@ STATE_TABLES = {
                      "spend_mean", "spend_weekday", "spend_month", "spend_std"),
     "entity_baseline": ("dimension_type", "dimension_value", "daily_revenue", "daily_spend",
                         "revenue_trend_per_day", "spend_trend_per_day"),
+    "portfolio_seasonal": ("dimension_type", "dimension_value", "first_date", "last_date",
+                           "revenue_beta", "spend_beta"),
+    "portfolio_spread": ("dimension_type", "dimension_value", "revenue_std", "spend_std"),
     "campaign_map": ("campaign_name", "channel", "channel_share"),
     "fallback_scale": ("dimension_type", "scale"),
     "params": ("name", "value"),
 }
+# Tables that only an ensemble with tree members has; both or none.
+TREE_TABLES = {
+    "portfolio_trees": ("dimension_type", "dimension_value", "member", "depth", "base", "feature",
+                        "threshold", "value"),
+    "portfolio_newest": ("dimension_type", "dimension_value"),
+}
+# What a state that lacks a parameter means by it.
+PARAM_DEFAULTS = {"model_blend_weight": P.MODEL_WEIGHT_REVENUE,
+                  "spend_blend_weight": P.MODEL_WEIGHT_SPEND,
+                  "interval_calibration_scale": P.INTERVAL_SCALE,
+                  "top_down_weight": P.TOP_DOWN_WEIGHT}
+MANIFEST = "manifest.json"
 
 
-def params_table(spark: SparkSession) -> DataFrame:
-    rows = [("model_blend_weight", P.MODEL_WEIGHT_REVENUE),
-            ("spend_blend_weight", P.MODEL_WEIGHT_SPEND),
-            ("interval_calibration_scale", P.INTERVAL_SCALE),
-            ("top_down_weight", P.TOP_DOWN_WEIGHT)]
+def params_table(spark: SparkSession, **values: float) -> DataFrame:
+    rows = [(k, float(v)) for k, v in {**PARAM_DEFAULTS, **values}.items()]
     return spark.createDataFrame(rows, "name string, value double")
 
 
-def save_state(tables: dict[str, DataFrame], path: str) -> None:
-    """Each state table as Parquet under `path`. All must be there."""
+def params_of(params: DataFrame) -> dict[str, float]:
+    """The parameters by name; one that is not there has its default."""
+    found = {r["name"]: r["value"] for r in params.filter(
+        F.col("name").isin(*PARAM_DEFAULTS)).dropDuplicates(["name"]).collect()}
+    return {**PARAM_DEFAULTS, **found}
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    """version, tables (name -> rows and columns) and extra of the state at `path`; None without one."""
+    try:
+        text = read_text(spark, f"{path}/{MANIFEST}")
+        return None if text is None else json.loads(text)
+    except (ValueError, PySparkException, Py4JJavaError) as e:
+        raise StateError(f"the manifest at {path} cannot be read: {e}") from e
+
+
+def write_version(spark: SparkSession, tables: dict[str, DataFrame], path: str, base: str | None = None, **extra) -> dict:
+    """The tables in a folder of their own, then the manifest that names it, swapped at once.
+
+    Whoever loads sees the version before or this one, never a part. `base` is the version
+    this one goes back to, the present one if not given. Versions that are neither are
+    removed; a reader of the base can go on.
+    """
+    old = read_manifest(spark, path) or {}
+    base = base or old.get("version")
+    version = f"version-{uuid.uuid4().hex}"
+    entry = {}
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{version}/{name}")
+        stored = spark.read.parquet(f"{path}/{version}/{name}")
+        entry[name] = {"rows": stored.count(), "columns": stored.schema.simpleString()}
+    manifest = {"version": version, "before": base, "tables": entry, "extra": extra}
+    replace_text(spark, f"{path}/{MANIFEST}", json.dumps(manifest))
+    for gone in {old.get("version"), old.get("before")} - {base, None}:
+        remove_folder(spark, f"{path}/{gone}")
+    return manifest
+
+
+def read_version(spark: SparkSession, path: str, manifest: dict, version: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a version. Each must have the rows and columns the manifest says."""
+    out = {}
+    for name, said in manifest["tables"].items():
+        where = f"{path}/{version or manifest['version']}/{name}"
+        try:
+            df = spark.read.parquet(where)
+            found = {"rows": df.count(), "columns": df.schema.simpleString()}
+        except (PySparkException, Py4JJavaError) as e:
+            raise StateError(f"cannot read state table {name} at {where}: {e}") from e
+        if version in (None, manifest["version"]) and found != said:
+            raise StateError(f"state table {name} at {where} is damaged: {found} instead of {said}")
+        out[name] = df
+    return out
+
+
+def save_state(tables: dict[str, DataFrame], path: str) -> str:
+    """A new version of the model state under `path`; its name. All tables must be there."""
     lacking = set(STATE_TABLES) - set(tables)
     if lacking:
         raise StateError(f"state tables not given: {sorted(lacking)}")
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    if len(set(TREE_TABLES) & set(tables)) == 1:
+        raise StateError("tree members need both of their tables")
+    return write_version(next(iter(tables.values())).sparkSession, tables, path)["version"]
 
 
 def load_state(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The state tables. Absent or damaged state raises; nothing is fitted instead."""
-    out = {}
-    for name, wanted in STATE_TABLES.items():
-        try:
-            df = spark.read.parquet(f"{path}/{name}")
-        except (PySparkException, Py4JJavaError) as e:
-            raise StateError(f"cannot read state table {name} at {path}: {e}") from e
-        lacking = [c for c in wanted if c not in df.columns]
+    manifest = read_manifest(spark, path)
+    if manifest is None:
+        raise StateError(f"no model state at {path}")
+    out = read_version(spark, path, manifest)
+    for name, wanted in {**STATE_TABLES, **{t: c for t, c in TREE_TABLES.items() if t in out}}.items():
+        if name not in out:
+            raise StateError(f"the state at {path} has no table {name}")
+        lacking = [c for c in wanted if c not in out[name].columns]
         if lacking:
             raise StateError(f"state table {name} lacks {lacking}")
-        out[name] = df
     return out
 
 
