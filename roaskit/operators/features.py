@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roaskit.functions.attach import small_side
 from roaskit.functions.scalars import clamp, dbl, guarded_ratio, with_calendar
 
 MEASURES = ("spend", "revenue", "clicks", "impressions", "conversions")
@@ -94,10 +95,10 @@ def campaign_features(facts: DataFrame) -> DataFrame:
 def enrich_facts(facts: DataFrame, daily: DataFrame) -> DataFrame:
     """Every fact row with its day's engineered columns.
 
-    The daily side has one row a day; the planner broadcasts it by its size.
+    The daily side has one row a day: it is written, counted and broadcast, so facts don't move.
     """
     extra = [c for c in daily.columns if c not in MEASURES]
-    return facts.join(daily.select(*extra), "date", "left")
+    return facts.join(small_side(daily.select(*extra), "daily"), "date", "left")
 
 
 def last_known(daily: DataFrame) -> DataFrame:

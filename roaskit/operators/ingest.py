@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from roaskit import params as P
 from roaskit.functions.attach import attach, scalar_of
 from roaskit.functions.scalars import MONEY, canonical_type, clamp, to_money, to_number
-from roaskit.operators.quantiles import exact_percentile
+from roaskit.operators.quantiles import count_over_percentile, exact_percentile
 from roaskit.sources.exports import CORRUPT
 from roaskit.sources.storage import materialize
 
@@ -130,25 +130,48 @@ def standard_columns(df: DataFrame, spec: ExportSpec, extra: dict[str, Column] |
     return df.select(*keep, *cols, *[c.alias(n) for n, c in (extra or {}).items()])
 
 
-def next_valid(df: DataFrame, value: str, out: str) -> DataFrame:
+#: Blocks whose summaries are carried on together.
+SUPERBLOCK = 1024
+
+
+def first_valid_behind(blocks: DataFrame, value: str, out: str) -> DataFrame:
+    """_file, _block, out: the first non-null `value` of the blocks behind each block of a file.
+
+    blocks: one row a block. A window holds the blocks of one superblock, and one more the
+    superblocks of a file; from the back to the front its frame only grows.
+    """
+    placed = blocks.withColumn("_super", F.floor(F.col("_block") / SUPERBLOCK))
+    tops = placed.groupBy("_file", "_super").agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col("_block"))).alias("_top"))
+
+    def ahead(*keys: str, order: str):
+        return Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+    tops = tops.select("_file", "_super", F.last("_top", ignorenulls=True).over(ahead("_file", order="_super")).alias("_next_top"))
+    near = F.last(value, ignorenulls=True).over(ahead("_file", "_super", order="_block"))
+    return (placed.withColumn("_near", near).join(tops, ["_file", "_super"])
+            .select("_file", "_block", F.coalesce("_near", "_next_top").alias(out)))
+
+
+def next_valid(rows: DataFrame, value: str, out: str) -> DataFrame:
     """`out` = `value`, or where it is null the next non-null one in row order.
 
-    The order is `_block`, `_pos` within `_file`. Each block looks forward within
-    itself; what it cannot find it takes from the first valid value of the blocks
-    behind it. So the only step over a whole file is one over a row for each block.
+    The order is `_block`, `_pos` within `_file`; `rows` is a written table. Rows that have a
+    value stay where they are. Only blocks with a null are put in order, and of their other
+    rows only place and value move; what a block can't fill takes the first value of the
+    blocks behind it.
     """
-    blocks = df.groupBy("_file", "_block").agg(
-        F.min_by(value, F.when(F.col(value).isNotNull(), F.col("_pos"))).alias("_first"))
-    # From the back to the front a frame only grows, so a window costs one pass.
-    ahead = (Window.partitionBy("_file").orderBy(F.col("_block").desc())
-             .rowsBetween(Window.unboundedPreceding, -1))
-    carried = blocks.select("_file", "_block",
-                            F.last("_first", ignorenulls=True).over(ahead).alias("_carry"))
-    inside = (Window.partitionBy("_file", "_block").orderBy(F.col("_pos").desc())
+    have = F.col(value).isNotNull()
+    good = rows.filter(have).withColumn(out, F.col(value))
+    dirty = rows.filter(~have).select("_file", "_block").distinct()
+    blocks = rows.groupBy("_file", "_block").agg(F.min_by(value, F.when(have, F.col("_pos"))).alias("_first"))
+    carried = first_valid_behind(blocks, "_first", "_carry").join(dirty, ["_file", "_block"], "left_semi")
+    slim = rows.select("_file", "_block", "_pos", F.col(value).alias("_value"), F.when(~have, F.struct(*rows.columns)).alias("_row"))
+    inside = (Window.partitionBy("_file", "_block").orderBy(F.col("_pos").desc(), F.col("_value").asc_nulls_first())
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (df.join(carried, ["_file", "_block"])
-            .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), "_carry"))
-            .drop("_carry"))
+    bad = (slim.join(carried, ["_file", "_block"])
+           .withColumn(out, F.coalesce(F.last("_value", ignorenulls=True).over(inside), "_carry"))
+           .filter(F.col("_row").isNotNull()).select("_row.*", out))
+    return good.unionByName(bad)
 
 
 #: Spellings of a date beside ISO ones, tried in this order; of two numbers the month comes first.
@@ -159,16 +182,25 @@ def parsed_day(text: str) -> Column:
     """The day a text names. A time of day is left out, and so is its offset: the day is the one written."""
     day = F.regexp_replace(F.trim(text), r"[T ]\d{1,2}:\d{2}.*$", "")
     parsed = [F.to_date(day.try_cast("timestamp")), *[F.to_date(F.try_to_timestamp(day, F.lit(f))) for f in DATE_FORMATS]]
-    return F.coalesce(*parsed)
+    plain = F.col(text).rlike(r"^\d{4}-\d{2}-\d{2}$")
+    return F.when(plain, F.col(text).try_cast("date")).otherwise(F.when(F.col(text).rlike(r"\d"), F.coalesce(*parsed)))
+
+
+def typed(rows: DataFrame, text: str = "_day") -> DataFrame:
+    """The rows with their day parsed, once, as `_parsed`; a written table."""
+    return materialize(rows.withColumn("_parsed", parsed_day(text)), "typed")
+
+
+def fill_typed(rows: DataFrame, out: str = "date") -> DataFrame:
+    """Dates of typed rows; bad ones take the next good one, the tail the default date."""
+    filled = next_valid(rows, "_parsed", "_filled")
+    return (filled.withColumn(out, F.coalesce("_filled", F.lit(P.DEFAULT_DATE).cast("date")))
+            .withColumn("_bad_date", F.col("_parsed").isNull()).drop("_parsed", "_filled"))
 
 
 def fill_dates(df: DataFrame, text: str, out: str = "date") -> DataFrame:
     """Dates from text; bad ones take the next good one, the tail the default date."""
-    parsed = df.withColumn("_parsed", parsed_day(text))
-    filled = next_valid(parsed, "_parsed", "_filled")
-    return (filled.withColumn(out, F.coalesce("_filled", F.lit(P.DEFAULT_DATE).cast("date")))
-            .withColumn("_bad_date", F.col("_parsed").isNull())
-            .drop("_parsed", "_filled"))
+    return fill_typed(typed(df, text), out)
 
 
 def google_cost_is_dollars(df: DataFrame) -> bool:
@@ -217,6 +249,12 @@ def bing_rows(df: DataFrame) -> DataFrame:
         to_number("s_Conversions").alias("conversions"))
 
 
+def meta_counts_conversions(df: DataFrame) -> bool:
+    """Whether the export has a column of conversions beside that of their value."""
+    count_from = first_present(df, META_COUNT)
+    return bool(count_from) and count_from != first_present(df, META_REVENUE)
+
+
 def meta_rows(df: DataFrame, revenue_per_conversion: Column | None = None) -> DataFrame:
     """Without a count column conversions come from the given average value."""
     revenue_from = first_present(df, META_REVENUE)
@@ -226,7 +264,7 @@ def meta_rows(df: DataFrame, revenue_per_conversion: Column | None = None) -> Da
              for c, a in ((revenue_from, "x_revenue"), (count_from, "x_count")) if c}
     wide = standard_columns(df, META, extra)
     revenue = to_money("x_revenue" if revenue_from else "s_conversion")
-    if count_from and count_from != revenue_from:
+    if meta_counts_conversions(df):
         conversions = to_number("x_count")
     else:
         per = (revenue_per_conversion if revenue_per_conversion is not None
@@ -288,27 +326,33 @@ def _ledger(counts: DataFrame, platform: str, checks: list[tuple[str, Column, fl
             .filter((F.col("affected") > 0) | (F.col("check") == "rows_read")))
 
 
-def audit(raw: DataFrame, rows: DataFrame, spec: ExportSpec) -> DataFrame:
-    """Ledger of one export: one pass over its rows, one aggregate row, unfolded.
-
-    `rows` are its *_rows: a date is bad if its text does not parse, so no date has
-    to be filled for the count. An absent column is charged twice, when it is not
-    found and when it is imputed.
-    """
+def audit_counts(bad_date: Column) -> list[Column]:
+    """What the audits count, as aggregates."""
     neg_spend, neg_rev = F.col("spend") < 0, F.col("revenue") < 0
-    aggs = [F.count("*").alias("n"), F.count_if(parsed_day("_day").isNull()).alias("bad_dates"),
+    return [F.count("*").alias("n"), F.count_if(bad_date).alias("bad_dates"),
             F.count_if(neg_spend).alias("neg_spend"), F.count_if(neg_rev).alias("neg_revenue"),
             F.count_if(neg_spend | neg_rev).alias("neg_any"),
             F.count_if((F.col("spend") > 1000) & (F.col("impressions") == 0)).alias("suspicious")]
+
+
+def audit(raw: DataFrame | list[DataFrame], rows: DataFrame, spec: ExportSpec, factor: float = 3.0,
+          counts: DataFrame | None = None) -> DataFrame:
+    """Ledger of one platform: one pass over its rows, one aggregate row, unfolded.
+
+    `rows` are its *_rows, of all its parts: a date is bad if its text does not parse, so no
+    date has to be filled for the count. A column that any part lacks is charged twice, when
+    it is not found and when it is imputed, but once for all parts. `counts`: the row of
+    `audit_counts` over `rows`, if it is there already.
+    """
+    parts = raw if isinstance(raw, list) else [raw]
+    bad = (F.col("_parsed") if "_parsed" in rows.columns else parsed_day("_day")).isNull()
+    counts = rows.agg(*audit_counts(bad)) if counts is None else counts
     if spec is META:
-        limit = exact_percentile(clip_negative(rows), "spend", 0.99, out="_p99")
-        rows = attach(rows, limit, "_p99")
-        aggs.append(F.count_if(F.col("spend").cast("double") > F.col("_p99") * 3.0)
-                    .alias("outliers"))
-    counts = rows.agg(*aggs)
+        counts = attach(counts, count_over_percentile(clip_negative(rows), "spend", 0.99, factor), "above")
     checks = [("rows_read", F.col("n"), 0.0, "rows read")]
-    for standard, actual in resolve_aliases(raw, spec).items():
-        if actual is None:
+    lacking = {s for part in parts for s, actual in resolve_aliases(part, spec).items() if actual is None}
+    for standard in spec.columns:
+        if standard in lacking:
             checks.append((f"column_missing:{standard}", F.lit(1), 5.0,
                            f"expected column {standard} not found"))
             checks.append((f"column_imputed:{standard}", F.lit(1), 5.0,
@@ -321,7 +365,7 @@ def audit(raw: DataFrame, rows: DataFrame, spec: ExportSpec) -> DataFrame:
     else:
         checks.append(("negative_money", F.col("neg_any"), 3.0, "negative amounts set to 0"))
     if spec is META:
-        checks.append(("spend_outliers", F.col("outliers"), 2.0, "spend over 3 x p99"))
+        checks.append(("spend_outliers", F.col("above"), 2.0, f"spend over {factor:g} x p99"))
     return _ledger(counts, spec.platform, checks)
 
 
@@ -359,42 +403,53 @@ def unify(exports: list[DataFrame]) -> DataFrame:
 Export = DataFrame | list[DataFrame] | None
 
 
+def _parts(export: Export) -> list[DataFrame]:
+    return [] if export is None else export if isinstance(export, list) else [export]
+
+
+def typed_exports(google: Export = None, bing: Export = None, meta: Export = None) -> DataFrame:
+    """The typed rows of all exports, with their day parsed, written once in one job.
+
+    `_estimate` marks rows whose conversions are still to be estimated. Without any export it raises.
+    """
+    made = [make(raw).withColumn("_estimate", F.lit(False)) for export, make in ((google, google_rows), (bing, bing_rows)) for raw in _parts(export)]
+    made += [meta_rows(raw).withColumn("_estimate", F.lit(not meta_counts_conversions(raw))) for raw in _parts(meta)]
+    if not made:
+        raise ValueError("no export could be ingested")
+    return typed(reduce(DataFrame.unionByName, made))
+
+
+def typed_facts(rows: DataFrame) -> DataFrame:
+    """Facts of typed rows: conversions estimated from what one is worth on the other platforms, dates filled, amounts clipped."""
+    others = clip_negative(rows.filter(F.col("channel") != META.channel)).select("revenue", "conversions")
+    per = scalar_of(revenue_per_conversion(others), "per_conversion")["per_conversion"]
+    whole = rows.withColumn("conversions", F.when(F.col("_estimate"), F.col("revenue").cast("double") / per).otherwise(F.col("conversions")))
+    return unify([clip_negative(fill_typed(whole.drop("_estimate")))])
+
+
+def typed_ledger(rows: DataFrame, facts: DataFrame, google: Export = None, bing: Export = None, meta: Export = None) -> DataFrame:
+    """The ledger of all exports: one aggregate over their typed rows, and the repeated keys of the facts."""
+    counts = materialize(rows.groupBy("channel").agg(*audit_counts(F.col("_parsed").isNull())), "audit")
+    ledger = [audit(_parts(export), rows.filter(F.col("channel") == spec.channel), spec, counts=counts.filter(F.col("channel") == spec.channel))
+              for spec, export in ((GOOGLE, google), (BING, bing), (META, meta)) if _parts(export)]
+    return reduce(DataFrame.unionByName, ledger).unionByName(duplicate_audit(facts))
+
+
 def ingest(google: Export = None, bing: Export = None, meta: Export = None
            ) -> tuple[DataFrame, DataFrame]:
     """(facts, ledger) of the raw exports there are; without any it raises.
 
-    A platform's export may come in parts whose headers differ. Meta's conversions
-    are estimated from what a conversion is worth on the others. The typed rows of
-    each part are written once: facts, audits and percentiles read those.
+    A platform's export may come in parts whose headers differ; it is audited once.
     """
-    def parts(export: Export) -> list[DataFrame]:
-        return [] if export is None else export if isinstance(export, list) else [export]
+    rows = typed_exports(google, bing, meta)
+    facts = typed_facts(rows)
+    return facts, typed_ledger(rows, facts, google, bing, meta)
 
-    given = [(raw, spec, make) for export, spec, make in (
-        (google, GOOGLE, google_rows), (bing, BING, bing_rows)) for raw in parts(export)]
-    if not given and not parts(meta):
-        raise ValueError("no export could be ingested")
-    rows = [(raw, spec, materialize(make(raw), "typed")) for raw, spec, make in given]
-    for raw in parts(meta):
-        per = None
-        if rows:
-            known = [clip_negative(r).select("revenue", "conversions")
-                     for _, spec, r in rows if spec is not META]
-            both = reduce(DataFrame.unionByName, known) if known else None
-        if rows and both is not None:
-            per = scalar_of(revenue_per_conversion(both), "per_conversion")["per_conversion"]
-        rows.append((raw, META, materialize(meta_rows(raw, per), "typed")))
-    facts = unify([clip_negative(fill_dates(r, "_day")) for _, _, r in rows])
-    ledger = None
-    for raw, spec, r in rows:
-        part = audit(raw, r, spec)
-        ledger = part if ledger is None else ledger.unionByName(part)
-    return facts, ledger.unionByName(duplicate_audit(merge_duplicates(facts)))
-
-
-def duplicate_audit(merged: DataFrame) -> DataFrame:
-    """Ledger row (3 points, once) when dates, channels and ids repeat."""
-    return _ledger(duplicate_count(merged), "all", [
+
+def duplicate_audit(facts: DataFrame) -> DataFrame:
+    """Ledger row (3 points, once) when dates, channels and ids repeat; only these columns are grouped."""
+    keys = facts.groupBy("date", "channel", "campaign_id").agg(F.count("*").alias("n"))
+    return _ledger(keys.agg(F.sum(F.col("n") - 1).alias("duplicates")), "all", [
         ("duplicates", F.col("duplicates"), 3.0, "repeated date, channel and campaign summed")])
 
 

@@ -11,7 +11,7 @@ from roaskit.functions.scalars import normalize_name, strip_markdown, tag_intent
 from roaskit.operators import entities as E
 from roaskit.operators import features as FE
 from roaskit.operators import ingest as I
-from roaskit.operators.quantiles import equal_width_histogram, quantile_cases
+from roaskit.operators.quantiles import count_over_percentile, equal_width_histogram, quantile_cases
 from roaskit.plans import sql as S
 from roaskit.plans.catalog import query
 from roaskit.sources.storage import materialize
@@ -35,7 +35,7 @@ def meta_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unified(spark: SparkSession, sf: str) -> DataFrame:
-    return I.ingest(**raw_exports(spark, sf))[0]
+    return I.typed_facts(I.typed_exports(**raw_exports(spark, sf)))
 
 
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,6 +95,17 @@ def _(spark, sf):
     return I.suspicious_rows(I.read_google(raw_export(spark, sf, "google")))
 
 
+@query("outlier_counts", "factor:2 above:i", S.RAW + """, result AS (
+  SELECT factor, count(*) FILTER (CAST(greatest(spend, 0) AS DOUBLE) > factor * p) AS above
+  FROM meta CROSS JOIN (VALUES (3.0::DOUBLE), (0.55::DOUBLE), (0.01::DOUBLE)) f(factor)
+  CROSS JOIN (SELECT quantile_cont(CAST(greatest(spend, 0) AS DOUBLE), 0.99) AS p FROM meta) GROUP BY factor)""")
+def _(spark, sf):
+    """Rows over a factor times the 99th percentile: the factor in use, and two that have rows."""
+    rows = materialize(I.clip_negative(meta_rows(spark, sf)).select("spend"), "spend")
+    out = [count_over_percentile(rows, "spend", 0.99, f).select(F.lit(f).alias("factor"), "above") for f in (3.0, 0.55, 0.01)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("spend_outliers", ROW_SPEC, S.RAW + """, result AS (
   SELECT * FROM meta WHERE CAST(spend AS DOUBLE) > 0.55 *
     (SELECT quantile_cont(CAST(spend AS DOUBLE), 0.99) FROM meta))""")

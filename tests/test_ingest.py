@@ -172,3 +172,44 @@ def test_a_folder_in_one_go(spark, tmp_path):
     assert got.ledger.filter("check = 'corrupt_lines'").first().affected == 1
     first = ingest_folder(spark, str(tmp_path), first_only=True)
     assert first.facts.count() == 2 and first.ledger.filter("check = 'file_left_out'").first().affected == 1
+
+
+def test_fill_crosses_blocks_and_superblocks_and_moves_bad_rows_only(spark):
+    import random
+
+    from roaskit.sources.storage import materialize
+    rng, rows, want = random.Random(4), [], []
+    for file, blocks in (("a", [0, 1, 2, 5, 1023, 1024, 1030, 3000, 5000]), ("b", [7]), ("c", [1, 2])):
+        days = []
+        for b in blocks:
+            for p in range(4):
+                value = None if rng.random() < 0.6 or b in (1024, 1030, 3000) or file == "c" else dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(300))
+                days.append((file, b, p, value, f"{file}-{b}-{p}"))
+        after = None
+        for r in reversed(days):
+            after = r[3] or after
+            want.append((r[4], after))
+        rows += days
+    rng.shuffle(rows)
+    df = materialize(spark.createDataFrame(rows, "_file string, _block long, _pos long, d date, payload string"), "rows")
+    got = I.next_valid(df, "d", "filled")
+    assert sorted((r.payload, str(r.filled)) for r in got.collect()) == sorted((p, str(v)) for p, v in want)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    nodes = got._jdf.queryExecution().explainString(mode).split("\n\n")
+    moved = [n for n in nodes if ") Exchange" in n]
+    assert moved and not any("payload" in n for n in moved)  # whole rows move only as a bad row's struct
+
+
+def test_parts_of_a_platform_are_charged_once(spark, tmp_path):
+    def part(name, header, rows):
+        f = tmp_path / name
+        f.write_text("\n".join([header, *rows]) + "\n")
+        return X.read_export(spark, [str(f)])
+    one = part("g1.csv", "campaign_id,segments_date,clicks,conversions,cost_micros,campaign_name", ["1,oops,1,1,1000000,a", "2,2024-01-02,1,1,1000000,b"])
+    two = part("g2.csv", "campaign_id,segments_date,clicks,conversions,cost_micros,campaign_name,impressions", ["3,never,1,1,1000000,a,5"])
+    facts, ledger = I.ingest(google=[one, two])
+    got = {r.check: (r.affected, r.penalty) for r in ledger.collect()}
+    whole = {r.check: (r.affected, r.penalty) for r in I.ingest(google=one)[1].collect()}
+    assert got["bad_dates"] == (2, 2.0) and got["rows_read"][0] == 3
+    assert {k for k in got if k.startswith("column")} == {k for k in whole if k.startswith("column")}
+    assert facts.count() == 3

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roaskit.operators.ordered import running_totals
-from roaskit.operators.quantiles import equal_width_histogram, exact_percentile
+from roaskit.operators.quantiles import count_over_percentile, equal_width_histogram, exact_percentile
 
 
 @pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.99, 1.0])
@@ -45,3 +45,12 @@ def test_running_totals_over_ties(spark, ranges):
     assert [r.name for r in got] == [r[0] for r in want]
     assert [r.pos for r in got] == list(range(1, 901))
     assert [r.cum for r in got] == np.cumsum([r[2] for r in want]).tolist()
+
+
+@pytest.mark.parametrize("n", [1, 3, 5000])
+@pytest.mark.parametrize("q, factor", [(0.99, 3.0), (0.5, 1.0), (0.9, 0.55), (0.0, 2.0), (1.0, 1.0), (0.99, 0.01)])
+def test_count_over_a_percentile(spark, n, q, factor):
+    rng = np.random.default_rng(n)
+    values = np.round(rng.exponential(100.0, n), 1)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    assert count_over_percentile(df, "v", q, factor).first().above == int((values > np.quantile(values, q) * factor).sum())
