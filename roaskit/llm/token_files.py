@@ -24,16 +24,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from roaskit.llm.bpe import Splitter, chunks_of
-from roaskit.llm.common import Placed, few_cycles, filesystem, id_and_text, slices, table
+from roaskit.llm.bpe import Splitter
+from roaskit.llm.common import Placed, bytes_of, few_cycles, filesystem, id_and_text, slices, table, word_runs
 from roaskit.sources.storage import materialize, new_folder
 
 BLOCK, SHARE, MARK = 256, 0.9, b"PFORIDS1"
 HEAD, TRAILER = struct.Struct("<IBH"), struct.Struct("<QQQQ8s")
 #: Blocks decoded at a time, words given to the library at a time, and chunks after which a worker begins a new cache.
 READ_BLOCKS, WORDS, CACHE_CHUNKS = 4096, 2000, 700_000
-#: Bytes of text that are encoded at a time; the chunks of a block take about 15 bytes for each.
+#: Bytes of text that are encoded at a time; their arrays take about 50 bytes for each.
 BLOCK_BYTES = 1 << 20
+#: Which bytes part chunks: no word of the tokenizer spans a space or line feed.
+_BREAK = np.zeros(256, bool)
+_BREAK[[10, 32]] = True
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -113,13 +116,12 @@ class Writer:
         self.ends: list[int] = []
         self.n = 0
 
-    def add(self, doc_ids: list[int | None], texts: list[bytes]) -> None:
-        """Documents and their ids as little-endian 32-bit numbers."""
-        for d, t in zip(doc_ids, texts):
-            self.n += len(t) // 4
-            self.docs.append(d)
-            self.ends.append(self.n)
-        ids = np.concatenate([self.left, np.frombuffer(b"".join(texts), "<u4").astype(np.int64)])
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Documents, the ids of all of them one after another, and how many each has."""
+        self.docs += doc_ids
+        self.ends += (self.n + np.cumsum(counts)).tolist()
+        self.n += len(ids)
+        ids = np.concatenate([self.left, ids.astype(np.int64)])
         whole = len(ids) // BLOCK * BLOCK
         self.put(ids[:whole])
         self.left = ids[whole:]
@@ -183,40 +185,59 @@ class LibraryCoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.split = Splitter(self.special).split
-        self.known: dict[str, bytes] = {}             # of chunks between spaces
+        self.specials = {w: np.array([i], np.uint32) for w, i in self.special.items()}
         self.age()
 
     def age(self) -> None:
-        """Begins a new cache; of the one before, what is used again comes over."""
-        self.words = {w: np.array([i], "<u4").tobytes() for w, i in self.special.items()}
-        self.before, self.known = self.known, {}
+        """Begins a new cache: of chunks between spaces the number of each, of a number where its ids begin and how many they are."""
+        self.known: dict[bytes, int] = {}
+        self.words: dict[str, np.ndarray] = dict(self.specials)
+        self.ids, self.start, self.size = [np.zeros(0, np.uint32)], np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, new: list[str]) -> None:
+    def learn_words(self, new: list[str]) -> None:
         for at in range(0, len(new), WORDS):
             words = new[at:at + WORDS]
-            ids = np.array(self.lib.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.lib.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(words):
                 raise ValueError("the vocabulary has no suffix that ends each word")
-            data, a = ids.tobytes(), 0
-            for w, b in zip(words, (4 * ends).tolist()):
-                self.words[w] = data[a:b]
-                a = b
-
-    def block(self, texts: list[str], end: bytes) -> list[bytes]:
-        """The ids of each text and the end id, as little-endian 32-bit numbers."""
+            self.words.update(zip(words, np.split(ids, ends[:-1])))
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Gives chunks their numbers and ids."""
+        parts = [self.split(c.decode()) for c in chunks]
+        self.learn_words(list({w for ws in parts for w in ws}.difference(self.words)))
+        found = [self.words[ws[0]] if len(ws) == 1 else np.concatenate([self.words[w] for w in ws] or [self.ids[0][:0]]) for ws in parts]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        have = int(self.start[-1] + self.size[-1]) if len(self.start) else 0
+        self.known.update(zip(chunks, range(len(self.start), len(self.start) + len(chunks))))
+        self.start = np.concatenate([self.start, have + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = [np.concatenate([*self.ids, *found])]
+
+    def block(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, `end_id` after each, and how many each has.
+
+        Chunks become numbers in Arrow, and only the distinct ones are looked up; the ids are
+        put together by one take.
+        """
         if len(self.known) > CACHE_CHUNKS:
             self.age()
-        known, words = self.known, self.words
-        split = [chunks_of(t) for t in texts]
-        new = set().union(*split).difference(known)
-        known.update((c, self.before[c]) for c in new.intersection(self.before))
-        parts = {c: self.split(c) for c in new.difference(self.before)}
-        self.learn(list(set().union(*parts.values()).difference(words)))
-        for c, ws in parts.items():
-            known[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        del parts
-        return [b"".join([known[c] for c in chunks]) + end for chunks in split]
+        raw, offsets = bytes_of(texts)
+        inside = ~_BREAK[raw]
+        starts, ends, first = word_runs(inside, offsets)
+        at = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(ends - starts, out=at[1:])
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(raw[inside])]).dictionary_encode()
+        distinct = chunks.dictionary.to_pylist()
+        self.learn([c for c in distinct if c not in self.known])
+        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[chunks.indices.to_numpy()]
+        size = self.size[number]
+        before = np.zeros(len(number) + 1, np.int64)
+        np.cumsum(size, out=before[1:])
+        ids = self.ids[0][np.arange(before[-1]) + np.repeat(self.start[number] - before[:-1], size)]
+        counts = np.diff(before[first])
+        return np.insert(ids, np.cumsum(counts), np.uint32(end_id)), counts + 1
 
 
 _CODERS: dict[str, LibraryCoder] = {}
@@ -237,8 +258,6 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str, id_c
     n_tokens. A null text counts as empty, so it has the end id alone; rows without an id come
     first; repeated rows are written again; an empty table gives no files.
     """
-    end = np.array([end_id], "<u4").tobytes()
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         first = next((b for b in batches if b.num_rows), None)
@@ -250,7 +269,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str, id_c
             for batch in (b for group in ([first], batches) for b in group):
                 for piece in slices(batch, most=BLOCK_BYTES):
                     with few_cycles():
-                        writer.add(piece.column("_id").to_pylist(), coder.block(piece.column("_text").to_pylist(), end))
+                        writer.add(piece.column("_id").to_pylist(), *coder.block(piece.column("_text"), end_id))
             writer.close()
         yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_docs": len(writer.docs), "n_tokens": writer.n}], schema)
 
@@ -265,17 +284,18 @@ def read_token_files(files: DataFrame, folder: str, with_ids: bool = False) -> D
         store, root = filesystem(folder)
         for batch in batches:
             for f in batch.to_pylist():
-                rows, held, start = [], 0, f["before"]
+                columns, held, start = tuple([] for _ in schema), 0, f["before"]
                 for doc_id, ids in read_documents(f"{root}/{f['name']}", store):
-                    rows.append({"doc_id": doc_id, "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(np.ascontiguousarray(ids, "<u4"))}
-                                | ({"ids": ids.tolist()} if with_ids else {}))
+                    row = (doc_id, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4")), ids)
+                    for column, x in zip(columns, row):
+                        column.append(x)
                     start += len(ids)
                     held += len(ids) if with_ids else 0
-                    if len(rows) == 5000 or held > 1 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    if len(columns[0]) == 5000 or held > 1 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                        columns, held = tuple([] for _ in schema), 0
+                if columns[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     schema = pa.schema([(k, pa.int64()) for k in ("doc_id", "start", "n_tokens", "ids_crc32")] + ([("ids", pa.list_(pa.int64()))] if with_ids else []))
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
