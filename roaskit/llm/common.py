@@ -32,6 +32,28 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str, null_text: str | None
                      (text if null_text is None else F.coalesce(text, F.lit(null_text))).alias("_text"))
 
 
+def without(docs: DataFrame, dropped: DataFrame, id_col: str, key: Column | None = None) -> DataFrame:
+    """The rows of `docs`, with their columns, but those that `dropped` names by _id, and _key if `key` (on `docs`) is given.
+
+    With the hash or digest of the text as key a row goes for its own text, and others of its
+    id stay. Rows without an id stay. The names that the join brings are none of the table's.
+    """
+    taken = {c.lower() for c in docs.columns}
+
+    def free(base: str) -> str:
+        return next(n for n in (f"{base}{i or ''}" for i in range(len(taken) + 1)) if n not in taken)
+
+    id_name, key_name = free("_gone_id"), free("_gone_key")
+    gone = dropped.filter("_id is not null").select(F.col("_id").alias(id_name), *([] if key is None else [F.col("_key").alias(key_name)])).distinct()
+    same = F.col(f"`{id_col}`").cast("long") == F.col(id_name)
+    return docs.join(gone, same if key is None else same & (key == F.col(key_name)), "left_anti")
+
+
+def plain_text(text_col: str) -> Column:
+    """A text column of a table, null as empty."""
+    return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+
+
 def hex_of(digest: Column) -> Column:
     return F.lower(F.hex(digest))
 

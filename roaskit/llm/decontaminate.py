@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roaskit.llm.common import bytes_of, byte_values, id_and_text, is_in, mixed, run_hashes, slices, table, word_runs
+from roaskit.llm.common import bytes_of, byte_values, id_and_text, is_in, mixed, plain_text, run_hashes, slices, table, without, word_runs
+from roaskit.sources.storage import materialize
 
 MIN_WORDS, COVERAGE = 4, 0.6
 #: Bound of a broadcast: words of the benchmark in one block.
@@ -133,12 +134,12 @@ class Benchmark:
 
 
 def benchmark_blocks(items: DataFrame, least: int, most_words: int) -> Iterator[Benchmark]:
-    """The items in blocks of at most `most_words` words each; only a longer item stands in a block alone."""
-    sizes = items.select("_id", F.length(F.regexp_replace("_text", r"[^\s]+", "x")).alias("w"))  # no fewer than half the words
+    """The texts (_digest, _text; no two are equal) in blocks of at most `most_words` words each; only a longer text stands in a block alone."""
+    sizes = items.select(F.length(F.regexp_replace("_text", r"[^\s]+", "x")).alias("w"))  # no fewer than half the words
     total = sizes.agg(F.sum("w")).first()[0] or 0
     n = max(1, -(-2 * total // most_words))
     while True:
-        block = F.pmod(F.xxhash64("_id", "_text"), F.lit(n))
+        block = F.pmod(F.xxhash64("_digest"), F.lit(n))
         largest = items.groupBy(block).agg(F.sum(F.octet_length("_text")).alias("b"), F.count(F.lit(1)).alias("rows"))
         top = largest.filter("rows > 1").agg(F.max("b")).first()[0] or 0
         if top <= 8 * most_words:
@@ -148,25 +149,20 @@ def benchmark_blocks(items: DataFrame, least: int, most_words: int) -> Iterator[
         got = items.filter(block == k).toArrow().combine_chunks()
         if got.num_rows:
             words, first = words_of(got.column("_text").combine_chunks() if isinstance(got.column("_text"), pa.ChunkedArray) else got.column("_text"))
-            yield Benchmark(got.column("_id").to_pylist(), words, first, least)
+            yield Benchmark(got.column("_digest").to_pylist(), words, first, least)
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-          item_text_col: str = "text", least: int = MIN_WORDS, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, item_id, item_words, matched_words, coverage and tiles (places in words) of each leaked item of each row.
+def keyed_leaks(texts: DataFrame, items: DataFrame, least: int, coverage: float, block_words: int) -> DataFrame:
+    """_id, _key, _digest, item_words, matched_words, coverage and tiles of each leaked text of `items` (_digest, _text) in each row of _id, _key, _text.
 
-    Words are compared without case and punctuation. A null text has no words; an item of
-    fewer than `least` words has no seed and is never reported; repeated rows and items are
-    reported each; ids may be null; an empty table on either side gives no rows.
+    One block after the other is broadcast, its leaks are written, and it is released.
     """
     tile = pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("words", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("matched_words", pa.int64()),
+    schema = pa.schema([("_id", pa.int64()), ("_key", pa.int64()), ("_digest", pa.string()), ("item_words", pa.int64()), ("matched_words", pa.int64()),
                         ("coverage", pa.float64()), ("tiles", pa.list_(tile))])
-    ddl = ("doc_id long, item_id long, item_words long, matched_words long, coverage double, "
+    ddl = ("_id long, _key long, _digest string, item_words long, matched_words long, coverage double, "
            "tiles array<struct<item_start:int,doc_start:int,words:int>>")
-    spark = docs.sparkSession
-    texts = id_and_text(docs, id_col, text_col).withColumn("_text", F.lower("_text"))
-    queries = id_and_text(items, item_col, item_text_col).withColumn("_text", F.lower("_text"))
+    spark = texts.sparkSession
 
     def passed(bench) -> DataFrame:
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,23 +170,54 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
             for batch in batches:
                 for part in slices(batch):
                     words, first = words_of(part.column("_text"))
-                    ids, rows = part.column("_id").to_pylist(), []
+                    ids, keys, rows = part.column("_id").to_pylist(), part.column("_key").to_pylist(), []
                     for r, i, got in block.leaks(words, first, coverage):
                         n, of = sum(t[2] for t in got), len(block.items[i])
-                        rows.append({"doc_id": ids[r], "item_id": block.ids[i], "item_words": of, "matched_words": n, "coverage": n / of,
+                        rows.append({"_id": ids[r], "_key": keys[r], "_digest": block.ids[i], "item_words": of, "matched_words": n, "coverage": n / of,
                                      "tiles": [dict(zip(("item_start", "doc_start", "words"), t)) for t in got]})
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
-        return texts.mapInArrow(task, ddl)
+        return texts.select("_id", "_key", "_text").mapInArrow(task, ddl)
 
-    parts = [passed(spark.sparkContext.broadcast(b)) for b in benchmark_blocks(queries, least, block_words)]
+    parts = []
+    for block in benchmark_blocks(items, least, block_words):
+        shared = spark.sparkContext.broadcast(block)
+        parts.append(materialize(passed(shared), "leaks"))
+        shared.destroy()
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], ddl)
 
 
+def _queries(items: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """item_id, _digest and _text (lower case) of every item."""
+    rows = id_and_text(items, item_col, item_text_col).withColumn("_text", F.lower("_text"))
+    return rows.select(F.col("_id").alias("item_id"), F.sha2("_text", 256).alias("_digest"), "_text")
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+          item_text_col: str = "text", least: int = MIN_WORDS, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, item_id, item_words, matched_words, coverage and tiles (places in words) of each leaked item of each row.
+
+    Words are compared without case and punctuation. A null text has no words; an item of
+    fewer than `least` words has no seed and is never reported; repeated rows and items are
+    reported each, though equal items are searched once; ids may be null; an empty table on
+    either side gives no rows. Other columns may have any name.
+    """
+    queries = _queries(items, item_col, item_text_col)
+    texts = id_and_text(docs, id_col, text_col).withColumns({"_text": F.lower("_text"), "_key": F.lit(0).cast("long")})
+    found = keyed_leaks(texts, queries.dropDuplicates(["_digest"]), least, coverage, block_words)
+    return found.join(queries.select("item_id", "_digest"), "_digest").select(
+        F.col("_id").alias("doc_id"), "item_id", "item_words", "matched_words", "coverage", "tiles")
+
+
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with their columns, that leak no item; rows without an id stay."""
-    dropped = leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col("_dropped"), "left_anti")
+    """The rows of `docs`, with their columns, that leak no item; rows without an id stay.
+
+    A row goes for its own text: others of its id stay. Null texts and empty tables as in
+    `leaks`; other columns may have any name.
+    """
+    keyed = id_and_text(docs, id_col, text_col).select("_id", F.xxhash64("_text").alias("_key"), F.lower("_text").alias("_text"))
+    found = keyed_leaks(keyed, _queries(items, "item_id", "text").dropDuplicates(["_digest"]), MIN_WORDS, COVERAGE, BLOCK_WORDS)
+    return without(docs, found, id_col, F.xxhash64(plain_text(text_col)))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roaskit.llm.common import hex_of, id_and_text, table
+from roaskit.llm.common import hex_of, id_and_text, plain_text, table, without
 from roaskit.sources.storage import materialize
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -74,10 +74,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with their columns, whose text no smaller id has; rows without an id stay."""
-    dropped = (exact_groups(docs, id_col, text_col).filter("not kept and doc_id is not null")
-               .select(F.col("doc_id").alias("_dropped")).distinct())
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col("_dropped"), "left_anti")
+    """The rows of `docs`, with their columns, whose text no smaller id has; rows without an id stay.
+
+    Rows of one id stand for themselves, and a row that repeats the winner stays with it. A null
+    text is an empty one. Other columns may have any name; an empty table gives no rows.
+    """
+    dropped = exact_groups(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_key"))
+    return without(docs, dropped, id_col, text_digest(plain_text(text_col)))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

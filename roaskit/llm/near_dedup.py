@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roaskit.llm.common import byte_values, bytes_of, id_and_text, mixed, run_hashes, slices, table, word_runs
+from roaskit.llm.common import byte_values, bytes_of, id_and_text, mixed, run_hashes, slices, table, without, word_runs
 from roaskit.llm.components import components
 from roaskit.sources.storage import materialize
 
@@ -290,9 +290,12 @@ def links_of_blocks(group: pa.Table) -> pa.Table:
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, with their columns, that stay: of each group the smallest id; rows without an id stay."""
-    dropped = near_groups(docs).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    """The rows of `docs`, with their columns, that stay: of each group the smallest id; rows without an id stay.
+
+    Rows that share an id are one document here, and go or stay together. Other columns may
+    have any name; an empty table gives no rows.
+    """
+    return without(docs, near_groups(docs).filter("not kept").select(F.col("doc_id").alias("_id")), "doc_id")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roaskit.llm.common import bytes_of, byte_values, id_and_text, mixed, run_hashes, slices, smallest_hashes, table, word_runs
+from roaskit.llm.common import bytes_of, byte_values, id_and_text, mixed, plain_text, run_hashes, slices, smallest_hashes, table, without, word_runs
 
 #: Bound of what is learned from: labelled rows, each with its whole text.
 SAMPLE_ROWS = 4000
@@ -31,6 +31,8 @@ WORD_ROWS, SHAPE_ROWS, DIM, WINDOW = 1 << 15, 1 << 12, 32, 2
 SHORT = (3, 40)
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, LEFT_OUT = 32, 60, 64, 3e-3, 1e-3, 0.2
 THRESHOLD = 0.3
+#: Score of every text where nothing could be learned.
+UNKNOWN = 0.5
 POOL_BYTES = 1 << 20
 
 _WORD_VALUES, _SHAPE_VALUES = byte_values(6), byte_values(60)
@@ -178,8 +180,8 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model learned from `most` labelled rows at most, none of them held out.
 
     Which rows are taken depends on a hash of their ids. Labels that repeat are averaged;
-    those without an id, a quality or a row of `docs` are passed over. A ValueError says so
-    if both qualities are not there.
+    those without an id, a quality or a row of `docs` are passed over. Without rows of both
+    qualities there is nothing to learn: the model is empty, and all texts score `UNKNOWN`.
     """
     known = (labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("_q")).dropna()
              .groupBy("_id").agg((F.avg("_q") >= 0.5).cast("int").alias("_label")).filter(~is_held_out(F.col("_id"))))
@@ -201,38 +203,54 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_pydict({"model": pa.array([train(texts, np.array(marks), np.array(held))], pa.binary())})
 
     got = sample.mapInArrow(task, "model binary").collect()          # one row of bounded size
-    if not got:
-        raise ValueError("the labelled rows don't hold both qualities")
-    return bytes(got[0].model)
+    return bytes(got[0].model) if got else b""
 
 
 def scored(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every row; the text alone makes the score.
 
     A null text counts as empty; all texts without words share one score. Rows stay as they
-    are, repeated ones and those without an id too; other columns are not read.
+    are, repeated ones and those without an id too; other columns are not read. An empty model
+    scores every text `UNKNOWN`; an empty table gives no rows.
     """
-    schema = pa.schema([("_id", pa.int64()), ("score", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = scored_keys(id_and_text(docs, id_col, text_col).withColumn("_key", F.lit(0).cast("long")), model)
+    return rows.select(F.col("_id").alias("doc_id"), is_held_out(F.col("_id")).alias("held_out"), "score",
+                       (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def scored_keys(texts: DataFrame, model: bytes) -> DataFrame:
+    """_id, _key and score of rows of _id, _key and _text."""
+    schema = pa.schema([("_id", pa.int64()), ("_key", pa.int64()), ("score", pa.float64())])
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not shared.value:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), pa.array(np.full(batch.num_rows, UNKNOWN))], schema=schema)
+            return
         arrays = dict(np.load(io.BytesIO(shared.value)))
         vectors, index, net = arrays.pop("vectors").astype(np.float32), index_vectors(), Network(arrays)
         for batch in batches:
             for part in slices(batch, most=POOL_BYTES):
                 x = pooled(vectors, index, *terms_of(part.column("_text")))
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(net.scores(x), pa.float64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_key"), pa.array(net.scores(x), pa.float64())], schema=schema)
 
-    rows = id_and_text(docs, id_col, text_col).mapInArrow(task, "_id long, score double")
-    return rows.select(F.col("_id").alias("doc_id"), is_held_out(F.col("_id")).alias("held_out"), "score",
-                       (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return texts.select("_id", "_key", "_text").mapInArrow(task, "_id long, _key long, score double")
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs`, with their columns, that the classifier does not reject. Rows of one id stand or fall together; those without an id stay."""
-    scores = scored(docs, fitted(docs, labels))
-    dropped = scores.filter("predicted = 0 and doc_id is not null").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with their columns, that the classifier does not reject.
+
+    A row is judged by its own text, others of its id by theirs; rows without an id stay. A
+    null text is an empty one. Without labels of both qualities nothing is rejected; other
+    columns may have any name; an empty table gives no rows.
+    """
+    model = fitted(docs, labels, id_col, text_col)
+    if not model:
+        return docs
+    keyed = id_and_text(docs, id_col, text_col).withColumn("_key", F.xxhash64("_text"))
+    rejected = scored_keys(keyed, model).filter(F.col("score") < THRESHOLD)
+    return without(docs, rejected, id_col, F.xxhash64(plain_text(text_col)))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
