@@ -169,6 +169,12 @@ def read_documents(path: str, store) -> Iterator[tuple[int | None, np.ndarray]]:
             held, base = held[end - base:], end
 
 
+def ragged(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[start:start + size] of each entry, one after another."""
+    before = np.cumsum(size) - size
+    return values[np.arange(int(size.sum())) + np.repeat(start - before, size)]
+
+
 class LibraryCoder:
     """Ids of texts by the tokenizers library, which is given each distinct word of a block once.
 
@@ -185,35 +191,42 @@ class LibraryCoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.split = Splitter(self.special).split
-        self.specials = {w: np.array([i], np.uint32) for w, i in self.special.items()}
         self.age()
 
     def age(self) -> None:
-        """Begins a new cache: of chunks between spaces the number of each, of a number where its ids begin and how many they are."""
+        """Begins a new cache: of words and of chunks between spaces the number of each, and by number where its ids begin and how many they are."""
         self.known: dict[bytes, int] = {}
-        self.words: dict[str, np.ndarray] = dict(self.specials)
-        self.ids, self.start, self.size = [np.zeros(0, np.uint32)], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words: dict[str, int] = dict(zip(self.special, range(len(self.special))))
+        none = np.zeros(0, np.int64)
+        self.ids, self.start, self.size = np.zeros(0, np.uint32), none, none
+        self.word_ids, self.word_start = np.array(list(self.special.values()), np.uint32), np.arange(len(self.special))
+        self.word_size = np.ones(len(self.special), np.int64)
 
     def learn_words(self, new: list[str]) -> None:
+        found, sizes = [self.word_ids], [self.word_size]
         for at in range(0, len(new), WORDS):
             words = new[at:at + WORDS]
             ids = np.array(self.lib.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(words):
                 raise ValueError("the vocabulary has no suffix that ends each word")
-            self.words.update(zip(words, np.split(ids, ends[:-1])))
+            found.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        self.word_ids, self.word_size = np.concatenate(found), np.concatenate(sizes)
+        self.word_start = np.cumsum(self.word_size) - self.word_size
 
     def learn(self, chunks: list[bytes]) -> None:
-        """Gives chunks their numbers and ids."""
+        """Gives chunks their numbers, and their words' ids one after another."""
         parts = [self.split(c.decode()) for c in chunks]
-        self.learn_words(list({w for ws in parts for w in ws}.difference(self.words)))
-        found = [self.words[ws[0]] if len(ws) == 1 else np.concatenate([self.words[w] for w in ws] or [self.ids[0][:0]]) for ws in parts]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        have = int(self.start[-1] + self.size[-1]) if len(self.start) else 0
+        flat = [w for ws in parts for w in ws]
+        self.learn_words([w for w in dict.fromkeys(flat) if w not in self.words])
+        word = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        ends = np.r_[0, np.cumsum(self.word_size[word])][np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]
         self.known.update(zip(chunks, range(len(self.start), len(self.start) + len(chunks))))
-        self.start = np.concatenate([self.start, have + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = [np.concatenate([*self.ids, *found])]
+        self.start = np.concatenate([self.start, len(self.ids) + np.r_[0, ends[:-1]][:len(ends)]])
+        self.size = np.concatenate([self.size, np.diff(ends, prepend=0)])
+        self.ids = np.concatenate([self.ids, ragged(self.word_ids, self.word_start[word], self.word_size[word])])
 
     def block(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, `end_id` after each, and how many each has.
@@ -233,11 +246,8 @@ class LibraryCoder:
         self.learn([c for c in distinct if c not in self.known])
         number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[chunks.indices.to_numpy()]
         size = self.size[number]
-        before = np.zeros(len(number) + 1, np.int64)
-        np.cumsum(size, out=before[1:])
-        ids = self.ids[0][np.arange(before[-1]) + np.repeat(self.start[number] - before[:-1], size)]
-        counts = np.diff(before[first])
-        return np.insert(ids, np.cumsum(counts), np.uint32(end_id)), counts + 1
+        counts = np.diff(np.r_[0, np.cumsum(size)][first])
+        return np.insert(ragged(self.ids, self.start[number], size), np.cumsum(counts), np.uint32(end_id)), counts + 1
 
 
 _CODERS: dict[str, LibraryCoder] = {}
