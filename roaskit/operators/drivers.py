@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roaskit.functions.attach import attach
 from roaskit.functions.scalars import guarded_ratio
+from roaskit.operators.leastsquares import normal_sums, solved
 
 DRIVERS = ("spend", "clicks", "impressions", "cpc", "ctr", "month", "day_of_week",
            "channel_encoded")
@@ -59,19 +60,21 @@ def linear_importance(matrix: DataFrame, target: str = "revenue") -> DataFrame:
     """feature, label, impact: mean absolute Shapley value of a linear model.
 
     For a linear model the Shapley value of a driver is its weight times its
-    distance from its mean, so the measure is one aggregate over the rows.
+    distance from its mean. Drivers are standardized, so one aggregate gives means and
+    spreads, one the sums of the normal equations, and one the mean distances; a driver
+    that doesn't vary has no impact. `matrix` is read three times: hand in a table.
     """
     rows = _target(matrix, target)
-    data = VectorAssembler(inputCols=list(DRIVERS), outputCol="features").transform(rows)
-    model = LinearRegression(solver="normal", regParam=1e-9).fit(data)
-    weights = [float(w) for w in model.coefficients]
-    means = rows.agg(*[F.avg(d).alias(f"_m_{d}") for d in DRIVERS])
-    parts = attach(rows, means).agg(*[
-        F.avg(F.abs(F.lit(w) * (F.col(d) - F.col(f"_m_{d}")))).alias(d)
-        for d, w in zip(DRIVERS, weights)])
-    return _ranked(parts.select(F.explode(F.array(*[
-        F.struct(F.lit(d).alias("feature"), F.col(d).alias("impact")) for d in DRIVERS]))
-        .alias("p")).select("p.*"))
+    stats = rows.agg(*[F.avg(c).alias(f"_m_{c}") for c in (*DRIVERS, "label")], *[F.stddev_pop(d).alias(f"_s_{d}") for d in DRIVERS])
+    varies = {d: F.col(f"_s_{d}") > F.abs(f"_m_{d}") * 1e-9 for d in DRIVERS}
+    far = attach(rows, stats).select(
+        *[F.when(varies[d], (F.col(d) - F.col(f"_m_{d}")) / F.col(f"_s_{d}")).otherwise(0.0).alias(d) for d in DRIVERS],
+        (F.col("label") - F.col("_m_label")).alias("label"))
+    weights = solved(normal_sums(far, [], F.array(*DRIVERS), len(DRIVERS), ("label",)), len(DRIVERS), ("label",))
+    mean = attach(far.agg(*[F.avg(F.abs(d)).alias(d) for d in DRIVERS]), weights)
+    return _ranked(mean.select(F.explode(F.array(*[
+        F.struct(F.lit(d).alias("feature"), (F.abs(F.get("label_beta", F.lit(i))) * F.col(d)).alias("impact"))
+        for i, d in enumerate(DRIVERS)])).alias("p")).select("p.*"))
 
 
 def fit_tree_model(matrix: DataFrame, target: str = "revenue", trees: int = 100, depth: int = 5):

@@ -18,13 +18,14 @@ from roaskit.operators import scenarios as SC
 from roaskit.operators.forecast import predictions_long
 from roaskit.operators.ingest import quality_score
 from roaskit.operators.ordered import running_totals
+from roaskit.plans import documents as DOC
 from roaskit.plans import forecasting
 from roaskit.plans import sql as S
 from roaskit.plans.backtesting import run_backtest
 from roaskit.plans.catalog import query
 from roaskit.plans.queries_ingest import ledger
 from roaskit.sources import state
-from roaskit.sources.storage import materialize
+from roaskit.sources.storage import materialize, new_folder
 from roaskit.sources.tables import campaign_facts, table
 from roaskit.streaming import ingest as ST
 
@@ -261,23 +262,48 @@ def _(spark, sf):
 
 # Drivers.
 
-@query("driver_matrix", "date:d channel:s spend:4 revenue:4 clicks:1 impressions:1 roas:6 cpc:6 ctr:6 month:i "
-       "day_of_week:i channel_encoded:i", S.FACTS + """,
+MATRIX = S.FACTS + """,
 m AS (SELECT date, channel, CAST(sum(spend) AS DOUBLE) AS spend, CAST(sum(revenue) AS DOUBLE) AS revenue,
   sum(clicks) AS clicks, sum(impressions) AS impressions FROM facts GROUP BY ALL),
-result AS (SELECT *, revenue / (spend + 1e-5) AS roas, spend / (clicks + 1e-5) AS cpc,
+matrix AS (SELECT *, revenue / (spend + 1e-5) AS roas, spend / (clicks + 1e-5) AS cpc,
   clicks / (impressions + 1e-5) AS ctr, month(date) AS month, isodow(date) - 1 AS day_of_week,
-  dense_rank() OVER (ORDER BY channel) AS channel_encoded FROM m)""")
+  dense_rank() OVER (ORDER BY channel) AS channel_encoded FROM m)"""
+
+
+@query("driver_matrix", "date:d channel:s spend:4 revenue:4 clicks:1 impressions:1 roas:6 cpc:6 ctr:6 month:i "
+       "day_of_week:i channel_encoded:i", MATRIX, "matrix")
 def _(spark, sf):
     return D.driver_matrix(cube_of(spark, sf))
 
 
-@query("driver_importance_revenue")
+def importance_sql(target: str) -> str:
+    """The drivers standardized, and their normal equations solved by elimination without pivots."""
+    names = ", ".join(f"('{d}', '{D.DRIVER_LABELS[d]}', {i})" for i, d in enumerate(D.DRIVERS, 1))
+    x = ", ".join(f"coalesce(CAST({d} AS DOUBLE), 0)" for d in D.DRIVERS)
+    return MATRIX + f""",
+drow AS MATERIALIZED (SELECT [{x}] AS x, {target} AS y FROM matrix),
+dstat AS (SELECT list(a ORDER BY i) AS a, list(s ORDER BY i) AS s FROM (
+  SELECT i, avg(x[i]) AS a, stddev_pop(x[i]) AS s FROM drow, (SELECT range AS i FROM range(1, 9)) GROUP BY i)),
+dz AS MATERIALIZED (SELECT list_concat([CASE WHEN s[i] > abs(a[i]) * 1e-9 THEN (x[i] - a[i]) / s[i] ELSE 0.0::DOUBLE END
+  FOR i IN range(1, 9)], [y - (SELECT avg(y) FROM drow)]) AS z FROM drow CROSS JOIN dstat),
+dcell AS (SELECT i, j, sum(z[i] * z[j]) + CASE WHEN i = j THEN 1e-6 ELSE 0 END AS v FROM dz
+  CROSS JOIN (SELECT range AS i FROM range(1, 9)) CROSS JOIN (SELECT range AS j FROM range(1, 10)) GROUP BY i, j),
+delim AS (
+  SELECT 0 AS step, list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM dcell GROUP BY i)
+  UNION ALL
+  SELECT step + 1, [CASE WHEN i = step + 1 THEN [m[i][j] / m[i][i] FOR j IN range(1, 10)]
+    ELSE [m[i][j] - m[i][step + 1] * m[step + 1][j] / m[step + 1][step + 1] FOR j IN range(1, 10)] END FOR i IN range(1, 9)]
+  FROM delim WHERE step < 8),
+result AS (SELECT feature, label, abs((SELECT m[i][9] FROM delim WHERE step = 8)) * (SELECT avg(abs(z[i])) FROM dz) AS impact
+  FROM (VALUES {names}) f(feature, label, i))"""
+
+
+@query("driver_importance_revenue", "feature:s label:s impact:4", importance_sql("revenue"))
 def _(spark, sf):
     return D.linear_importance(materialize(D.driver_matrix(cube_of(spark, sf)), "drivers"), "revenue")
 
 
-@query("driver_importance_roas")
+@query("driver_importance_roas", "feature:s label:s impact:8", importance_sql("least(roas, 20.0)"))
 def _(spark, sf):
     return D.linear_importance(materialize(D.driver_matrix(cube_of(spark, sf)), "drivers"), "roas")
 
@@ -501,6 +527,25 @@ def _(spark, sf):
                              IN.overall_90d(preds).select("revenue_p50", "roas_p50"))
 
 
+@query("causal_document", "section:s place:i name:s revenue_p50:2 share_pct:1 roas:2 status:s days_since_last_spend:i "
+       "total_p50:2 roas_p50:2", BREAK + """,
+l AS (SELECT campaign_type, max(date) FILTER (spend > 0) AS d FROM facts GROUP BY campaign_type),
+o AS (SELECT revenue_p50 AS total_p50, roas AS roas_p50 FROM wide WHERE dimension_type = 'Overall'),
+b AS (SELECT *, dimension_value AS name, row_number() OVER (PARTITION BY dimension_type ORDER BY revenue_p50 DESC, dimension_value) - 1 AS place
+  FROM breakdown),
+result AS (SELECT 'channel' AS section, *, NULL AS status, NULL AS days_since_last_spend FROM b CROSS JOIN o WHERE dimension_type = 'Channel'
+  UNION ALL BY NAME SELECT 'campaign_type' AS section, b.*, o.*,
+    CASE WHEN d IS NULL THEN 'no_spend_on_record' WHEN date_diff('day', d, (SELECT max(date) FROM facts)) <= 30 THEN 'active' ELSE 'dormant' END
+      AS status, date_diff('day', d, (SELECT max(date) FROM facts)) AS days_since_last_spend
+    FROM b CROSS JOIN o LEFT JOIN l ON l.campaign_type = b.dimension_value WHERE dimension_type = 'CampaignType')""")
+def _(spark, sf):
+    """The document written, read back by its schema and unfolded."""
+    preds, types = type_parts(spark, sf)
+    path = f"{new_folder(spark, 'documents')}/causal.json"
+    state.write_document(DOC.causal_document(IN.channel_breakdown(preds), types, IN.overall_90d(preds)), path)
+    return DOC.causal_rows(state.read_document(spark, path, DOC.CAUSAL_SCHEMA))
+
+
 @query("kpi_overview", "total_spend:4 total_revenue:4 overall_roas:6 roas_label:s quality_score:1 risk_score:1 "
        "risk_classification:s revenue_p10:2 revenue_p50:2 revenue_p90:2 roas_p10:2 roas_p50:2 roas_p90:2",
        S.PREDICTIONS + S.RISK.replace(S.FACTS, "") + """,

@@ -12,6 +12,7 @@ from roaskit.operators import effects as EF
 from roaskit.operators import ensemble as EN
 from roaskit.operators import entities as E
 from roaskit.operators import forecast as FC
+from roaskit.plans import documents as DOC
 from roaskit.plans import forecasting, scoring
 from roaskit.plans import sql as S
 from roaskit.plans.backtesting import run_backtest
@@ -326,6 +327,19 @@ def _(spark, sf):
     return B.compare_to_naive(r.scorecard, r.naive)
 
 
+@query("backtest_document", "section:s place:i metric:s forecast_period:s dimension_type:s mae:4 mape:4 folds:i rows_scored:i", BT + """,
+n AS (SELECT count(DISTINCT origin_date) AS folds, count(*) FILTER (dimension_type <> 'Campaign') AS rows_scored FROM scorecard),
+result AS (SELECT 'segment' AS section, row_number() OVER (ORDER BY metric, forecast_period, dimension_type) - 1 AS place, metric,
+    forecast_period, dimension_type, mae, mape, folds, rows_scored FROM segments CROSS JOIN n
+  UNION ALL SELECT 'baseline', row_number() OVER (ORDER BY metric, forecast_period) - 1, metric, forecast_period, 'Overall',
+    ensemble_mae, ensemble_mape, folds, rows_scored FROM comparison CROSS JOIN n)""")
+def _(spark, sf):
+    """The backtest's document written, read back by its schema and unfolded."""
+    path = f"{new_folder(spark, 'documents')}/backtest.json"
+    state.write_document(DOC.backtest_document(bt(spark, sf)), path)
+    return DOC.backtest_rows(state.read_document(spark, path, DOC.BACKTEST_SCHEMA))
+
+
 SEG = "metric:s forecast_period:s dimension_type:s wape:4"
 
 

@@ -183,6 +183,33 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_document(document: DataFrame, path: str) -> None:
+    """The one row of `document` as one JSON file; fields stand in the order of the columns, nulls too.
+
+    Readers see the file before or this one. A document holds breakdowns and segments, not facts.
+    """
+    every = F.to_json(F.struct(*document.columns), {"ignoreNullFields": "false", "pretty": "true"})
+    rows = document.select(every.alias("text")).head(2)
+    if len(rows) != 1:
+        raise StateError(f"a document is one row, not {len(rows)}")
+    replace_text(document.sparkSession, path, rows[0]["text"])
+
+
+def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The row written by `write_document`; absent or other than `schema` raises StateError."""
+    text = read_text(spark, path)
+    if text is None:
+        raise StateError(f"no document at {path}")
+    row = spark.createDataFrame([(text,)], "text string")
+    try:
+        json.loads(text)
+        got = row.select(F.from_json("text", schema, {"mode": "FAILFAST"}).alias("d")).select("d.*")
+        got.collect()
+    except (ValueError, PySparkException, Py4JJavaError) as e:
+        raise StateError(f"the document at {path} is not of its schema: {e}") from e
+    return got
+
+
 def write_predictions(predictions: DataFrame, path: str) -> None:
     write_csv(predictions.select("forecast_period", "dimension_type", "dimension_value", "metric",
                                  "p10", "p50", "p90"), path)
