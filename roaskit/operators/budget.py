@@ -181,6 +181,60 @@ def allocate_budget(curves: DataFrame, budget: float, target_roas: float,
         (F.col("allocated_spend") / F.col("_sum") * 100.0).alias("budget_share"), "fit_cv")
 
 
+#: Multipliers tried at once by `multiplier_for`, and how often their range is narrowed to the gap between two.
+TRIED, ROUNDS = 512, 5
+
+
+def spend_at(multiplier: Column) -> Column:
+    """The spend at which a channel's marginal return falls to the multiplier, kept to its bounds; the lower one if it returns nothing."""
+    free = F.pow(multiplier / (F.col("alpha") * F.col("beta")), F.lit(1.0) / (F.col("beta") - F.lit(1.0)))
+    return F.when(F.col("alpha") > 0, F.greatest(F.col("lower"), F.least(F.col("upper"), free))).otherwise(F.col("lower"))
+
+
+def multiplier_for(bounds: DataFrame, enough: Column, label: str) -> DataFrame:
+    """One row, lo and hi: the ends of the narrow gap of multipliers at which `enough` turns from true to false.
+
+    `enough` is on the totals `spend`, `revenue` and on `multiplier`, and holds for small
+    multipliers. Each round is one aggregate over the channels, with partial sums: a channel is
+    unfolded to `TRIED` multipliers, whatever the number of channels. What comes back is one row.
+    """
+    marginal = F.when(F.col("alpha") > 0, F.col("alpha") * F.col("beta"))
+    ends = bounds.agg(F.log(F.min(marginal * F.pow("upper", F.col("beta") - 1.0))).alias("lo"),
+                      F.log(F.max(marginal * F.pow("lower", F.col("beta") - 1.0))).alias("hi"))
+    gap = materialize(ends.select((F.coalesce("lo", F.lit(0.0)) - 1e-6).alias("lo"), (F.coalesce("hi", F.lit(0.0)) + 1e-6).alias("hi")), label)
+    for _ in range(ROUNDS):
+        step = (F.col("hi") - F.col("lo")) / TRIED
+        rows = attach(bounds, gap).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(TRIED))))
+        rows = rows.withColumn("at", F.col("lo") + F.col("k") * step).withColumn("_s", spend_at(F.exp("at")))
+        totals = rows.groupBy("k", "at").agg(F.sum("_s").alias("spend"), F.sum(F.col("alpha") * F.pow("_s", F.col("beta"))).alias("revenue"))
+        good = totals.withColumn("multiplier", F.exp("at")).withColumn("ok", enough)
+        lo = F.coalesce(F.max(F.when(F.col("ok"), F.col("at"))), F.min("at"))
+        hi = F.coalesce(F.min(F.when(~F.col("ok"), F.col("at"))), F.max("at"))
+        gap = materialize(good.agg(lo.alias("lo"), hi.alias("hi")), label)
+    return gap.select(F.exp("lo").alias("lo"), F.exp("hi").alias("hi"))
+
+
+def allocate_exact(curves: DataFrame, budget: float, target_roas: float, lower_share: float = P.ALLOCATION_LOWER) -> DataFrame:
+    """channel, allocated_spend, expected_revenue, expected_roas, budget_share, fit_cv, without a grid.
+
+    Of all ways to spend a total, the best gives every channel that is not at a bound the same
+    marginal return, the multiplier; the total falls as it rises. The answer is the largest
+    total within the budget whose roas is at the target or over it. Along these totals revenue
+    is concave, so roas rises as long as the multiplier is above it and falls after that:
+    the peak is where both meet. If not even the peak is at the target, the peak is the answer.
+    """
+    bounds = materialize(allocation_bounds(curves, budget, lower_share), "bounds")
+    roas = F.col("revenue") / F.col("spend")
+    within = multiplier_for(bounds, F.col("spend") > budget, "within").select(F.col("hi").alias("_within"))
+    floor = multiplier_for(bounds, (roas < target_roas) & (F.col("multiplier") <= roas), "floor").select(F.col("hi").alias("_floor"))
+    got = attach(attach(bounds, within), floor).withColumn("allocated_spend", spend_at(F.greatest("_within", "_floor")))
+    got = got.withColumn("expected_revenue", F.col("alpha") * F.pow("allocated_spend", F.col("beta")))
+    total = got.agg(F.sum("allocated_spend").alias("_sum"))
+    return attach(got, total).select(
+        "channel", "allocated_spend", "expected_revenue", (F.col("expected_revenue") / F.col("allocated_spend")).alias("expected_roas"),
+        (F.col("allocated_spend") / F.col("_sum") * 100.0).alias("budget_share"), "fit_cv")
+
+
 def allocation_total(allocation: DataFrame, budget: float, target_roas: float) -> DataFrame:
     """One row: totals, 80 % band from the curves' spread, and whether the target is met."""
     s, r = F.sum("allocated_spend"), F.sum("expected_revenue")

@@ -122,6 +122,16 @@ def _(spark, sf):
     return BU.allocate_budget(curves_of(spark, sf), BUDGET, 21.0)
 
 
+@query("allocate_exact", ALLOC_SPEC, S.allocation_exact(BUDGET, TARGET), "alloc")
+def _(spark, sf):
+    return BU.allocate_exact(curves_of(spark, sf), BUDGET, TARGET)
+
+
+@query("allocate_exact_high_target", ALLOC_SPEC, S.allocation_exact(BUDGET, 21.0), "alloc")
+def _(spark, sf):
+    return BU.allocate_exact(curves_of(spark, sf), BUDGET, 21.0)
+
+
 LINES = S.CURVES.replace("FROM facts GROUP BY ALL", "FROM lines GROUP BY ALL", 1).replace(
     ",\nmonths AS", ",\nlines AS (SELECT * REPLACE (channel || ' / ' || campaign_name AS channel) FROM facts),\nmonths AS", 1)
 

@@ -529,6 +529,39 @@ alloc AS (
 )"""
 
 
+def allocation_exact(budget: float, target: float, lower: float = 0.01, curves: str | None = None) -> str:
+    """The multiplier by halving, once for the budget and once for the target."""
+    start = allocation(budget, target, lower=lower, curves=curves).split(",\nladder AS")[0]
+    spend = "CASE WHEN x.a > 0 THEN greatest(x.l, least(x.u, pow(exp({m}) / (x.a * x.b), 1 / (x.b - 1)))) ELSE x.l END"
+    total = f"list_sum([{spend.format(m='(lo + hi) / 2')} FOR x IN c])"
+    roas = f"list_sum([x.a * pow({spend.format(m='(lo + hi) / 2')}, x.b) FOR x IN c]) / {total}"
+
+    def halved(name: str, enough: str) -> str:
+        return f"""
+{name} AS (
+  SELECT 0 AS step, lo, hi FROM ends
+  UNION ALL
+  SELECT step + 1, CASE WHEN {enough} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {enough} THEN hi ELSE (lo + hi) / 2 END
+  FROM {name}, packed WHERE step < 60
+)"""
+
+    return start + f""",
+packed AS MATERIALIZED (SELECT list(struct_pack(a := alpha, b := beta, l := lower, u := upper)) AS c FROM bounds),
+ends AS (SELECT ln(min(alpha * beta * pow(upper, beta - 1))) - 1e-6 AS lo, ln(max(alpha * beta * pow(lower, beta - 1))) + 1e-6 AS hi
+  FROM bounds WHERE alpha > 0),{halved("within", f"{total} > {budget}")},{halved("floored", f"{roas} < {target} AND exp((lo + hi) / 2) <= {roas}")},
+alloc0 AS (
+  SELECT channel, alpha, beta, fit_cv, CASE WHEN alpha > 0 THEN greatest(lower, least(upper, pow(exp(greatest(
+    (SELECT hi FROM within WHERE step = 60), (SELECT hi FROM floored WHERE step = 60))) / (alpha * beta), 1 / (beta - 1)))) ELSE lower END
+    AS allocated_spend FROM bounds
+),
+alloc AS (
+  SELECT channel, allocated_spend, alpha * pow(allocated_spend, beta) AS expected_revenue,
+    alpha * pow(allocated_spend, beta) / allocated_spend AS expected_roas,
+    allocated_spend / sum(allocated_spend) OVER () * 100.0 AS budget_share, fit_cv
+  FROM alloc0
+)"""
+
+
 # The raw exports as text, all three return flags.
 RAW = """
 rawx AS (
