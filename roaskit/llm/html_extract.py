@@ -38,8 +38,9 @@ ASIDE_NAMES = frozenset("""ad ads advert adverts advertisement advertising alert
 #: Names that mean the page's surroundings only outside the article.
 OUTER_NAMES = frozenset("header banner alert notice".split())
 
-TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"""
-                   r"""|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S | re.I)
+#: Inside a tag "<" stands in quotes only, and nothing is tried twice: unclosed tags take linear time and are text.
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^<>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"""
+                   r"""|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs>(?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*(?:>|\Z)""", re.S | re.I)
 NAMED = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|type)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME_PART = re.compile(r"[a-z]+")
 

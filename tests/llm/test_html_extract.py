@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 
@@ -58,3 +59,15 @@ def test_odd_rows(spark):
     rows = m.extracted(pages, m.fitted_weights(pages)).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in rows) == [(0, 11), (1, 0), (1, 0), (2, 399_999)]
     assert m.extracted(pages.limit(0), W).count() == 0
+
+
+def test_unclosed_tags_take_linear_time():
+    for bad in ("<a ", "<a 'x\" ", "<" + "a" * 3, "<!x ", "<script ", "</p "):
+        page = "<article><p>" + "Words of the article stand here. " * 20 + "</p></article>" + bad * (1_000_000 // len(bad))
+        start = time.time()
+        items = m.items_of(page)
+        assert time.time() - start < 10, bad
+        assert sum(x.words for x in items if x.main) == 120
+    start = time.time()
+    m.items_of("<" + "a" * 1_000_000)
+    assert time.time() - start < 10
