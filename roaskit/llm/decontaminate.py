@@ -12,8 +12,6 @@ words, and each block is a pass over the documents without a shuffle.
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -51,61 +49,90 @@ def seeds_of(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-def tiles(item: np.ndarray, text: np.ndarray, hits: list[tuple[int, int]], least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+class Runs:
+    """Names for the runs of an item's words and of a text's, equal for equal runs: those of 2**k words come from two of half the length."""
+
+    def __init__(self, words: np.ndarray):
+        self.names = [np.unique(words, return_inverse=True)[1]]
+
+    def named(self, size: int) -> np.ndarray:
+        """The name of the run of `size` words at each place."""
+        k = size.bit_length() - 1
+        while len(self.names) <= k:
+            half, last = 1 << len(self.names) - 1, self.names[-1]
+            self.names.append(np.unique(last[:-half] * len(last) + last[half:], return_inverse=True)[1])
+        whole, left = self.names[k], size - (1 << k)
+        return whole[:len(whole) - left] * len(self.names[0]) + whole[left:]
+
+
+def tiles(item: np.ndarray, text: np.ndarray, at: np.ndarray, least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
     """Greedy tiling of an item over a text: (place in the item, place in the text, words) of every tile.
 
-    hits: places of equal runs of `least` words. The longest match is marked first; of equal
-    ones that which begins first in the item, then in the text.
+    at: the places of the text where a run of `least` words of the item may begin. The longest
+    match is marked first; of equal ones that which begins first in the item, then in the text.
+    Runs of one length are compared by name, all at once, so words that repeat cost no pair of
+    places each; as tiles don't overlap, there are few lengths.
     """
-    runs: dict[int, list[int]] = defaultdict(list)
-    for p, t in hits:
-        if (item[p:p + least] == text[t:t + least]).all():
-            runs[t - p].append(p)
-    queue = []
-    for shift, places in runs.items():
-        places.sort()
-        start = last = places[0]
-        for p in [*places[1:], None]:
-            if p is None or p > last + 1:
-                queue.append((start - last - least, start, start + shift))
-                start = p
-            last = p
-    heapq.heapify(queue)
-    taken_item, taken_text, out = np.zeros(len(item), bool), set(), []
-    while queue:
-        size, p, t = heapq.heappop(queue)
-        size = -size
-        free = [not taken_item[p + i] and t + i not in taken_text for i in range(size)]
-        if all(free):
-            out.append((p, t, size))
-            taken_item[p:p + size] = True
-            taken_text.update(range(t, t + size))
-            continue
-        start = None
-        for i, x in enumerate([*free, False]):
-            if x and start is None:
-                start = i
-            elif not x and start is not None:
-                if i - start >= least:
-                    heapq.heappush(queue, (start - i, p + start, t + start))
-                start = None
+    n = len(item)
+    held = np.unique(np.asarray(at, np.int64)[:, None] + np.arange(least))
+    cut = np.flatnonzero(np.diff(held) > 1) + 1       # a break parts words that are no neighbours
+    place = np.r_[np.arange(n), -1, np.insert(held, cut, -1)]
+    runs = Runs(np.r_[item, item[:1], np.insert(text[held], cut, 0)])
+    taken = place < 0
+
+    def free(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The names of the runs of a length, and the places in the item and in the text where all their words are free."""
+        marks = np.r_[0, np.cumsum(taken)]
+        whole = np.flatnonzero(marks[size:] == marks[:-size])
+        return runs.named(size), whole[whole < n], whole[whole > n]
+
+    def shared(size: int) -> bool:
+        names, mine, theirs = free(size)
+        return bool(len(mine) and len(theirs) and np.isin(names[mine], names[theirs]).any())
+
+    out, most = [], min(n, len(held))
+    while most >= least and shared(least):
+        low, step = least, 1
+        while low + step <= most and shared(low + step):   # doubled steps, then halved ones
+            low, step = low + step, 2 * step
+        while step:
+            if low + step <= most and shared(low + step):
+                low += step
+            step //= 2
+        most = low
+        names, mine, theirs = free(most)
+        mine = mine[np.isin(names[mine], names[theirs])]
+        theirs = theirs[np.argsort(names[theirs], kind="stable")]
+        known, first = np.unique(names[theirs], return_index=True)
+        next_of, end_of = first.tolist(), np.r_[first[1:], len(theirs)].tolist()
+        for p, k in zip(mine.tolist(), np.searchsorted(known, names[mine]).tolist()):
+            if taken[p] or taken[p + most - 1]:       # tiles of this length only lie in the way
+                continue
+            while next_of[k] < end_of[k]:
+                t = int(theirs[next_of[k]])
+                next_of[k] += 1
+                if not taken[t] and not taken[t + most - 1]:
+                    taken[p:p + most] = taken[t:t + most] = True
+                    out.append((p, int(place[t]), most))
+                    break
+        most -= 1
     return sorted(out)
 
 
 class Benchmark:
-    """A block of items: their words, and the places of every seed."""
+    """A block of items: their words, and which items have a seed."""
 
     def __init__(self, ids: list, words: np.ndarray, first: np.ndarray, least: int):
         self.ids, self.least = ids, least
         self.items = [words[a:b] for a, b in zip(first[:-1], first[1:])]
-        places = [(seeds_of(w, least), i) for i, w in enumerate(self.items)]
-        seeds = np.concatenate([s for s, _ in places] or [np.zeros(0, np.uint64)])
-        item = np.concatenate([np.full(len(s), i) for s, i in places] or [np.zeros(0, int)]).astype(np.int32)
-        at = np.concatenate([np.arange(len(s)) for s, _ in places] or [np.zeros(0, int)]).astype(np.int32)
-        order = np.argsort(seeds, kind="stable")
-        seeds, self.item, self.at = seeds[order], item[order], at[order]
-        self.seeds, self.start = np.unique(seeds, return_index=True)
-        self.start = np.append(self.start, len(seeds))
+        each = [seeds_of(w, least) for w in self.items]
+        ends = np.cumsum([len(s) for s in each])
+        self.seeds, named = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_inverse=True)
+        self.own = np.split(named.astype(np.int32), ends[:-1])      # the seeds of each item, in its order
+        owner = np.repeat(np.arange(len(each)), [len(s) for s in each])
+        pairs = np.unique(named * max(1, len(each)) + owner)
+        seed, self.item = np.divmod(pairs, max(1, len(each)))
+        self.start = np.searchsorted(seed, np.arange(len(self.seeds) + 1))
 
     def leaks(self, words: np.ndarray, first: np.ndarray, coverage: float) -> Iterator[tuple[int, int, list]]:
         """Row, item and tiles of each item that a row covers enough of."""
@@ -117,20 +144,23 @@ class Benchmark:
         known = np.searchsorted(self.seeds, seeds[hit])
         for r in np.unique(row).tolist():
             a, b = np.searchsorted(row, [r, r + 1])
-            found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for t, k in zip((hit[a:b] - first[r]).tolist(), known[a:b].tolist()):
-                for x in range(self.start[k], self.start[k + 1]):
-                    found[int(self.item[x])].append((int(self.at[x]), t))
+            places, mine = hit[a:b] - first[r], known[a:b]
+            found = np.unique(mine)
             text = words[first[r]:first[r + 1]]
-            for i, hits in found.items():
+            for i in np.unique(np.concatenate([self.item[self.start[k]:self.start[k + 1]] for k in found])).tolist():
                 item = self.items[i]
-                most = np.zeros(len(item), bool)      # no tile reaches beyond the seeds
-                for p in {p for p, _ in hits}:
-                    most[p:p + self.least] = True
-                if most.sum() >= coverage * len(item):
-                    got = tiles(item, text, hits, self.least)
-                    if sum(n for _, _, n in got) >= coverage * len(item):
-                        yield r, i, got
+                least = coverage * len(item)
+                if self.least * len(places) < least:
+                    continue
+                begins = np.flatnonzero(is_in(self.own[i], found))
+                most = np.zeros(len(item) + 1, np.int64)            # no tile reaches beyond the seeds
+                most[begins] += 1
+                np.subtract.at(most, begins + self.least, 1)
+                if (np.cumsum(most) > 0).sum() < least:
+                    continue
+                got = tiles(item, text, places[np.isin(mine, self.own[i])], self.least)
+                if sum(n for _, _, n in got) >= least:
+                    yield r, i, got
 
 
 def benchmark_blocks(items: DataFrame, least: int, most_words: int) -> Iterator[Benchmark]:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 
@@ -32,8 +33,30 @@ def test_tiling_equals_brute_force():
     rng = random.Random(5)
     for _ in range(300):
         item, text = ([rng.randrange(4) for _ in range(rng.randrange(3, 16))] for _ in range(2))
-        hits = [(p, t) for p in range(len(item) - 2) for t in range(len(text) - 2) if item[p:p + 3] == text[t:t + 3]]
-        assert m.tiles(np.array(item), np.array(text), hits, 3) == plain_tiles(item, text, 3)
+        hits = sorted({t for p in range(len(item) - 2) for t in range(len(text) - 2) if item[p:p + 3] == text[t:t + 3]})
+        assert m.tiles(np.array(item), np.array(text), np.array(hits, int), 3) == plain_tiles(item, text, 3)
+
+
+def test_words_that_repeat_take_little_time():
+    start = time.time()
+    one = np.zeros(100_000, np.uint64)
+    assert m.tiles(one[:20_000], one, np.arange(100_000 - 3)) == [(0, 0, 20_000)]
+    two = np.arange(60_000, dtype=np.uint64) % 2
+    got = m.tiles(np.r_[two[:9_000], 7, two[:9_000]], two, np.arange(60_000 - 3))
+    assert sorted(n for _, _, n in got) == [9_000, 9_000] and len({t for _, t, _ in got}) == 2
+    assert time.time() - start < 20
+
+
+def test_repeated_words_equal_brute_force():
+    rng = random.Random(6)
+    for _ in range(60):
+        item, text = ([int(rng.random() < 0.1) for _ in range(rng.randrange(4, 24))] for _ in range(2))
+        words, first = np.array(item + text, np.uint64), np.array([0, len(item), len(item) + len(text)])
+        block = m.Benchmark(["x"], words[:len(item)], np.array([0, len(item)]), 4)
+        got = {r: t for r, _, t in block.leaks(words, first, 0.6)}
+        for r, x in enumerate((item, text)):
+            plain = plain_tiles(item, x, 4)
+            assert got.get(r, plain) == plain and (r in got) == (sum(t[2] for t in plain) >= 0.6 * len(item))
 
 
 def test_rows_equal_brute_force(spark, documents):
