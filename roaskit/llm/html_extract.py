@@ -37,6 +37,13 @@ ASIDE_NAMES = frozenset("""ad ads advert adverts advertisement advertising alert
     promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets""".split())
 #: Names that mean the page's surroundings only outside the article.
 OUTER_NAMES = frozenset("header banner alert notice".split())
+#: Fixed list: words that say nothing of a name's meaning beside one of the above ("share-buttons").
+PLAIN_NAMES = frozenset("""area articles bar block body bottom box button buttons card container content form group holder inline inner item items left link links list
+    main outer page panel post posts right row section signup slot stories top unit wrap wrapper""".split())
+#: Fixed lists: elements whose end tag may be left out, the start tags that end them, and the elements that keep them open.
+ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
+            "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}}
+KEPT_OPEN_BY = {"p": (), "li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
 
 #: Inside a tag "<" stands in quotes only, and nothing is tried twice: unclosed tags take linear time and are text.
 TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^<>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"""
@@ -52,37 +59,76 @@ LEAST = 0.05
 
 
 class Item:
-    __slots__ = ("kind", "name", "text", "words", "aside", "main", "block")
+    __slots__ = ("kind", "name", "text", "words", "aside", "main", "block", "doubt")
 
-    def __init__(self, kind: str, name: str, text: str, words: int, aside: bool, main: int, block: bool):
-        self.kind, self.name, self.text, self.words, self.aside, self.main, self.block = kind, name, text, words, aside, main, block
+    def __init__(self, kind: str, name: str, text: str, words: int, aside: bool, main: int, block: bool, doubt: int):
+        self.kind, self.name, self.text, self.words, self.aside, self.main, self.block, self.doubt = kind, name, text, words, aside, main, block, doubt
 
 
-def names_aside(attrs: str, in_main: bool) -> bool:
+class Element:
+    """An open element, followed tag by tag up to its end: its end tag, a start tag that implies it, or the end of what it stands in."""
+
+    def __init__(self, name: str, around: Counter):
+        self.name, self.around, self.depth, self.within = name, Counter(around), 1, Counter()
+
+    def after(self, name: str, closing: bool, attrs: str) -> str:
+        """Whether a tag is in the element ("in"), ends it ("last") or stands behind it ("behind")."""
+        if closing:
+            if name == self.name:
+                self.depth -= 1
+                return "in" if self.depth else "last"
+            if self.within[name]:
+                self.within[name] -= 1
+            elif self.around[name]:
+                return "behind"
+        elif name in ENDED_BY.get(self.name, ()) and not any(self.within[x] for x in KEPT_OPEN_BY[self.name]):
+            return "behind"
+        elif name == self.name:
+            self.depth += not attrs.rstrip().endswith("/")
+        elif name in BLOCKS and name not in VOID:
+            self.within[name] += 1
+        return "in"
+
+
+def aside_name(attrs: str, name: str, in_main: bool) -> str:
+    """What class, id and role say of an element: "aside", "doubt" (the score decides) or ""."""
+    found = ""
     for m in NAMED.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key in ("class", "id", "role"):
-            for part in NAME_PART.findall(value):
-                if part in ASIDE_NAMES and not (in_main and part in OUTER_NAMES):
-                    return True
-    return False
+            return "aside"
+        if key not in ("class", "id", "role"):
+            continue
+        for token in value.split()[:1] if name in MAIN else value.split():   # what an article is, its first name says
+            parts = NAME_PART.findall(token)
+            named = [p for p in parts if p in ASIDE_NAMES and not (in_main and p in OUTER_NAMES)]
+            if not named:
+                continue
+            if not in_main and name not in MAIN or all(p in named or p in PLAIN_NAMES for p in parts):
+                return "aside"
+            found = "" if name in MAIN else "doubt"
+    return found
 
 
 def items_of(page: str) -> list[Item]:
-    """Tags and texts of a page in order; main: number of the outermost article or main element around, 0 for none."""
+    """Tags and texts of a page in order.
+
+    main: number of the outermost article or main element around, 0 for none; doubt: number of
+    the element around that a part of its name would make an aside, 0 for none.
+    """
     out: list[Item] = []
-    silent: list[str] = []                            # open elements of the aside that began last, innermost at the end
+    silent: Element | None = None                     # the aside that is open
+    doubted: Element | None = None
+    around: Counter = Counter()                       # open blocks outside asides
     link = heading = item = 0
-    mains, main, depth, at = 0, 0, 0, 0
+    mains, main, depth, at, doubts, doubt = 0, 0, 0, 0, 0, 0
 
     def text(raw: str) -> None:
         words = " ".join(html.unescape(raw).split()) if raw else ""
         if words or raw[:1].isspace() or raw[-1:].isspace():
             kind = "aside" if silent else "link" if link else "heading" if heading else "item" if item else "text"
             spaced = (" " if raw[:1].isspace() else "") + words + (" " if raw[-1:].isspace() and words else "")
-            out.append(Item("word", kind, spaced, words.count(" ") + 1 if words else 0, bool(silent), main, False))
+            out.append(Item("word", kind, spaced, words.count(" ") + 1 if words else 0, bool(silent), main, False, doubt))
 
     for m in TOKEN.finditer(page):
         text(page[at:m.start()])
@@ -91,23 +137,36 @@ def items_of(page: str) -> list[Item]:
         if not name:
             continue
         closing, block = bool(m["close"]), name in BLOCKS
+        last = False
+        if doubted:
+            is_now = doubted.after(name, closing, m["attrs"])
+            last = is_now == "last"
+            if is_now == "behind":
+                doubted, doubt = None, 0
         if silent:
-            if name == silent[0]:                     # only elements of the same name can end an aside
-                if closing:
-                    silent.pop()
-                elif not m["attrs"].rstrip().endswith("/"):
-                    silent.append(name)
-            out.append(Item("tag", "aside", "", 0, True, main, block))
-            continue
+            is_now = silent.after(name, closing, m["attrs"])
+            if is_now != "in":
+                silent = None
+            if is_now != "behind":
+                out.append(Item("tag", "aside", "", 0, True, main, block, doubt))
+                if last:
+                    doubted, doubt = None, 0
+                continue
         if closing:
+            around[name] -= around[name] > 0
             if name in MAIN and depth:
                 depth -= 1
         elif name not in VOID:
-            header = name == "header" and not main
-            if name in SILENT or header or name not in KEPT and names_aside(m["attrs"], bool(main)):
-                silent.append(name)
-                out.append(Item("tag", "aside", "", 0, True, main, block))
+            said = "" if name in KEPT and name != "article" else aside_name(m["attrs"], name, bool(main))
+            if name in SILENT or name == "header" and not main or said == "aside":
+                silent = Element(name, around)
+                out.append(Item("tag", "aside", "", 0, True, main, block, doubt))
                 continue
+            if said and not doubted:
+                doubts += 1
+                doubted, doubt = Element(name, around), doubts
+            if block and name not in ENDED_BY:
+                around[name] += 1
             if name in MAIN:
                 depth += 1
                 if not main:
@@ -120,7 +179,9 @@ def items_of(page: str) -> list[Item]:
         elif name == "li":
             item = 0 if closing else 1
         kind = "link" if name == "a" else "block" if block else "inline"
-        out.append(Item("tag", kind, " " if name == "br" else "", 0, False, main, block))
+        out.append(Item("tag", kind, " " if name == "br" else "", 0, False, main, block, doubt))
+        if last:
+            doubted, doubt = None, 0
         if closing and name in MAIN and not depth:
             main = 0
     text(page[at:])
@@ -145,19 +206,29 @@ def leads(x: Item) -> bool:
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
-    """The article's blocks joined by blank lines."""
+    """The article's blocks joined by blank lines.
+
+    Of several articles of a page those stay that the run covers at least half of. A part of an
+    article whose name only sounds like an aside ("share-price") stays if it scores above 0.
+    """
     items = items_of(page)
-    run = best_run([weights[f"word:{x.name}"] * x.words if x.kind == "word" else weights[f"tag:{x.name}"] for x in items])
+    scores = [weights[f"word:{x.name}"] * x.words if x.kind == "word" else weights[f"tag:{x.name}"] for x in items]
+    run = best_run(scores)
     if run is None:
         return ""
     start, end = run
-    held = Counter()
-    for x in items[start:end]:
+    held, total, doubts = Counter(), Counter(), Counter()
+    for i, (x, score) in enumerate(zip(items, scores)):
+        if x.doubt:
+            doubts[x.doubt] += score
         if x.kind == "word" and not x.aside:
-            held[x.main] += x.words
+            total[x.main] += x.words
+            if start <= i < end:
+                held[x.main] += x.words
     inside = held.most_common(1)[0][0] if held else 0
-    if inside:                                        # the whole of the article that most of the run stands in
-        chosen = [x for x in items if x.main == inside]
+    if inside:                                        # the whole of the articles that the run stands in
+        mains = {k for k, n in held.items() if k and 2 * n >= total[k]} | {inside}
+        chosen = [x for x in items if x.main in mains]
     else:
         while start and (leads(items[start - 1]) or not items[start].block):
             start -= 1                                # back to the edge of the block, and over headings right before
@@ -169,7 +240,7 @@ def main_text(page: str, weights: dict[str, float]) -> str:
         if x.block:
             blocks.append("".join(part))
             part = []
-        elif not x.aside:
+        elif not x.aside and (not x.doubt or doubts[x.doubt] > 0):
             part.append(x.text)
     blocks.append("".join(part))
     return "\n\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)

@@ -29,6 +29,31 @@ def test_page_without_article_element():
     assert m.main_text(page, W) == "\n\n".join(["Head", BODY.strip(), BODY.strip()])
 
 
+@pytest.mark.parametrize("aside", ["<p class=notice>Hi there", "<ul><li class=ad>Buy now<li class=ad>And this</ul>", "<dl><dt class=promo>Offer<dd class=promo>Ten off</dl>",
+                                   "<table><tr><td class=ad>Buy<td class=ad>now</table>", "<div><div class=sidebar><p>Other</div></div>"])
+def test_asides_whose_end_tag_is_left_out(aside):
+    body = f"<h1>Head</h1><p>{BODY}</p><p>{BODY}</p>"
+    wanted = "\n\n".join(["Head", BODY.strip(), BODY.strip()])
+    assert m.main_text(f"<body>{aside}<article>{body}</article></body>", W) == wanted
+    assert m.main_text(f"<body><article>{body}{aside.replace('notice', 'ad')}</article><footer>x</footer></body>", W) == wanted
+
+
+def test_names_inside_the_article():
+    inside = ["<p class='share-price'>The price of a share rose.</p>", "<section id='related-work'><h2>Related work</h2><p>Others did it too, as we know well.</p></section>"]
+    around = ["<div class='share-buttons'><p>Share this</p></div>", "<div id='related-posts'><p>More posts to read here</p></div>", "<p class='ad-12'>Buy</p>",
+              "<div class='promo-special'><a href=a>One offer</a><a href=b>Another offer</a></div>"]
+    page = f"<article><p>{BODY}</p>{inside[0]}{''.join(around)}{inside[1]}<p>{BODY}</p></article>"
+    assert m.main_text(page, W) == "\n\n".join([BODY.strip(), "The price of a share rose.", "Related work", "Others did it too, as we know well.", BODY.strip()])
+
+
+def test_pages_with_several_articles():
+    one, two = f"<article><h2>One</h2><p>{BODY}</p></article>", f"<article><h2>Two</h2><p>{BODY}</p><p>{BODY}</p></article>"
+    teaser = "<article class=card><a href=x>Read more of this</a></article>"
+    comment = f"<article class='comment even'><p>{BODY}</p></article>"
+    page = f"<body>{MENU}{teaser}{one}{two}{comment}{teaser}<footer>x</footer></body>"
+    assert m.main_text(page, W) == "\n\n".join(["One", BODY.strip(), "Two", BODY.strip(), BODY.strip()])
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<p></p>", MENU, "<", "<!-- open", "<script>x", "<a href='>", "</div></div>"])
 def test_pages_without_text(page):
     assert m.main_text(page, W) in ("", "<", "<a href='>")
