@@ -18,6 +18,8 @@ from roaskit.sources.storage import materialize
 FACT_COLUMNS = ("date", "channel", "campaign_id", "campaign_name", "campaign_type",
                 "spend", "revenue", "clicks", "impressions", "conversions")
 ORDER_COLUMNS = ("_file", "_block", "_pos")
+#: To be raised when an audit would find or charge something else: stored ledgers of other rules are not read.
+AUDIT_RULES = 1
 LEDGER_SCHEMA = "platform string, check string, affected long, penalty double, message string"
 
 

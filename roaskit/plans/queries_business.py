@@ -23,7 +23,7 @@ from roaskit.plans import forecasting
 from roaskit.plans import sql as S
 from roaskit.plans.backtesting import run_backtest
 from roaskit.plans.catalog import query
-from roaskit.plans.queries_ingest import ledger
+from roaskit.plans.queries_ingest import stored_ledger
 from roaskit.sources import state
 from roaskit.sources.storage import materialize, new_folder
 from roaskit.sources.tables import campaign_facts, table
@@ -44,9 +44,8 @@ def channel_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def measured_quality(spark: SparkSession, sf: str) -> Column:
-    """The score of the exports' audit, as a constant."""
-    score = materialize(quality_score(ledger(spark, sf)), "quality")
-    return scalar_of(score, "quality_score")["quality_score"]
+    """The score of the exports' stored audit, as a constant."""
+    return scalar_of(quality_score(stored_ledger(spark, sf)), "quality_score")["quality_score"]
 
 
 # Budget.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from roaskit.operators import ingest as I
 from roaskit.operators.quantiles import count_over_percentile, equal_width_histogram, quantile_cases
 from roaskit.plans import sql as S
 from roaskit.plans.catalog import query
-from roaskit.sources.storage import materialize
+from roaskit.sources import state
+from roaskit.sources.storage import materialize, shared_root
 from roaskit.sources.tables import campaign_facts, raw_export, table
 
 
@@ -39,7 +42,26 @@ def unified(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
-    return I.ingest(**raw_exports(spark, sf))[1]
+    """The audit of the exports, done anew and stored for those who only need its score."""
+    inputs = _inputs(spark, sf)
+    found = materialize(I.ingest(**raw_exports(spark, sf))[1], "ledger")
+    state.save_ledger(found, _ledger_path(spark, sf), inputs)
+    return found
+
+
+def stored_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger as the last audit stored it; done anew if there is none or a file has changed since."""
+    found = state.load_ledger(spark, _ledger_path(spark, sf), _inputs(spark, sf))
+    return ledger(spark, sf) if found is None else found
+
+
+def _inputs(spark: SparkSession, sf: str) -> str:
+    """The exports' files as they are, and the rules they are audited by."""
+    return f"rules {I.AUDIT_RULES} files {state.files_state(table(spark, sf, 'lineitem'), table(spark, sf, 'part'))}"
+
+
+def _ledger_path(spark: SparkSession, sf: str) -> str:
+    return f"{shared_root(spark)}/roaskit/ledgers/{hashlib.sha256(sf.rstrip('/').encode()).hexdigest()[:16]}"
 
 
 @query("normalize_name", "p_partkey:i name:s",

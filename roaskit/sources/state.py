@@ -135,6 +135,32 @@ RUN_SCHEMA = ("run_label string, parameters_json string, summary_json string, "
               "created_at timestamp")
 
 
+def files_state(*tables: DataFrame) -> str:
+    """What the files behind tables are like now: their number, and a sum over path, size and time of change.
+
+    Reads no columns. Of each file one row is left after the partial aggregate.
+    """
+    out = []
+    for df in tables:
+        files = df.select(*[F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_size", "file_modification_time")]).distinct()
+        r = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)")).alias("sum")).first()
+        out.append(f"{r.n}:{r.sum}")
+    return " ".join(out)
+
+
+def save_ledger(ledger: DataFrame, path: str, inputs: str) -> None:
+    """Stores the ledger of an ingest beside what its inputs were like."""
+    write_version(ledger.sparkSession, {"ledger": ledger}, path, inputs=inputs)
+
+
+def load_ledger(spark: SparkSession, path: str, inputs: str) -> DataFrame | None:
+    """The stored ledger, or None if there is none or its inputs have changed since."""
+    manifest = read_manifest(spark, path)
+    if manifest is None or manifest["extra"].get("inputs") != inputs:
+        return None
+    return read_version(spark, path, manifest)["ledger"]
+
+
 def append_run(run: DataFrame, path: str) -> None:
     """Append run rows (label, parameters and summary as JSON, time)."""
     run.select("run_label", "parameters_json", "summary_json", "created_at").write.mode(
