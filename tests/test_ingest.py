@@ -213,3 +213,39 @@ def test_parts_of_a_platform_are_charged_once(spark, tmp_path):
     assert got["bad_dates"] == (2, 2.0) and got["rows_read"][0] == 3
     assert {k for k in got if k.startswith("column")} == {k for k in whole if k.startswith("column")}
     assert facts.count() == 3
+
+
+def raw_texts(spark):
+    """Rows as three platforms write them, with bad dates, negative and missing amounts and a key that repeats."""
+    def rows(*cols):
+        days = ["2024-01-05", "unknown", "1/6/2024", "2024-01-05", "2024-01-09"]
+        data = [("f", 0, i, "1" if i != 2 else None, d, ["5", "-2", "x", "2000", None][i], "40", "0", "3") for i, d in enumerate(days)]
+        return spark.createDataFrame(data, ["_file", "_block", "_pos", *cols])
+    return {"google": rows("campaign_id", "date", "spend", "revenue", "impressions", "clicks"),
+            "bing": rows("CampaignId", "TimePeriod", "Spend", "Revenue", "Impressions", "Conversions"),
+            "meta": [rows("id", "date_start", "spend", "conversion", "impressions", "clicks")]}
+
+
+def test_typed_rows_are_compiled(spark):
+    """The JVM leaves methods of over 8,000 bytes to its interpreter: there the dates took most of the ingest's time."""
+    import contextlib
+    import io
+    import re
+    given = raw_texts(spark)
+    for made in (I.google_rows(given["google"]), I.bing_rows(given["bing"]), I.meta_rows(given["meta"][0])):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            made.withColumn("_parsed", I.parsed_day("_day")).explain("codegen")
+        assert all(int(n) < 8000 for n in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue()))
+
+
+def test_ledger_alone_is_that_of_the_ingest_and_writes_what_it_reads(spark, monkeypatch):
+    given = raw_texts(spark)
+    whole = sorted(map(tuple, I.ingest(**given)[1].collect()))
+    written, materialize = {}, I.materialize
+    monkeypatch.setattr(I, "materialize", lambda df, label: (written.setdefault(label, df.columns), materialize(df, label))[1])
+    assert sorted(map(tuple, I.ingest_ledger(**given).collect())) == whole
+    assert {r[1] for r in whole} >= {"bad_dates", "negative_money", "negative_spend", "duplicates", "suspicious"}
+    assert set(written["typed"]) == {*I.AUDITED, "_parsed"}
+    with pytest.raises(ValueError):
+        I.ingest_ledger()
