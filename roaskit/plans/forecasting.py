@@ -102,7 +102,12 @@ def overall_forecast(facts: DataFrame, members: tuple[str, ...] = MEMBERS) -> tu
     return forecast.horizon_intervals(daily), spread
 
 
+def cube_and_predictions(facts: DataFrame, members: tuple[str, ...] = MEMBERS) -> tuple[DataFrame, DataFrame]:
+    """(cube, predictions table), for those who need totals beside the forecast: one pass over the facts."""
+    cube, _, fc = full_forecast(facts, members)
+    return cube, forecast.predictions_long(fc, entities.top_campaigns(cube))
+
+
 def predictions(facts: DataFrame, members: tuple[str, ...] = MEMBERS) -> DataFrame:
     """The predictions table: all channels and types, the ten leading campaigns."""
-    cube, _, fc = full_forecast(facts, members)
-    return forecast.predictions_long(fc, entities.top_campaigns(cube))
+    return cube_and_predictions(facts, members)[1]

@@ -205,3 +205,13 @@ def test_driver_importance(spark, channels_400d):
     perm = {r.feature: r.impact for r in DR.permutation_importance(m, model).collect()}
     assert len(perm) == 8 and max(perm, key=perm.get) == "spend"
     assert [r.channel for r in DR.channel_importance(channels_400d).orderBy(F.desc("importance_score")).collect()][0] == "Google Ads"
+
+
+def test_kpi_overview_reads_the_facts_once(spark, monkeypatch):
+    from roaskit.plans import queries_business as Q
+    from roaskit.plans.catalog import REGISTRY
+    reads, facts = [], Q.campaign_facts
+    monkeypatch.setattr(Q, "campaign_facts", lambda *a: (reads.append(a), facts(*a))[1])
+    row = REGISTRY["kpi_overview"].build(spark, "/root/testdata/sf0.001").first()
+    total = facts(spark, "/root/testdata/sf0.001").agg(F.sum("spend").cast("double").alias("s"), F.sum("revenue").cast("double").alias("r")).first()
+    assert len(reads) == 1 and row.total_spend == pytest.approx(total.s) and row.total_revenue == pytest.approx(total.r)
