@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roaskit import params as P
+from roaskit.functions.keyed import map_by_key, value_of, values_by_key
 from roaskit.functions.scalars import clamp
-from roaskit.operators.entities import ENTITY, last_rows
+from roaskit.operators.entities import ENTITY, last_rows, together
 
 METRICS = ("revenue", "spend")
 
@@ -46,19 +47,18 @@ def seasonal_index(series: DataFrame, keys: list[str] | None = None) -> DataFram
 
 def index_of_means(means: DataFrame, keys: list[str]) -> DataFrame:
     """The same, from the mean day of each month."""
-    aggs = []
+    months = range(1, 13)
+    wide = means.groupBy(*keys).agg(*[c for m in METRICS for c in values_by_key("month", f"{m}_mean", months)])
+    ordered = {m: F.sort_array(F.array_compact(F.array(*[value_of(f"{m}_mean", k) for k in months]))) for m in METRICS}
+    wide = wide.withColumns({f"{m}_ordered": c for m, c in ordered.items()})
+    median = {}
     for m in METRICS:
-        mean = F.col(f"{m}_mean")
-        aggs += [F.median(mean).alias(f"{m}_ref"),
-                 F.map_from_entries(F.sort_array(F.collect_list(F.when(
-                     mean.isNotNull(), F.struct("month", mean.alias("mean")))))).alias(f"{m}_map")]
-    maps = means.groupBy(*keys).agg(*aggs)
-
-    def index(m: str) -> Column:
-        ref = F.col(f"{m}_ref")
-        return F.when(ref > 0, F.transform_values(f"{m}_map", lambda k, v: v / ref))
-
-    return maps.select(*keys, *[index(m).alias(f"{m}_index") for m in METRICS])
+        n = F.size(f"{m}_ordered")
+        low, high = (F.get(f"{m}_ordered", at.cast("int")) for at in (F.floor((n - 1) / 2), F.floor(n / 2)))
+        median[f"{m}_ref"] = low * 0.5 + high * 0.5
+    return wide.withColumns(median).select(*keys, *[
+        F.when(F.col(f"{m}_ref") > 0, map_by_key(f"{m}_mean", months, over=F.col(f"{m}_ref"))).alias(f"{m}_index")
+        for m in METRICS])
 
 
 def seasonal_index_long(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -87,7 +87,12 @@ def recent_anchors(series: DataFrame, keys: list[str] | None = None,
     within 3 % of the level. Shorter series have slope 0.
     """
     keys = list(keys or ENTITY)
-    return anchors_of(last_rows(series, P.MOMENTUM_ROWS, keys), seasonal_index(series, keys) if seasonal else None, keys)
+    rows = together(series, keys)
+    index = None
+    if seasonal:                                      # a series without any mean has no index, whether in the join or not
+        means = month_means(rows, keys).filter("revenue_mean is not null or spend_mean is not null")
+        index = index_of_means(means, keys)
+    return anchors_of(last_rows(rows, P.MOMENTUM_ROWS, keys), index, keys)
 
 
 def anchors_of(recent: DataFrame, index: DataFrame | None, keys: list[str]) -> DataFrame:
@@ -102,8 +107,10 @@ def anchors_of(recent: DataFrame, index: DataFrame | None, keys: list[str]) -> D
     aggs = [F.max("date").alias("last_date"), F.count("*").alias("rows_used")]
     for m in METRICS:
         f = _factor(m, month)
+        next_month = F.month(F.date_add("date", 1))
         aggs += [
-            F.any_value(f"{m}_index").alias(f"{m}_index"),
+            F.bool_or(F.col(f"{m}_index").isNotNull()).alias(f"{m}_indexed"),
+            F.max(F.when(F.col("age") == 1, _factor(m, next_month))).alias(f"{m}_origin"),
             F.avg(F.when(new, f)).alias(f"{m}_factor"),
             F.avg(F.when(new, F.col(m))).alias(f"{m}_new"),
             F.avg(F.when(old, F.col(m))).alias(f"{m}_old"),
@@ -113,9 +120,9 @@ def anchors_of(recent: DataFrame, index: DataFrame | None, keys: list[str]) -> D
     g = recent.groupBy(*keys).agg(*aggs)
     out = {}
     for m in METRICS:
-        origin = _factor(m, F.month(F.date_add("last_date", 1)))
+        origin = F.col(f"{m}_origin")
         ratio = origin / F.col(f"{m}_factor")
-        fires = (F.col(f"{m}_index").isNotNull() & (F.col(f"{m}_factor") > 0)
+        fires = (F.col(f"{m}_indexed") & (F.col(f"{m}_factor") > 0)
                  & ((ratio >= P.SEASONAL_TRIGGER) | (ratio <= 1.0 / P.SEASONAL_TRIGGER)))
         level = F.when(fires, F.col(f"{m}_new_flat") * origin).otherwise(F.col(f"{m}_new"))
         slope = F.when(fires, (F.col(f"{m}_new_flat") - F.col(f"{m}_old_flat")) / 30.0 * origin) \

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roaskit import params as P
-from roaskit.operators.entities import ENTITY
+from roaskit.functions.keyed import map_by_key, seen_keys, values_by_key
+from roaskit.operators.entities import ENTITY, together
 
 METRICS = ("revenue", "spend")
 
@@ -18,20 +19,19 @@ METRICS = ("revenue", "spend")
 def fit_effects(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, rows, and for each metric: grand mean, weekday map, month map, residual std.
 
-    The series is reduced once, to a row for each weekday and month; everything
-    else is computed from these at most 84 rows a series. The residual spread is
+    The rows of a series are brought together once and reduced to a row for each weekday
+    and month; everything else is computed from these at most 84 rows a series, where they are. The residual spread is
     the population one and comes from the cells' own variances, so no second pass
     over the series is needed. `has_model` is false for series of five rows or less:
     they are forecast from the portfolio instead. `total_revenue` is kept for that.
     """
     keys = list(keys or ENTITY)
-    cells = series.groupBy(*keys, F.weekday("date").alias("wd"), F.month("date").alias("mo")).agg(
+    cells = together(series, keys).groupBy(*keys, F.weekday("date").alias("wd"), F.month("date").alias("mo")).agg(
         F.count("*").alias("n"),
         *[F.sum(F.col(m).cast("decimal(28,6)")).alias(f"{m}_s") for m in METRICS],
         *[F.var_pop(m).alias(f"{m}_v") for m in METRICS])
     every = Window.partitionBy(*keys)
     by_wd, by_mo = Window.partitionBy(*keys, "wd"), Window.partitionBy(*keys, "mo")
-    cells = cells.repartition(*[F.col(k) for k in keys])
     mean = {}
     for m in METRICS:
         for tag, w in (("g", every), ("w", by_wd), ("m", by_mo)):
@@ -45,19 +45,23 @@ def fit_effects(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
         dev[f"{m}_ss"] = F.col("n") * (F.col(f"{m}_v") + gap * gap)
     cells = cells.withColumns(dev)
     aggs = [F.sum("n").alias("rows"), F.sum("revenue_s").cast("double").alias("total_revenue")]
+    values, maps = [], {}
     for m in METRICS:
         aggs += [
             F.max(f"{m}_g").alias(f"{m}_mean"),
-            F.map_from_entries(F.sort_array(F.collect_set(F.struct("wd", f"{m}_w"))))
-            .alias(f"{m}_weekday"),
-            F.map_from_entries(F.sort_array(F.collect_set(F.struct("mo", f"{m}_m"))))
-            .alias(f"{m}_month"),
             F.sqrt(F.greatest(F.lit(0.0), F.sum(f"{m}_ss") / F.sum("n")
                               - F.pow(F.sum(f"{m}_gap") / F.sum("n"), F.lit(2.0))))
             .alias(f"{m}_std"),
         ]
-    return cells.groupBy(*keys).agg(*aggs).withColumn(
-        "has_model", F.col("rows") >= P.MIN_MODEL_ROWS)
+        for name, key, mean, among in (("weekday", "wd", f"{m}_w", range(7)), ("month", "mo", f"{m}_m", range(1, 13))):
+            values += values_by_key(key, mean, among)
+            maps[f"{m}_{name}"] = map_by_key(mean, among, F.col(f"_{key}_seen"))
+    seen = [seen_keys(k).alias(f"_{k}_seen") for k in ("wd", "mo")]
+    fitted = cells.groupBy(*keys).agg(*aggs, *seen, *values).withColumns(maps)
+    return fitted.select(
+        *keys, "rows", "total_revenue",
+        *[f"{m}_{x}" for m in METRICS for x in ("mean", "weekday", "month", "std")],
+        (F.col("rows") >= P.MIN_MODEL_ROWS).alias("has_model"))
 
 
 def fitted_value(metric: str, date: Column | str = "date") -> Column:

@@ -53,6 +53,15 @@ def at_level(df: DataFrame, level: str) -> DataFrame:
     return df.filter(F.col("dimension_type") == level)
 
 
+def together(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The same rows, those of a series in one partition.
+
+    Whatever groups or windows them by these keys, and by others beside them, moves them no
+    more, and plans that begin with the same call share its shuffle.
+    """
+    return series.select(*(keys or ENTITY), "date", "revenue", "spend").repartition(*[F.col(k) for k in keys or ENTITY])
+
+
 def last_rows(series: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
     """The last n observed rows of each series (`age` 1 is the newest).
 

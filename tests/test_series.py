@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
@@ -172,3 +173,21 @@ def test_confidence(spark):
     df = spark.createDataFrame([(90.0, 100.0, 110.0), (0.0, 100.0, 400.0), (0.0, 0.0, 1.0)], "p10 double, p50 double, p90 double")
     got = [(r.confidence_pct, r.confidence) for r in FC.with_confidence(df).orderBy(F.desc("p10"), F.desc("p50")).collect()]
     assert got == [(94, "High"), (35, "Low"), (40, "Low")]
+
+
+def test_rows_of_a_series_move_once(make_series):
+    series = make_series([(d, 10.0, 2.0) for d in days(D(2024, 1, 1), 40)])
+    for df, most in ((EF.fit_effects(series), 1), (A.recent_anchors(series), 2)):
+        moves = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())
+        assert 1 <= len(moves) <= most
+        assert all(re.sub(r"#\d+", "", m) == "dimension_type, dimension_value" for m in moves)
+
+
+def test_maps_hold_the_keys_seen_and_the_median_of_few_months(spark, make_series):
+    rows = [(D(2024, 1, 1), 6.0, 1.0), (D(2024, 1, 8), 12.0, 1.0), (D(2024, 3, 5), 3.0, 1.0)]
+    m = EF.fit_effects(make_series(rows)).first()
+    assert m.revenue_weekday == {0: 9.0, 1: 3.0} and m.revenue_month == {1: 9.0, 3: 3.0}
+    means = spark.createDataFrame([("X", 2, 4.0, None), ("X", 5, 8.0, None), ("X", 9, None, None)],
+                                  "k string, month int, revenue_mean double, spend_mean double")
+    row = A.index_of_means(means, ["k"]).first()
+    assert row.revenue_index == {2: 4.0 / 6.0, 5: 8.0 / 6.0} and row.spend_index is None
