@@ -21,13 +21,16 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from roaskit.llm.common import few_cycles, id_and_text, slices, table
+from roaskit.llm.common import bytes_of, few_cycles, id_and_text, slices, table, word_runs
 
 #: The word pattern and the white space of the tokenizer's normalizer.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WHITE = r"\t\n\v\f\r \x85\xa0  -     　"
-#: Words kept from block to block by a worker, and bytes of text in a block.
+#: Words kept from block to block by a worker, and bytes of text in a block, whose strings and arrays take about 30 bytes for each.
 CACHE_WORDS, BLOCK_BYTES = 120_000, 5 << 20
+#: Which bytes part chunks.
+_BREAK = np.zeros(256, bool)
+_BREAK[[10, 32]] = True
 
 _LATIN = regex.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _WORDS = regex.compile(WORD_PATTERN.replace(r"[^\s", f"[^{WHITE}"))
@@ -200,40 +203,88 @@ def loaded(path: str) -> tuple[Vocabulary, dict]:
     return _LOADED[path]
 
 
-def chunks_of(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ")
+class Cuts:
+    """Where chunks may be cut further, and which letters made small, before the distinct ones are looked for.
+
+    A word ends between an ASCII letter and a mark or digit of ASCII, and beside every such digit,
+    whatever stands around; the apostrophe, which begins words like 's, and the marks and digits
+    of special tokens are left out.
+    """
+
+    def __init__(self, special: dict[str, int]):
+        self.special = [s.encode() for s in special]
+        kept = set(b"'").union(*self.special)
+        self.kind = np.zeros(256, np.uint8)           # 1: a letter, 2: a mark, 3: a digit; 0: neither
+        for b in range(33, 127):
+            c = chr(b)
+            self.kind[b] = 1 if c.isalpha() else 0 if b in kept else 3 if c.isdigit() else 2
+
+    def small(self, raw: np.ndarray) -> np.ndarray:
+        """Capitals of ASCII as small letters, but those before a byte that is not ASCII (an accent may join them), and none if a special token would arise."""
+        capital = (raw >= 65) & (raw <= 90)
+        capital[:-1] &= raw[1:] < 128
+        lower = raw + (capital.view(np.uint8) << 5)
+        same = all(s == s.lower() and raw.tobytes().count(s) == lower.tobytes().count(s) for s in self.special)
+        return lower if same else raw
+
+    def beginnings(self, raw: np.ndarray) -> np.ndarray:
+        """At which bytes a word begins right where the one before ends."""
+        kind, out = self.kind[raw], np.zeros(len(raw), bool)
+        a, b = kind[:-1], kind[1:]
+        out[1:] = (a > 0) & (b > 0) & ((a != b) | (a == 3))
+        return out
+
+
+def chunks_of(texts: pa.Array, cuts: Cuts | None = None) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The stretches without spaces and line feeds of all texts, as numbers of the distinct ones in UTF-8, and the first of each text (one more than texts).
+
+    No word of the tokenizer spans two of them. With `cuts` they are cut further, and stand for
+    the same words.
+    """
+    raw, offsets = bytes_of(texts)
+    inside = ~_BREAK[raw]
+    starts, ends, first = word_runs(inside, offsets)
+    if cuts is not None and len(raw):
+        begins, stops = cuts.beginnings(raw), np.zeros(len(raw) + 1, bool)
+        stops[:-1] = begins
+        begins[starts], stops[ends] = True, True
+        starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
+        raw, first = cuts.small(raw), np.searchsorted(starts, offsets)
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=at[1:])
+    plain = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(raw[inside])])
+    return plain.dictionary_encode(), first
 
 
 class Coder:
-    """Texts to ids and back, keeping (ids as text, tokens as text, number of ids) for each chunk and word."""
+    """Texts to ids and back, keeping (ids as text, tokens as text, number of ids) for each word."""
 
     def __init__(self, path: str):
         self.v, self.words = loaded(path)
 
-    def block(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """Of each text the number of ids, the ids joined by spaces, and the decoded text."""
-        split = [chunks_of(t) for t in texts]
-        distinct: set[str] = set()
-        for chunks in split:
-            distinct.update(chunks)
-        distinct.discard("")
-        parts = {c: self.v.split(c) for c in distinct}
-        self.learn(set().union(*parts.values()))
-        words, known = self.words, {}
-        for c, ws in parts.items():
-            if len(ws) == 1:
-                known[c] = words[ws[0]]
-            elif len(ws) == 2:
-                a, b = words[ws[0]], words[ws[1]]
-                known[c] = (f"{a[0]} {b[0]}", f"{a[1]} {b[1]}", a[2] + b[2])
-            else:
-                got = [words[w] for w in ws]
-                known[c] = (" ".join([g[0] for g in got]), " ".join([g[1] for g in got]), sum([g[2] for g in got]))
-        del parts, distinct
-        for chunks in split:
-            got = [k for c in chunks if c and (k := known[c])[2]]
-            ids, tokens, counts = zip(*got) if got else ((), (), ())
-            yield sum(counts), " ".join(ids), " ".join(tokens)
+    def block(self, texts: pa.Array) -> Iterator[tuple[int, str, str]]:
+        """Of each text the number of ids, the ids joined by spaces, and the decoded text.
+
+        Only the distinct chunks of the block are strings here; the texts hold their numbers.
+        """
+        chunks, first = chunks_of(texts)
+        parts = [self.v.split(c.decode()) for c in chunks.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        self.learn(set().union(*parts))
+        words, ids, tokens = self.words, [], []
+        counts = np.zeros(len(parts), np.int64)
+        for i, ws in enumerate(parts):
+            got = [words[w] for w in ws]
+            ids.append(got[0][0] if len(got) == 1 else " ".join([g[0] for g in got]))
+            tokens.append(got[0][1] if len(got) == 1 else " ".join([g[1] for g in got]))
+            counts[i] = sum([g[2] for g in got])
+        del parts
+        number = chunks.indices.to_numpy()
+        some = counts[number] > 0
+        first, number = np.r_[0, np.cumsum(some)][first].tolist(), number[some]
+        total = np.r_[0, np.cumsum(counts[number])]
+        for a, b in zip(first, first[1:]):
+            of = number[a:b].tolist()
+            yield int(total[b] - total[a]), " ".join([ids[i] for i in of]), " ".join([tokens[i] for i in of])
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
 
@@ -262,7 +313,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             for part in slices(batch, most=BLOCK_BYTES):
                 cols: dict[str, list] = {k: [] for k in schema.names[1:]}
                 with few_cycles():
-                    for n, ids, text in coder.block(part.column("_text").to_pylist()):
+                    for n, ids, text in coder.block(part.column("_text")):
                         cols["n_tokens"].append(n)
                         cols["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
                         cols["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from roaskit.llm.bpe import Splitter
-from roaskit.llm.common import Placed, bytes_of, few_cycles, filesystem, id_and_text, slices, table, word_runs
+from roaskit.llm.bpe import Cuts, Splitter, chunks_of
+from roaskit.llm.common import Placed, few_cycles, filesystem, id_and_text, slices, table
 from roaskit.sources.storage import materialize, new_folder
 
 BLOCK, SHARE, MARK = 256, 0.9, b"PFORIDS1"
@@ -34,9 +34,6 @@ HEAD, TRAILER = struct.Struct("<IBH"), struct.Struct("<QQQQ8s")
 READ_BLOCKS, WORDS, CACHE_CHUNKS = 4096, 2000, 700_000
 #: Bytes of text that are encoded at a time; their arrays take about 50 bytes for each.
 BLOCK_BYTES = 1 << 20
-#: Which bytes part chunks: no word of the tokenizer spans a space or line feed.
-_BREAK = np.zeros(256, bool)
-_BREAK[[10, 32]] = True
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -190,7 +187,7 @@ class LibraryCoder:
         self.special = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.split = Splitter(self.special).split
+        self.split, self.cuts = Splitter(self.special).split, Cuts(self.special)
         self.age()
 
     def age(self) -> None:
@@ -218,7 +215,7 @@ class LibraryCoder:
 
     def learn(self, chunks: list[bytes]) -> None:
         """Gives chunks their numbers, and their words' ids one after another."""
-        parts = [self.split(c.decode()) for c in chunks]
+        parts = [[s] if (s := c.decode()).isascii() and s.isalpha() and s.islower() else self.split(s) for c in chunks]
         flat = [w for ws in parts for w in ws]
         self.learn_words([w for w in dict.fromkeys(flat) if w not in self.words])
         word = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
@@ -236,13 +233,8 @@ class LibraryCoder:
         """
         if len(self.known) > CACHE_CHUNKS:
             self.age()
-        raw, offsets = bytes_of(texts)
-        inside = ~_BREAK[raw]
-        starts, ends, first = word_runs(inside, offsets)
-        at = np.zeros(len(starts) + 1, np.int64)
-        np.cumsum(ends - starts, out=at[1:])
-        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(raw[inside])]).dictionary_encode()
-        distinct = chunks.dictionary.to_pylist()
+        chunks, first = chunks_of(texts, self.cuts)
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.learn([c for c in distinct if c not in self.known])
         number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[chunks.indices.to_numpy()]
         size = self.size[number]

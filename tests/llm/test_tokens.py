@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -74,3 +75,15 @@ def test_files_hold_the_library_s_ids_in_order(spark, documents, odd_documents,
             assert (r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens, r.ids) == (has, d, at, len(ids), ids)
             assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4"))
             at += len(ids)
+
+
+def test_marks_digits_and_capitals_make_no_new_chunks(library):
+    coder = token_files.LibraryCoder(PATH)
+    texts = ["Word word, WORD. (word) word-word 7word72", "don't DON'T 'sword's. <|endoftext|>word. <|ENDOFTEXT|>", None,
+             "Ét H̱a. ≠x ½7, aéB.c中9", "<|startoftext|>"]
+    ids, counts = coder.block(pa.array(texts), 2)
+    for text, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+        assert got.tolist() == library.encode(text or "", add_special_tokens=False).ids + [2]
+    coder = token_files.LibraryCoder(PATH)
+    coder.block(pa.array(texts[:1]), 2)
+    assert set(coder.known) == {b"word", b",", b".", b"(", b")", b"-", b"7", b"2"}
