@@ -27,7 +27,7 @@ from roaskit.llm.common import bytes_of, few_cycles, id_and_text, slices, table,
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WHITE = r"\t\n\v\f\r \x85\xa0  -     　"
 #: Words kept from block to block by a worker, and bytes of text in a block, whose strings and arrays take about 30 bytes for each.
-CACHE_WORDS, BLOCK_BYTES = 120_000, 5 << 20
+CACHE_WORDS, BLOCK_BYTES = 120_000, 1 << 20
 #: Which bytes part chunks.
 _BREAK = np.zeros(256, bool)
 _BREAK[[10, 32]] = True

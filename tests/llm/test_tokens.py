@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from roaskit.llm import bpe, token_files
+from roaskit.llm.common import slices
 from roaskit.sources.storage import new_folder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -87,3 +89,19 @@ def test_marks_digits_and_capitals_make_no_new_chunks(library):
     coder = token_files.LibraryCoder(PATH)
     coder.block(pa.array(texts[:1]), 2)
     assert set(coder.known) == {b"word", b",", b".", b"(", b")", b"-", b"7", b"2"}
+
+
+def test_a_block_takes_little_memory():
+    rng = np.random.default_rng(1)
+    letters = rng.integers(97, 123, (500_000, 7), np.uint8)
+    letters[:, 6] = 32
+    texts = [bytes(x.tobytes()).decode() for x in np.array_split(letters, 100)]
+    batch = pa.RecordBatch.from_pydict({"_text": texts})
+    coder = bpe.Coder(PATH)
+    part = next(slices(batch, most=bpe.BLOCK_BYTES))
+    tracemalloc.start()
+    for _ in coder.block(part.column(0)):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
